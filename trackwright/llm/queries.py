@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import table
+from pyspark.sql import functions as F
+
+from ..session import scratch, table
+from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .quality_rules import quality_rules
+from .token_store import read_tokens, with_checksum, write_tokens
+
+
+def tokenizers():
+    """The installed vocabulary files; operators take paths, only the queries name these."""
+    import public_tokenizers
+
+    return public_tokenizers
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN
+    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +43,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizers().path("word_bpe_49k.json"), end_id=1)
+    return with_checksum(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op5_exact_dedup, op7_quality_rules)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_exact_dedup, op7_quality_rules, op10_token_store)
 }
