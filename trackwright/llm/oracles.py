@@ -64,8 +64,36 @@ select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_
 from judged left join verdicts using (source)
 """
 
+_MINHASH = r"""
+with recursive w as (
+  select doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents
+),
+pairs as (
+  select doc_id, list_extract(w, i) || ' ' || list_extract(w, i + 1) as s from (select doc_id, w, unnest(range(1, len(w))) as i from w where len(w) > 1)
+  union all select doc_id, list_extract(w, 1) from w where len(w) = 1
+),
+sets as (select distinct doc_id, s from pairs),
+sizes as (select doc_id, count(*) as n from sets group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sets a join sets b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (
+  select doc_id, doc_id as r from documents
+  union select reach.doc_id, both_ways.b from reach join both_ways on reach.r = both_ways.a
+)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept
+from (select doc_id, min(r) as component_id from reach group by doc_id) left join sizes using (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
     "op5_exact_dedup": _EXACT_DEDUP,
+    "op8_minhash": _MINHASH,
     "op7_quality_rules": _QUALITY_RULES,
 }

@@ -12,6 +12,7 @@ from ..session import scratch, table
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
+from .minhash import MinHash, near_duplicates
 from .quality_rules import quality_rules
 from .token_store import read_tokens, with_checksum, write_tokens
 
@@ -43,6 +44,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), p=MinHash(words=2, percent=80))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizers().path("word_bpe_49k.json"), end_id=1)
@@ -50,5 +55,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_exact_dedup, op7_quality_rules, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_exact_dedup, op7_quality_rules, op8_minhash, op10_token_store)
 }
