@@ -21,6 +21,23 @@ select doc_id, sum(n)::bigint as n_lines, count(*) as n_chunks, (count(*) filter
 from judged group by doc_id
 """
 
+_WARC = r"""
+with t as (select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+digits as (
+  select page_id, html, payload_bytes, list_transform(range(0, 8), lambda i: ('0x' || substr(h, (1 + 5 * i)::int, 5))::bigint) as five from t
+),
+coded as (
+  select page_id, html, payload_bytes, list_aggregate(list_transform(five, lambda n:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 15) & 31)::int + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 10) & 31)::int + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((n >> 5) & 31)::int + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n & 31)::int + 1, 1)
+  ), 'string_agg', '') as payload_digest from digits
+),
+firsts as (select *, min(page_id) over (partition by html) as first_id from coded)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when page_id = first_id then 'response' else 'revisit' end as record_type,
+  case when page_id <> first_id then first_id end as refers_to
+from firsts
+"""
+
 _EXACT_DEDUP = r"""
 with t as (
   select doc_id, length(coalesce(text, '')) as n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as s from documents
@@ -93,6 +110,7 @@ from (select doc_id, min(r) as component_id from reach group by doc_id) left joi
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": _LINE_DEDUP,
+    "op3_warc": _WARC,
     "op5_exact_dedup": _EXACT_DEDUP,
     "op8_minhash": _MINHASH,
     "op7_quality_rules": _QUALITY_RULES,

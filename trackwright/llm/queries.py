@@ -15,6 +15,8 @@ from .line_dedup import line_dedup
 from .minhash import MinHash, near_duplicates
 from .quality_rules import quality_rules
 from .token_store import read_tokens, with_checksum, write_tokens
+from .url_filter import url_filter
+from .warc import read_archive, write_archive
 
 
 def tokenizers():
@@ -34,6 +36,27 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, payloads = write_archive(table(spark, sf_dir, "pages"), min_bytes=0)
+    return read_archive(records, payloads).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The rules of op4_url_filter: host, path, verdict.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's path names the document it shows; a url is bad (1) if that document's quality label is 0."""
+    named = F.expr("try_cast(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]+)', 1) as bigint)")
+    pages = table(spark, sf_dir, "pages").select("url", named.alias("doc_id"))
+    return pages.join(table(spark, sf_dir, "labels"), "doc_id").select("url", (1 - F.col("quality")).alias("label"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter(table(spark, sf_dir, "pages"), rules, labelled_urls(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -55,5 +78,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_bpe, op5_exact_dedup, op7_quality_rules, op8_minhash, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op7_quality_rules, op8_minhash, op10_token_store)
 }
