@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
 from ..session import scratch, table
+from . import byte_cnn
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash import MinHash, near_duplicates
+from .mixing import mix
 from .quality_rules import quality_rules
 from .token_store import read_tokens, with_checksum, write_tokens
 from .url_filter import url_filter
@@ -61,6 +63,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+#: Domains of the labelled table, and their tokens as shares of all tokens in op6_mixing.
+MIX_TARGETS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return table(spark, sf_dir, "labels").select("doc_id", domain.alias("domain"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), labelled_domains(spark, sf_dir), MIX_TARGETS)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -71,6 +86,18 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), p=MinHash(words=2, percent=80))
 
 
+def held_out() -> Column:
+    """Rows whose labels are for testing only."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    net = byte_cnn.fit(docs, labels.where(~held_out()))
+    scored = byte_cnn.score(docs, net)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, tokenizers().path("word_bpe_49k.json"), end_id=1)
@@ -78,5 +105,5 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op7_quality_rules, op8_minhash, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_minhash, op9_byte_cnn, op10_token_store)
 }
