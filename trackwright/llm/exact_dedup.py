@@ -75,9 +75,9 @@ def exact_dedup(
     entries = materialise(keyed.select("id", "h64", F.sha2("norm", 256).alias("sha")), "entries")
     shared = build_index(entries, capacity, max_depth).where("n_rows > 1").select("h64")
 
-    # Copies meet before the shuffle: only one row for each text and length leaves a task.
+    # Texts are dealt by hash at any size; afterwards copies meet in the task: one row for each text and length leaves it.
     compared = (
-        keyed.join(shared, "h64", "left_semi")
+        keyed.join(shared.hint("merge"), "h64", "left_semi")
         .groupBy("h64", "norm", "n_points")
         .agg(F.min("id").alias("id"), F.count("*").alias("n"))
     )
