@@ -67,7 +67,7 @@ k as (select *, row_number() over (partition by frame order by conf desc, det) a
 n as (
   select frame, k, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det': det}}] as kept from k where k = 1
   union all
-  select b.frame, b.k, case when len(list_filter(n.kept, lambda a: {_IOU} / {_UNION} >= 0.2::double)) > 0 then n.kept
+  select b.frame, b.k, case when len(list_filter(n.kept, lambda a: {_IOU} / {_UNION} >= 0.21::double)) > 0 then n.kept
     else list_append(n.kept, {{'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2, 'det': b.det}}) end
   from n join k b on b.frame = n.frame and b.k = n.k + 1
 ),
