@@ -63,7 +63,7 @@ def yolo_filter_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(BOXES.replace("with b", "with recursive b") + f""",
-k as (select *, row_number() over (partition by frame order by conf desc, det) as k from b),
+k as (select *, row_number() over (partition by frame order by conf desc, det, x1, y1, x2, y2) as k from b),
 n as (
   select frame, k, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'det': det}}] as kept from k where k = 1
   union all
