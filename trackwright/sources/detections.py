@@ -8,12 +8,11 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Tables that start the engine.
-VIDEO_INFO = T.StructType.fromDDL("video_id string, fps double, width double, height double, total_frames bigint")
-DETECTIONS = T.StructType.fromDDL("video_id string, frame bigint, kind string, det int, x1 double, y1 double, x2 double, y2 double, conf double, cls int")
-_ANNOTATIONS = T.StructType.fromDDL(
+VIDEO_INFO = "video_id string, fps double, width double, height double, total_frames bigint"
+DETECTIONS = "video_id string, frame bigint, kind string, det int, x1 double, y1 double, x2 double, y2 double, conf double, cls int"
+_ANNOTATIONS = (
     "images array<struct<id:bigint,file_name:string,height:double,width:double>>, annotations array<struct<id:bigint,image_id:bigint,category_id:int,line:array<double>>>"
 )
 
@@ -61,7 +60,7 @@ def detect(frames: DataFrame, make: Callable[[], Callable[[bytes], list[tuple]]]
         model = make()
         for batch in batches:
             rows = [(v, f, kind, i, *box) for v, f, image in batch.itertuples(index=False) for i, box in enumerate(model(image))]
-            yield pd.DataFrame(rows, columns=DETECTIONS.names)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTIONS.split(", ")])
 
     return frames.select("video_id", "frame", "image").mapInPandas(run, DETECTIONS)
 
