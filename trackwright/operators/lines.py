@@ -125,3 +125,38 @@ def hungarian(costs: DataFrame, keys: list[str]) -> DataFrame:
         return pairs.merge(group, on=["a", "b"])[[*keys, "a", "b", "cost"]]
 
     return costs.select(*keys, "a", "b", "cost").groupBy(*keys).applyInPandas(solve, costs.select(*keys, "a", "b", "cost").schema)
+
+
+def clip_overlaps(df: DataFrame, threshold: float = 0.01, slack: float = 1e9) -> DataFrame:
+    """Lines of each image, best score first, cut back to what no better line already covers; image, line, x1, y1, x2, y2, score.
+
+    Two lines cover each other if the ends of one lie within threshold of the other's line. slack lengthens what is covered.
+    """
+    kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("image", "line"))
+
+    def off(p: np.ndarray, q: np.ndarray, ends: np.ndarray) -> float:
+        d = q - p
+        t = ((ends - p) @ d) / max(float(d @ d), 1e-12)
+        return float((((p + t[:, None] * d) - ends) ** 2).sum(axis=1).max())
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        kept, out = [], []
+        for row in group.sort_values(["score", "line"], ascending=[False, True]).itertuples(index=False):
+            p, q = np.array([row.x1, row.y1]), np.array([row.x2, row.y2])
+            start, end = 0.0, 1.0
+            for other in kept:
+                if min(off(p, q, other), off(other[0], other[1], np.stack([p, q]))) > threshold**2:
+                    continue
+                low, high = np.sort(((other - p) @ (q - p)) / max(float((q - p) @ (q - p)), 1e-12)) + np.array([-slack, slack])
+                if (start < low and high < end) or high < start or low > end:
+                    continue
+                start, end = (high if low <= start <= high else start), (low if low <= end <= high else end)
+                if start >= end:
+                    break
+            if start < end:
+                kept.append(np.stack([p + (q - p) * start, p + (q - p) * end]))
+                out.append((row.image, row.line, *map(float, kept[-1].ravel()), row.score))
+        return pd.DataFrame(out, columns=["image", "line", "x1", "y1", "x2", "y2", "score"])
+
+    picked = df.select("image", "line", "x1", "y1", "x2", "y2", F.col("score").cast("double").alias("score"))
+    return picked.groupBy("image").applyInPandas(run, f"{kind}, x1 double, y1 double, x2 double, y2 double, score double")

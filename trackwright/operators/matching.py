@@ -69,3 +69,17 @@ def line_pair_distance(p: list[Column], q: list[Column]) -> Column:
     """Sum of squared endpoint distances of two lines (x1, y1, x2, y2), in the better of both directions."""
     sq = lambda i, j: F.pow(p[i] - q[j], 2) + F.pow(p[i + 1] - q[j + 1], 2)
     return F.least(sq(0, 0) + sq(2, 2), sq(0, 2) + sq(2, 0))
+
+
+def depth_losses(truth: Column, guess: Column) -> dict[str, Column]:
+    """Aggregates: mean absolute and squared error, and the scale-invariant error of logarithms."""
+    log = F.ln(F.greatest(-guess, F.lit(1e-10))) - F.ln(-truth)
+    return {"l1": F.avg(F.abs(truth - guess)), "l2": F.avg((truth - guess) * (truth - guess)), "scale_free": F.avg(log * log) - F.avg(log) * F.avg(log)}
+
+
+def class_losses(p: Column, label: Column, alpha: float = 0.25, gamma: float = 2.0) -> dict[str, Column]:
+    """Aggregates for a probability p and a 0/1 label: cross-entropy and focal loss."""
+    held = F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))
+    right = F.when(label == 1, held).otherwise(1 - held)
+    weight = F.when(label == 1, alpha).otherwise(1 - alpha)
+    return {"cross_entropy": F.avg(-F.ln(right)), "focal": F.avg(-weight * F.pow(1 - right, F.lit(gamma)) * F.ln(right))}

@@ -288,3 +288,19 @@ def _costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hungarian_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.hungarian(_costs(spark, sf_dir), ["image"])
+
+
+@query()
+def line_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ln.clip_overlaps(segments(spark, sf_dir), threshold=3.0, slack=0.05)
+
+
+@query("""with p as (select 1 / (1 + exp(-embedding[1]::double)) as p, label % 2 as y, -1 - abs(embedding[2]::double) as t, -1 - abs(embedding[3]::double) as g from embeddings),
+h as (select *, case when y = 1 then p else 1 - p end as r, ln(-g) - ln(-t) as l from p)
+select round(avg(-ln(r)), 6) as cross_entropy, round(avg(-(case when y = 1 then 0.25::double else 0.75::double end) * pow(1 - r, 2) * ln(r)), 6) as focal,
+  round(avg(abs(t - g)), 6) as l1, round(avg(pow(t - g, 2)), 6) as l2, round(avg(l * l) - avg(l) * avg(l), 6) as scale_free from h""")
+def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda i: F.col("embedding")[i].cast("double")
+    rows = table(spark, sf_dir, "embeddings").select((1 / (1 + F.exp(-at(0)))).alias("p"), (F.col("label") % 2).alias("y"), (-1 - F.abs(at(1))).alias("t"), (-1 - F.abs(at(2))).alias("g"))
+    parts = mt.class_losses(F.col("p"), F.col("y")) | mt.depth_losses(F.col("t"), F.col("g"))
+    return rows.agg(*(r(c).alias(n) for n, c in parts.items()))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.homography import TEMPLATE, court_homographies
-from ..operators.tracking import ball, players, world
+from ..operators.tracking import ball, players, single, world
 from ..operators.tracking.runner import track
-from .catalog import frames, query
+from .catalog import FRAMES, frames, query
 
 #: Pixels to court metres for a camera straight above: 0.02 m for each pixel, and that court in metres.
 FLAT = (0.02, 0.0, 0.0, 0.0, 0.035, 0.0, 0.0, 0.0, 1.0)
@@ -54,3 +54,20 @@ def court_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = 1 + F.col("p.v") * (1 + F.col("video_id") % 7) * 1e-5
     seen = videos.select("video_id", "step_idx", F.explode(places).alias("p"))
     return court_homographies(seen.select("video_id", "step_idx", "p.point", ((F.col("p.u") * 0.4 + 100) / w).alias("x"), ((F.col("p.v") * 0.2 + 50) / w).alias("y")))
+
+
+@query()
+def single_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return track(ball_boxes(spark, sf_dir), lambda: single.SingleTracker(single.SingleSettings(FLAT, COURT_M)), single.SCHEMA)
+
+
+@query(FRAMES.replace("with f", "with recursive f") + """,
+p as (select video_id, frame, value / 500 as x, lag(value) over (partition by video_id order by frame) is not null as has from f),
+c as (select video_id, frame, x, has from p where frame = 0
+  union all select p.video_id, p.frame, case when p.has and c.has and abs(p.x - c.x) > 0.1::double then c.x + sign(p.x - c.x) * 0.1::double else p.x end, p.has
+  from c join p on p.video_id = c.video_id and p.frame = c.frame + 1)
+select video_id, frame, round(x, 6) as x from c
+""")
+def velocity_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir).select("video_id", "frame", F.lit(0).alias("det"), (F.col("value") / 500).alias("x"), F.lit(0.0).alias("y"), F.when(F.col("frame") > 0, F.lit(1.0)).alias("raw"))
+    return track(rows, single.ClampSteps, single.CLAMP_SCHEMA).select("video_id", "frame", F.round("x", 6).alias("x"))

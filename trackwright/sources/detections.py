@@ -85,3 +85,22 @@ def send(rows: DataFrame, post: Callable[[str, str], int], path: str, video_id:
     if status != 200:
         raise SendError(f"{path}: status {status}")
     return len(data)
+
+
+CALIBRATION = "video_id string, h array<double>, mode string, width double, height double"
+
+
+def read_calibration(spark: SparkSession, path: str, strict: bool = True, least_det: float = 1e-12) -> DataFrame:
+    """Homographies (nine numbers, row by row). One that is not finite or has no inverse fails, or becomes the identity."""
+    raw = spark.read.schema(CALIBRATION).parquet(path)
+    h = [F.col("h")[i] for i in range(9)]
+    det = h[0] * (h[4] * h[8] - h[5] * h[7]) - h[1] * (h[3] * h[8] - h[5] * h[6]) + h[2] * (h[3] * h[7] - h[4] * h[6])
+    finite = (F.size("h") == 9) & F.forall("h", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.coalesce(finite & (F.abs(det) >= least_det), F.lit(False))
+    other = F.raise_error(F.lit("not a homography")).cast("array<double>") if strict else F.array(*(F.lit(float(i % 4 == 0)) for i in range(9)))
+    return raw.withColumn("h", F.when(good, F.col("h")).otherwise(other))
+
+
+def needs_transcoding(width: int, height: int, fps: float, size: tuple[int, int] = (1280, 720), target: float = 30.0) -> bool:
+    """Whether a video is of another size, or its frame rate differs by more than 0.1."""
+    return (width, height) != size or abs(fps - target) > 0.1
