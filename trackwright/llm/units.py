@@ -24,7 +24,7 @@ WITH_SPACE = re.compile(f"[ \n]*[^{LETTERS} \n]*[{LETTERS}]+|[ \n]*[^{LETTERS} \
 WITHOUT_SPACE = re.compile(f"[^{LETTERS} \n]*[{LETTERS}]+|[^{LETTERS} \n]+")
 
 #: Characters handled at once in a task, and entries of each cache in a Python worker.
-CHARS_AT_ONCE, CACHE_ENTRIES = 4_000_000, 600_000
+CHARS_AT_ONCE, CACHE_ENTRIES = 2_000_000, 200_000
 
 
 def is_plain(text: str) -> bool:
