@@ -74,16 +74,18 @@ def suppress(boxes: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def inside(point: np.ndarray, polygon: np.ndarray, eps: float = 1e-9) -> bool:
-    """Even-odd test, edges included."""
-    a, b = polygon, np.roll(polygon, -1, axis=0)
-    cross = (point[0] - a[:, 0]) * (b[:, 1] - a[:, 1]) - (point[1] - a[:, 1]) * (b[:, 0] - a[:, 0])
-    box = (np.minimum(a, b) - eps <= point).all(axis=1) & (point <= np.maximum(a, b) + eps).all(axis=1)
-    if (box & (np.abs(cross) <= eps)).any():
-        return True
-    straddles = (a[:, 1] > point[1]) != (b[:, 1] > point[1])
-    with np.errstate(divide="ignore", invalid="ignore"):
-        at = (b[:, 0] - a[:, 0]) * (point[1] - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]
-    return bool((straddles & (point[0] < at)).sum() % 2)
+    """Even-odd test, edges included. A polygon has few edges, so plain numbers are faster here than arrays."""
+    x, y = float(point[0]), float(point[1])
+    odd, corners = False, polygon.tolist()
+    ax, ay = corners[-1]
+    for bx, by in corners:
+        cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
+        if abs(cross) <= eps and min(ax, bx) - eps <= x <= max(ax, bx) + eps and min(ay, by) - eps <= y <= max(ay, by) + eps:
+            return True
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            odd = not odd
+        ax, ay = bx, by
+    return odd
 
 
 def widened(polygon: np.ndarray, margin: float) -> np.ndarray:
@@ -156,6 +158,7 @@ class BallTracker:
     def __post_init__(self) -> None:
         self.h = np.array(self.s.homography, float).reshape(3, 3)
         self.court = np.array(self.s.court, float)
+        self.trust, self.near = widened(self.court, self.s.trust_margin), widened(self.court, self.s.near_margin)
         self.diagonal = float(np.hypot(*self.s.size))
         self.dt = 1.0 / self.s.fps
 
@@ -234,8 +237,8 @@ class BallTracker:
         small, large = stretch(self.h, before)
         low, high, most = small * b.speed, large * b.speed, s.max_kmh / 3.6
         if b.plane is not None:
-            trust, moved = widened(self.court, s.trust_margin), float(np.hypot(*(plane - b.plane))) / seconds
-            if inside(b.plane, trust) and inside(plane, trust) and large <= s.max_condition * max(small, 1e-12) and low / s.guard <= moved <= high * s.guard:
+            moved = float(np.hypot(*(plane - b.plane))) / seconds
+            if inside(b.plane, self.trust) and inside(plane, self.trust) and large <= s.max_condition * max(small, 1e-12) and low / s.guard <= moved <= high * s.guard:
                 return min(moved, most)
         return min((low + high) / 2, most)
 
@@ -285,14 +288,14 @@ class BallTracker:
 
     def _choose(self) -> None:
         """The track in play stays so while it is seen and eligible; then the fastest eligible one; then it is kept unseen."""
-        s, near = self.s, widened(self.court, self.s.near_margin)
+        s = self.s
         on_court = {b.id: b.plane is not None and inside(b.plane, self.court) for b in self.balls}
         crowd = sum(on_court.values()) > 1
 
         def eligible(b: Ball) -> bool:
             if b.known:
                 return self._pace(b) >= (s.slow_inside if crowd else 0.0) if on_court[b.id] else self._pace(b) >= s.slow_outside
-            return on_court[b.id] or (b.plane is not None and inside(b.plane, near) and b.conf >= s.unknown_conf)
+            return on_court[b.id] or (b.plane is not None and inside(b.plane, self.near) and b.conf >= s.unknown_conf)
 
         fit = [b for b in self.balls if b.missed == 0 and eligible(b)]
         if any(b.id == self.active for b in fit):
