@@ -35,31 +35,38 @@ def with_windows(df: DataFrame, before: int, after: int, chunk: int = CHUNK, **c
     return in_chunks(df, before, after, chunk).withColumns(columns).where("core").drop("part", "core")
 
 
-def _carried(df: DataFrame, summary: Column, carry: Column, chunk: int) -> DataFrame:
-    """df in its chunks, with carry: what a window expression over all earlier (or later) chunks' summaries gives."""
-    parts = df.withColumn("part", chunk_of(F.col(ORDER), chunk))
-    summaries = parts.groupBy(KEY, "part").agg(summary.alias("summary"))
-    return parts.join(summaries.select(KEY, "part", carry.alias("carry")), [KEY, "part"])
-
-
 def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) -> DataFrame:
     """name: the sum of value over this and all earlier frames of the video."""
+    parts = df.withColumn("__v", value).withColumn("part", chunk_of(F.col(ORDER), chunk))
     before = Window.partitionBy(KEY).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = _carried(df.withColumn("__v", value), F.sum("__v"), F.coalesce(F.sum("summary").over(before), F.lit(0)), chunk)
+    sums = parts.groupBy(KEY, "part").agg(F.sum("__v").alias("sum"))
+    carry = sums.select(KEY, "part", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("carry"))
     local = F.sum("__v").over(part_window().rowsBetween(Window.unboundedPreceding, 0))
-    return parts.withColumn(name, F.col("carry") + F.coalesce(local, F.lit(0))).drop("part", "carry", "__v")
+    return parts.join(carry, [KEY, "part"]).withColumn(name, F.col("carry") + F.coalesce(local, F.lit(0))).drop("part", "carry", "__v")
 
 
-def filled(df: DataFrame, value: Column, name: str, forward: bool, chunk: int = CHUNK) -> DataFrame:
-    """name: struct(frame, value) of the nearest row at or before (forward) or at or after this one whose value is not null."""
+def around(df: DataFrame, value: Column, last: str, following: str, chunk: int = CHUNK) -> DataFrame:
+    """last and following: struct(frame, value) of the nearest row with a value at or before each row, and at or after it."""
     at = F.when(value.isNotNull(), F.struct(F.col(ORDER).alias("frame"), value.alias("value")))
-    whole, rest = (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
-    near = F.max if forward else F.min
-    pick = F.last if forward else F.first
-    over_parts = Window.partitionBy(KEY).orderBy("part").rowsBetween(whole, rest)
-    parts = _carried(df.withColumn("__at", at), near("__at"), pick("summary", ignorenulls=True).over(over_parts), chunk)
-    inside = part_window().rowsBetween(*((Window.unboundedPreceding, 0) if forward else (0, Window.unboundedFollowing)))
-    return parts.withColumn(name, F.coalesce(pick("__at", ignorenulls=True).over(inside), F.col("carry"))).drop("part", "carry", "__at")
+    parts = df.withColumn("__at", at).withColumn("part", chunk_of(F.col(ORDER), chunk))
+    ends = parts.groupBy(KEY, "part").agg(F.max("__at").alias("hi"), F.min("__at").alias("lo"))
+    by_part = Window.partitionBy(KEY).orderBy("part")
+    carry = ends.select(
+        KEY, "part",
+        F.last("hi", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
+        F.first("lo", ignorenulls=True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+    )
+    inside = part_window()
+    here = parts.join(carry, [KEY, "part"]).withColumns({
+        last: F.coalesce(F.last("__at", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before")),
+        following: F.coalesce(F.first("__at", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__after")),
+    })
+    return here.drop("part", "__at", "__before", "__after")
+
+
+def filled(df: DataFrame, value: Column, name: str, forward: bool, chunk: int = CHUNK) -> DataFrame:
+    """name: only one of the two that around gives."""
+    return around(df, value, *((name, "__other") if forward else ("__other", name)), chunk).drop("__other")
 
 
 def centred(width: int) -> tuple[int, int]:
@@ -75,7 +82,7 @@ def rolling_mean(df: DataFrame, value: str, name: str, width: int) -> DataFrame:
 
 def back_then_forward(df: DataFrame, value: str) -> DataFrame:
     """Nulls of value take the next value, or without one the last."""
-    both = filled(filled(df, F.col(value), "__next", forward=False), F.col(value), "__last", forward=True)
+    both = around(df, F.col(value), "__last", "__next")
     return both.withColumn(value, F.coalesce(F.col("__next.value"), F.col("__last.value"))).drop("__next", "__last")
 
 
@@ -125,7 +132,7 @@ def distance_speed(df: DataFrame, distance: Column, fps: float, step: float, max
 
 def nearest_fill(df: DataFrame, value: str) -> DataFrame:
     """value of the nearest frame that has one; of two equally near the earlier. Null in videos without any."""
-    both = filled(filled(df, F.col(value), "__next", forward=False), F.col(value), "__last", forward=True)
+    both = around(df, F.col(value), "__last", "__next")
     back, ahead = F.col(ORDER) - F.col("__last.frame"), F.col("__next.frame") - F.col(ORDER)
     use_last = F.col("__next").isNull() | (back <= ahead)
     return both.withColumn(value, F.when(use_last, F.col("__last.value")).otherwise(F.col("__next.value"))).drop("__next", "__last")
@@ -133,7 +140,7 @@ def nearest_fill(df: DataFrame, value: str) -> DataFrame:
 
 def lerp_gaps(df: DataFrame, value: str) -> DataFrame:
     """Nulls between two values are interpolated; before the first and after the last the nearest value holds."""
-    both = filled(filled(df, F.col(value), "__next", forward=False), F.col(value), "__last", forward=True)
+    both = around(df, F.col(value), "__last", "__next")
     span = F.col("__next.frame") - F.col("__last.frame")
     between = F.col("__last.value") + (F.col("__next.value") - F.col("__last.value")) * (F.col(ORDER) - F.col("__last.frame")) / span
     whole = F.coalesce(F.when(span > 0, between), F.col("__last.value"), F.col("__next.value"))
