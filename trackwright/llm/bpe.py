@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,16 @@ NONE = np.int64(1) << 62
 POS_BITS, SHARED, CELLS = 32, 256, 1 << 21
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+
+
 class Ranks:
     """A rank file: bytes and rank on each line. The rank is the token's id."""
 
     def __init__(self, path: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
-        self.bytes = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
+        self.ranks = read_ranks(path)
         self.single = np.array([self.ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
         pairs = {
             (left << 32) | right: rank
@@ -44,8 +45,7 @@ class Ranks:
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         }
-        self.pairs = pairs
-        # The same pairs in an open-addressing table for whole arrays.
+        # An open-addressing table for whole arrays.
         self.bits = max(4, len(pairs).bit_length() + 2)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.int64)
@@ -61,6 +61,12 @@ class Ranks:
             todo, ranks, slot = todo[rest], ranks[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
             self.probes += 1
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same pairs as a dict; only long pieces need it."""
+        used = self.keys >= 0
+        return dict(zip(self.keys[used].tolist(), self.values[used].tolist(), strict=True))
+
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -223,6 +229,16 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
+@cache
+def vocabulary(path: str) -> list[bytes]:
+    """The bytes of each id; all that decoding needs."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return out
+
+
 @cache
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each Python worker: its cache serves all tasks that the worker runs."""
@@ -251,7 +267,7 @@ def bpe_decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> Data
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = ranks(rank_file).bytes.__getitem__
+        token = vocabulary(rank_file).__getitem__
         for part in slices(batches, ids_col):
             out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])

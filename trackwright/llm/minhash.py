@@ -2,13 +2,16 @@
 
 1. Every text becomes its set of distinct word shingles, and that a MinHash signature. Documents with equal sets form one
    class, and only its smallest id goes on.
-2. Signatures are cut into bands. Documents that share a band are candidates. Inside a bucket not all pairs are formed: in
-   each round all members meet one pivot, and those found similar become one component. When few pairs between different
-   components of a bucket are left (or rounds stop helping), exactly those are compared, so no candidate pair whose link could
-   join two components stays unseen.
-3. A candidate pair's signatures are compared batch by batch. With a uniform prior, the posterior probability that the
-   similarity reaches the threshold is known after each batch, and the pair is dropped once that is below the miss
-   probability. Survivors are confirmed on their full sets.
+2. Signatures are cut into bands. Documents that share a band are candidates. Inside a bucket not all pairs are formed: first
+   all members meet one pivot, the member with the most company in all its buckets (the text that copies were made from), and
+   those found similar become one component.
+3. A pair's signatures are compared batch by batch. With a uniform prior, the posterior probability that the similarity
+   reaches the threshold is known after each batch, and the pair is dropped once that is below the miss probability.
+   Survivors are confirmed on their full sets.
+   What is left are pairs between different components that meet the same pivot. They are joined by pivot, and only true
+   links come out of that join: its condition takes sizes, then the first Bayesian test on one bit of each hash, then the exact
+   similarity. That needs only what each set has and the pivot's has not, or the other way round: with D for these
+   differences, the sets of x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles. No pair inside a component is looked at.
 4. Confirmed links give connected components; a component's id is its smallest document id.
 
 Words are runs of characters other than ASCII white space after lower-casing A-Z. A text with fewer words than a shingle has its
@@ -22,7 +25,6 @@ empty result. Columns other than the named ones are never read.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,8 +58,8 @@ class MinHash:
     batch: int = 48
     miss: float = 1e-6
     seed: int = 7
-    #: Pairs left for each member row at which pivot rounds end.
-    enough: float = 2.0
+    #: Share of the pairs between different components at which pivot rounds end.
+    enough: float = 0.5
 
     @property
     def hashes(self) -> int:
@@ -113,25 +115,34 @@ def signature(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray) ->
     return least
 
 
+def _bits(sig: np.ndarray) -> list[int]:
+    """One bit of each hash, 64 to a number; the rest of the last number is 0."""
+    packed = np.packbits(((sig ^ (sig >> np.uint32(16))) & np.uint32(1)).astype(np.uint8))
+    return np.frombuffer(packed.tobytes().ljust(-(-len(packed) // 8) * 8, b"\0"), np.int64).tolist()
+
+
 def _functions(p: MinHash) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     return rng.integers(0, 1 << 31, p.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, p.hashes, dtype=np.uint32)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> DataFrame:
-    """id, n_shingles, digest (equal for equal sets), sig; digest and sig are null for empty sets."""
+    """id, n_shingles, digest (equal for equal sets), sig, bits (one of each hash); the last three are null for empty sets."""
     schema = T.StructType([
-        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
+        T.StructField("sig", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, shifts = _functions(p)
         for part in slices(batches, "text"):
             sets = shingle_sets([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()], p.words)
+            sigs = [signature(s, factors, shifts) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([
                 part.column("id"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                pa.array([signature(s, factors, shifts).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([s.tobytes() if s is not None else None for s in sigs], pa.binary()),
+                pa.array([_bits(s) if s is not None else None for s in sigs], pa.list_(pa.int64())),
             ], schema.names)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, schema)
@@ -155,21 +166,24 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> DataFr
     return _texts(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def least_matches(p: MinHash) -> list[tuple[int, int]]:
-    """(hashes compared, fewest equal ones that keep a pair) after each batch.
+def fewest_equal(n: int, p: MinHash, bits: bool = False) -> int:
+    """The fewest of n equal hashes (or bits) with which the posterior P(similarity >= threshold) is at least the miss probability.
 
-    With a uniform prior, P(similarity >= t | m of n equal) is the probability of at most m successes in n + 1 trials of chance t.
+    The prior is uniform. Hashes agree with the similarity's probability s, single bits with (1 + s) / 2.
     """
-    t, out = p.percent / 100, []
-    for n in [*range(p.batch, p.hashes, p.batch), p.hashes]:
-        below, m = 0.0, 0
-        while m <= n:
-            below += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            if below >= p.miss:
-                break
-            m += 1
-        out.append((n, m))
-    return out
+    s = (np.arange(4000) + 0.5) / 4000
+    agree = np.log((1 + s) / 2 if bits else s), np.log((1 - s) / 2 if bits else 1 - s)
+    for m in range(n + 1):
+        likely = m * agree[0] + (n - m) * agree[1]
+        likely = np.exp(likely - likely.max())
+        if likely[s >= p.percent / 100].sum() >= p.miss * likely.sum():
+            return m
+    return n
+
+
+def least_matches(p: MinHash) -> list[tuple[int, int]]:
+    """(hashes compared, fewest equal ones that keep a pair) after each batch."""
+    return [(n, fewest_equal(n, p)) for n in [*range(p.batch, p.hashes, p.batch), p.hashes]]
 
 
 def _bayes(pairs: DataFrame, p: MinHash) -> DataFrame:
@@ -233,58 +247,85 @@ def _pairs(df: DataFrame, one: Column, two: Column) -> DataFrame:
     return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).where("a <> b").distinct()
 
 
+def _mixed_buckets(placed: DataFrame) -> DataFrame:
+    """bucket and open (pairs between different components), where there are any."""
+    counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("bucket").agg(
+        F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same")
+    )
+    return mixed.where("all * all > same").select("bucket", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("open"))
+
+
+def _meet_pivots(placed: DataFrame, rank: Column) -> DataFrame:
+    """Pairs of each bucket's member of the highest rank with all its members of other components."""
+    return _pairs(placed.join(_pivots(placed, rank), "bucket").where("comp <> pivot_comp"), F.col("id"), F.col("pivot"))
+
+
+def _pivots(placed: DataFrame, rank: Column) -> DataFrame:
+    best = F.max(F.struct(rank.alias("rank"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")))
+    return placed.groupBy("bucket").agg(best.alias("p")).select("bucket", "p.pivot", "p.pivot_comp")
+
+
+def _links_beside_pivots(placed: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
+    """Links (a, b) between different components among the members that meet one pivot."""
+    families = placed.join(_pivots(placed, F.col("company")).hint("merge"), "bucket").where("id <> pivot").select("pivot", "id").distinct()
+    families = materialise(families.join(labels, "id"), "families")
+    majors = families.groupBy("pivot", "comp").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("parts"))
+    mixed = families.join(majors.where("parts > 1").drop("parts"), "pivot")
+    own, pivots = sets.withColumnRenamed("shingles", "own"), sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("base"))
+    delta = F.concat(F.array_except("own", "base"), F.array_except("base", "own"))
+    here = mixed.join(own.hint("merge"), "id").join(pivots.hint("merge"), "pivot").select("pivot", "id", "comp", "major", delta.alias("delta"))
+    here = materialise(here.join(known.select("id", "n_shingles", "bits"), "id"), "deltas")
+
+    small = here.where("comp <> major").select("pivot", *(F.col(c).alias(f"{c}_one") for c in ("id", "comp", "n_shingles", "bits", "delta")))
+    new = (F.col("comp") != F.col("comp_one")) & ((F.col("comp") == F.col("major")) | (F.col("id_one") < F.col("id")))
+    sizes = 100 * F.least("n_shingles", "n_shingles_one") >= p.percent * F.greatest("n_shingles", "n_shingles_one")
+    differ = [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_one")[i])) for i in range(-(-p.hashes // 64))]
+    alike = sum(differ[1:], differ[0]) <= p.hashes - fewest_equal(p.hashes, p, bits=True)
+    total = F.col("n_shingles") + F.col("n_shingles_one")
+    common = (total - F.size("delta") - F.size("delta_one")) / 2 + F.size(F.array_intersect("delta", "delta_one"))
+    exact = 100 * common >= p.percent * (total - common)
+    joined = small.join(here.hint("merge"), "pivot").where(new & sizes & F.when(alike, exact).otherwise(False))
+    return _pairs(joined, F.col("id_one"), F.col("id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHash = MinHash()) -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept."""
     signed = materialise(signatures(docs, id_col, text_col, p), "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = materialise(
-        usable.groupBy("digest").agg(F.min(F.struct("id", "sig")).alias("first")).select("digest", F.col("first.id").alias("id"), F.col("first.sig").alias("sig")),
-        "classes",
+        usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bits", "sig")).alias("first")).select("digest", "first.*"), "classes"
     )
     band = F.transform(
         F.sequence(F.lit(0), F.lit(p.bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * p.rows) + 1, F.lit(4 * p.rows)))
     )
     banded = classes.select("id", F.explode(band).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialise(banded.join(shared, "bucket"), "members")
-    ids = materialise(members.select("id").distinct(), "candidates")
-    sigs = materialise(classes.select("id", "sig").join(ids, "id"), "candidate-signatures")
-    sets = materialise(full_sets(docs.join(ids.withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left_semi"), id_col, text_col, p).dropDuplicates(["id"]), "sets")
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialise(banded.join(shared.hint("merge"), "bucket"), "members")
+    ids = materialise(members.groupBy("id").agg(F.sum("n").alias("company")), "candidates")
+    known = materialise(classes.drop("digest").join(ids.hint("merge"), "id"), "candidate-signatures")
+    wanted = ids.select(F.col("id").alias("__id")).hint("merge")
+    sets = materialise(full_sets(docs.join(wanted, F.col(id_col) == F.col("__id"), "left_semi"), id_col, text_col, p).dropDuplicates(["id"]), "sets")
 
     labels = ids.select("id", F.col("id").alias("comp"))
-    tested = None
-    left, rows = None, members.count()
-    for step in range(64):
-        placed = members.join(labels, "id")
-        counts = placed.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        mixed = counts.groupBy("bucket").agg(
-            F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.max(F.struct("n", "comp"))["comp"].alias("major")
-        ).where("all * all > same")
-        mixed = materialise(mixed, "mixed-buckets")
-        open_ = (mixed.agg(F.sum((F.col("all") * F.col("all") - F.col("same")) / 2)).first()[0]) or 0
-        last = left is not None and (open_ <= p.enough * rows or open_ > 0.7 * left)
-        left = open_
+    left, step = None, 0
+    while True:
+        placed = members.select("bucket", "id").join(known.select("id", "company").join(labels, "id"), "id")
+        mixed = materialise(_mixed_buckets(placed), "mixed-buckets")
+        open_ = mixed.agg(F.sum("open")).first()[0] or 0
         if not open_:
             break
-        if last:
-            # All pairs of different components; the largest component of a bucket is never paired with itself.
-            here = placed.join(mixed.select("bucket", "major"), "bucket")
-            small = here.where("comp <> major").select("bucket", F.col("id").alias("one"), F.col("comp").alias("comp_one"))
-            pairs = small.join(here, "bucket").where((F.col("comp") != F.col("comp_one")) & ((F.col("comp") == F.col("major")) | (F.col("one") < F.col("id"))))
-            pairs = _pairs(pairs, F.col("one"), F.col("id"))
-        else:
-            here = placed.join(mixed.select("bucket"), "bucket")
-            pivots = here.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(step)), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp"))).alias("p"))
-            pairs = here.join(pivots.select("bucket", "p.pivot", "p.pivot_comp"), "bucket").where("comp <> pivot_comp")
-            pairs = _pairs(pairs, F.col("id"), F.col("pivot"))
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        labels = components(materialise(verify(pairs, sigs, sets, p), "links"), labels)
-        if last:
+        placed = placed.join(mixed.select("bucket"), "bucket")
+        # The first pivots nearly always leave little; others follow only while much is left and the last ones helped.
+        if left is not None and (open_ <= p.enough * left or open_ > 0.9 * last):
+            labels = components(materialise(_links_beside_pivots(placed, known, labels, sets, p), "links"), labels)
             break
+        left, last = left or open_, open_
+        pairs = materialise(_meet_pivots(placed, F.xxhash64("id", F.lit(step)) if step else F.col("company")), "pairs")
+        labels, step = components(materialise(verify(pairs, known, sets, p), "links"), labels), step + 1
 
     comp = classes.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    joined = signed.join(comp, "digest", "left")
+    joined = signed.select("id", "n_shingles", "digest").join(comp, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
     return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 

@@ -26,6 +26,8 @@ from .units import WITHOUT_SPACE, Cache, is_plain, slices
 
 #: Bytes of a row group and of a page, rows of a page: small enough that a selective read skips most of a file.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
+#: Entries of each cache in a Python worker; the library takes long for a new word.
+CACHED = 450_000
 
 
 class WordEncoder:
@@ -37,8 +39,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = Cache(self._library)
-        self.words = Cache(lambda words: self.units.ids([WITHOUT_SPACE.findall(w) for w in words]))
+        self.units = Cache(self._library, CACHED)
+        self.words = Cache(lambda words: self.units.ids([WITHOUT_SPACE.findall(w) for w in words]), CACHED)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,7 +105,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     shards = store.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     starts = shards.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shard_start"))
-    return store.join(starts, "shard").withColumn("start", F.col("shard_start") + F.col("start_in_shard")).drop("shard_start")
+    # There are as many shards as shuffle partitions at most, which bounds the broadcast.
+    return store.join(F.broadcast(starts), "shard").withColumn("start", F.col("shard_start") + F.col("start_in_shard")).drop("shard_start")
 
 
 def with_checksum(tokens: DataFrame) -> DataFrame:
