@@ -34,7 +34,8 @@ class Shape:
     block: int = 128
     max_rows: int = 2000
     max_chunks: int = 24
-    epochs: int = 8
+    #: Steps of Adam, whatever the number of documents: few documents are seen more often.
+    steps: int = 500
     batch: int = 32
     rate: float = 0.01
     seed: int = 3
@@ -111,7 +112,8 @@ class Network:
         params = {"table": self.table, "bias": self.bias, "weights": self.weights, "offset": np.array([self.offset], np.float32)}
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
         step, f = 0, s.filters
-        for epoch in range(s.epochs):
+        epochs = max(1, -(-s.steps * s.batch // len(chunks)))
+        for epoch in range(epochs):
             order = rng.permutation(len(chunks))
             for at in range(0, len(order), s.batch):
                 some = order[at : at + s.batch]
@@ -140,7 +142,7 @@ class Network:
                     table[j] = np.bincount((byte * f + column).ravel(), back.ravel(), 256 * f).reshape(256, f)
                 grads["table"] = table
                 step += 1
-                pace = s.rate * (1 - epoch / s.epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                pace = s.rate * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grads.items():
                     m, v = moments[k]
                     m += 0.1 * (g - m)
