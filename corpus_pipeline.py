@@ -40,7 +40,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN
     texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
     encoded = bpe_encode(texts.select(F.struct("doc_id", "text_sha256").alias("key"), "text"), ranks, pattern, id_col="key")
-    decoded = bpe_decode(encoded, ranks)
+    # Written in between: a task that encoded and decoded at once would keep two Python workers with their caches.
+    decoded = bpe_decode(materialise(encoded, "encoded"), ranks)
     exact = F.sha2("decoded", 256) == F.col("key.text_sha256")
     return decoded.select("key.doc_id", "n_tokens", "ids", exact.alias("exact"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..session import scratch, table
+from ..session import materialise, scratch, table
 from . import byte_cnn
 from .bpe import bpe_decode, bpe_encode
 from .exact_dedup import exact_dedup
@@ -34,7 +34,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN
-    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
+    # Written in between: a task that encoded and decoded at once would keep two Python workers with their caches.
+    encoded = materialise(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), "encoded")
+    decoded = bpe_decode(encoded, ranks)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
