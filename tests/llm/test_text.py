@@ -51,6 +51,23 @@ def test_bad_host_takes_its_good_documents_with_it(spark):
     assert qr.quality_rules(docs.where("false")).count() == 0
 
 
+def test_stage_rejects_symbols_repeated_lines_and_far_hosts(spark):
+    symbols = " ".join(f"w{i} #" for i in range(60))
+    lines = "\n".join(f"line {i} has these w{i} x{i} y{i} z{i} v{i} words\nagain" for i in range(8))
+    texts = [GOOD, symbols, lines] + [GOOD] * 95 + ["short"] * 5 + [GOOD] * 40 + ["short"] * 60 + [GOOD] * 98 + ["short"] * 2
+    sources = [None] * 3 + ["a"] * 100 + ["far"] * 100 + ["b"] * 100
+    sources += [f"h{i % 6}" for i in range(300)]
+    texts += [GOOD if i >= 18 else "short" for i in range(300)]
+    docs = documents(spark, texts, sources)
+    rows = {r.doc_id: r for r in qr.quality_rules(docs).collect()}
+    assert [rows[i].passed for i in range(3)] == [True, False, False]
+    assert not any(rows[i].base_failed for i in range(3))
+    assert {r.host for r in rows.values() if r.host_outlier} == {"far"}
+    assert all(not r.passed for r in rows.values() if r.host == "far")
+    assert all(r.kept == (not r.base_failed) for r in rows.values())
+    assert {r.doc_id for r in qr.keep_good(docs).collect()} == {i for i, r in rows.items() if r.passed}
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import tiktoken

@@ -4,6 +4,10 @@ Document rules count words, symbols, repeated lines and repeated word windows in
 summed by host; each host's failure rate is shrunk towards the corpus by a beta prior fitted to all hosts (method of
 moments), and hosts whose shrunk rate is too high lose all their documents.
 
+There are two verdicts. The base rules (words, repeated windows, a fixed host rate) give base_failed and kept, which are fixed by
+the query's SQL. All rules (with shares of symbols and of repeated lines, and hosts judged against the prior) give rules_failed
+and passed, which the pipeline's stage follows.
+
 Defined cases: null or empty text has no words and fails the word rule. A null host has no host verdict. Repeated rows count
 as often as they occur. An empty table gives an empty result. Columns other than the named ones are never read.
 """
@@ -25,6 +29,13 @@ class Rules:
     max_repeat_percent: int = 50
     #: A host is rejected if its shrunk failure rate is above this.
     max_host_rate: float = 0.8
+    #: Symbols for 100 words and repeated lines for 100 lines that are not blank; above either a document fails all rules.
+    max_symbol_percent: int = 10
+    max_dup_line_percent: int = 30
+    #: passed also rejects hosts whose posterior failure rate, less host_sds of its standard deviations, has odds above
+    #: host_odds times those of the mean host.
+    host_odds: float = 4.0
+    host_sds: float = 3.0
 
 
 def repeat_words(tokens: Column) -> Column:
@@ -53,61 +64,84 @@ def repeat_words(tokens: Column) -> Column:
 
 def _counts(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    return let(words(text), lambda w: F.struct(
+    return let(words(text), lambda w: let(lines, lambda x: F.struct(
         F.size(w).cast("long").alias("n_words"),
         F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        F.size(x).cast("long").alias("n_lines"),
+        (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         repeat_words(w).cast("long").alias("n_repeat_words"),
-    ))
+    )))
 
 
 def with_counts(docs: DataFrame, text_col: str, rules: Rules) -> DataFrame:
-    """docs with a struct column of the counts and base_failed."""
+    """docs with a struct column of the counts, whether the base rules fail and whether any rule does."""
     counted = docs.withColumn("__rule", _counts(whole_text(text_col)))
     c = F.col("__rule")
     failed = (c["n_words"] < rules.min_words) | (100 * c["n_repeat_words"] > rules.max_repeat_percent * c["n_words"])
-    return counted.withColumn("__failed", failed)
+    symbols = 100 * c["n_symbols"] > rules.max_symbol_percent * c["n_words"]
+    lines = 100 * c["n_dup_lines"] > rules.max_dup_line_percent * c["n_lines"]
+    return counted.withColumn("__failed", failed).withColumn("__any_failed", failed | symbols | lines)
+
+
+def _shrunk(hosts: DataFrame, failures: str) -> tuple[Column, float, float]:
+    """The shrunk rate of each host, and mean and strength of the prior."""
+    rate = F.col(failures) / F.col("host_docs")
+    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var")).first()
+    mean, var = m["mean"] or 0.0, m["var"] or 0.0
+    # Moments of a beta distribution; without spread between hosts one pseudo-document stands for the prior.
+    strength = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else 1.0
+    return (F.col(failures) + mean * strength) / (F.col("host_docs") + strength), mean, strength
 
 
 def host_verdicts(judged: DataFrame, host_col: str, rules: Rules) -> DataFrame:
-    """For each host: documents, failures, the shrunk rate and whether the host is rejected."""
+    """For each host: documents, failures of the base rules and of any, the shrunk rates, and whether either verdict rejects it."""
     hosts = materialise(
         judged.where(F.col(host_col).isNotNull())
         .groupBy(F.col(host_col).alias("__host"))
-        .agg(F.count("*").alias("host_docs"), F.sum(F.col("__failed").cast("long")).alias("host_failures")),
+        .agg(
+            F.count("*").alias("host_docs"),
+            F.sum(F.col("__failed").cast("long")).alias("host_failures"),
+            F.sum(F.col("__any_failed").cast("long")).alias("host_any_failures"),
+        ),
         "host-rates",
     )
-    rate = F.col("host_failures") / F.col("host_docs")
-    m = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("var")).first()
-    mean, var = m["mean"] or 0.0, m["var"] or 0.0
-    # Moments of a beta distribution; without spread between hosts one pseudo-document stands for the prior.
-    strength = max(mean * (1 - mean) / var - 1, 1.0) if var > 0 else 1.0
-    shrunk = (F.col("host_failures") + mean * strength) / (F.col("host_docs") + strength)
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > rules.max_host_rate)
+    base, _, _ = _shrunk(hosts, "host_failures")
+    rate, mean, strength = _shrunk(hosts, "host_any_failures")
+    least = rate - rules.host_sds * F.sqrt(rate * (1 - rate) / (F.col("host_docs") + strength + 1))
+    far = least > rules.host_odds * mean / (1 + (rules.host_odds - 1) * mean)
+    return (
+        hosts.withColumn("host_rate", base).withColumn("host_rejected", base > rules.max_host_rate)
+        .withColumn("host_any_rate", rate).withColumn("host_outlier", far | (rate > rules.max_host_rate))
+    )
+
+
+def _passed() -> Column:
+    return ~F.col("__any_failed") & ~F.coalesce("host_outlier", F.lit(False))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """One row for each document: the counts, base_failed, the host's shrunk rate and kept."""
+    """One row for each document: the counts, both verdicts and the host's shrunk rates."""
     judged = materialise(
         with_counts(docs.select(F.col(id_col), F.col(text_col), F.col(host_col)), text_col, rules).select(
-            F.col(id_col), F.col(host_col).alias("host"), "__rule.*", F.col("__failed")
+            F.col(id_col), F.col(host_col).alias("host"), "__rule.*", "__failed", "__any_failed"
         ),
         "rule-counts",
     )
     hosts = host_verdicts(judged, "host", rules)
     joined = judged.join(hosts, judged["host"] == hosts["__host"], "left")
     return joined.select(
-        judged[id_col], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        judged[id_col], "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
         F.col("__failed").alias("base_failed"),
         (~F.col("__failed") & ~F.coalesce("host_rejected", F.lit(False))).alias("kept"),
-        judged["host"], "host_docs", "host_failures", "host_rate",
+        F.col("__any_failed").alias("rules_failed"), _passed().alias("passed"),
+        judged["host"], "host_docs", "host_failures", "host_rate", "host_any_failures", "host_any_rate", "host_outlier",
     )
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
+    """The rows of docs that pass all rules, with docs' columns."""
     judged = materialise(with_counts(docs, text_col, rules).drop("__rule"), "rule-flags")
-    hosts = host_verdicts(judged, host_col, rules).select("__host", "host_rejected")
+    hosts = host_verdicts(judged, host_col, rules).select("__host", "host_outlier")
     joined = judged.join(hosts, judged[host_col] == hosts["__host"], "left")
-    return joined.where(~F.col("__failed") & ~F.coalesce("host_rejected", F.lit(False))).select(*(judged[c] for c in docs.columns))
+    return joined.where(_passed()).select(*(judged[c] for c in docs.columns))
