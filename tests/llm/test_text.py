@@ -198,6 +198,28 @@ def test_rates_solve_the_least_squares(spark):
     assert miss(w) <= miss(slow) + 1e-3
 
 
+@pytest.mark.parametrize("shares", [(0.94, 0.05, 0.01), (0.985, 0.01, 0.005)])
+def test_default_settings_meet_targets_of_rare_domains(spark, shares):
+    p = np.repeat(np.full((3, 3), 0.01) + np.eye(3) * 0.97, np.round(np.array(shares) * 2000).astype(int), axis=0)
+    t = np.random.default_rng(3).integers(50, 400, len(p))
+    table = spark.createDataFrame([(int(n), row.tolist()) for n, row in zip(t, p, strict=True)], "n_tokens bigint, p array<double>")
+    targets = np.array([0.9, 0.05, 0.05])
+    fit = mixing.fit_rates(table, targets, mixing.Settings())
+    assert fit.converged
+    assert (fit.rates(p, t) * t) @ p / t.sum() == pytest.approx(targets, rel=1e-3)
+
+
+def test_unreachable_targets_are_reported(spark, caplog):
+    """With rates of at most 1 the rare domain can't grow: the fit is the nearest point, and says what it misses."""
+    p, t = np.repeat(np.eye(2), [90, 10], axis=0), np.full(100, 10)
+    table = spark.createDataFrame([(int(n), row.tolist()) for n, row in zip(t, p, strict=True)], "n_tokens bigint, p array<double>")
+    fit = mixing.fit_rates(table, np.array([0.5, 0.5]), mixing.Settings(max_rate=1.0))
+    assert fit.converged
+    assert (fit.rates(p, t) * t) @ p / t.sum() == pytest.approx([0.5, 0.1], abs=1e-5)
+    assert fit.residual == pytest.approx([0.0, -0.4], abs=1e-5)
+    assert "missed" in caplog.text
+
+
 def test_mixing_edges(spark):
     docs = documents(spark, EDGES, ids=[0, 0, None, *range(3, 10)])
     none = spark.createDataFrame([], "doc_id bigint, domain string")

@@ -3,8 +3,11 @@
 A classifier trained on a labelled table predicts for every document how likely it is of each domain: softmax regression on the
 square roots of the shares of hashed byte 4-grams. Non-negative document rates are then fitted by projected gradient, so that the
 expected tokens of each domain (rate times tokens times probability, summed over all documents) come as near to the targets as
-least squares can. Every gradient step is one pass of Spark tasks over the table of probabilities; only one sum for each domain
-reaches the driver, and a document's rate follows from the steps' residuals, so lost tasks are simply run again.
+least squares can. A rate is the projection of 1 less the document's probabilities times the steps' sum onto the allowed range; a
+step is the gradient scaled by the inverse Gram matrix of the documents inside the range, so rare domains move as fast as common
+ones. Every step is one pass of Spark tasks over the table of probabilities; only sums over domains reach the driver, and a
+document's rate follows from one number for each domain, so lost tasks are simply run again. Of all rates that are equally near to
+the targets, those nearest to 1 (weighted by tokens) are taken. Domains whose target can't be met are logged.
 
 The classifier is fitted on the driver to at most max_rows labelled documents (smallest hashes of their ids first).
 
@@ -15,6 +18,7 @@ empty result. Columns other than the named ones are never read.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +38,8 @@ class Settings:
     max_rows: int = 3000
     buckets: int = 4096
     epochs: int = 150
-    #: Gradient steps end when no domain's residual changes by more than this share of all tokens, or after max_steps.
+    #: Gradient steps end when no part of the gradient is above this share of its domain's target, or after max_steps (which is
+    #: logged).
     tolerance: float = 1e-4
     max_steps: int = 60
     #: The largest rate, or None.
@@ -116,19 +121,25 @@ def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str,
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+#: Weight of the rates' distance from 1 beside the targets; lengths of a step that one pass tries.
+_NEAR, _LENGTHS = 1e-8, 4.0 ** -np.arange(15)
+_log = logging.getLogger(__name__)
+
+
 @dataclass(frozen=True)
 class Fit:
-    """The projected-gradient steps: a document's rate follows from its probabilities and the residual of each step."""
+    """The projected-gradient steps: a document's rate follows from its probabilities and the sum of the steps.
 
-    residuals: np.ndarray
-    step: float
+    residual: what the domains' shares are above the targets in the end.
+    """
+
+    steps: np.ndarray
     max_rate: float | None
+    residual: np.ndarray
+    converged: bool = True
 
     def rates(self, p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        rate = np.ones(len(p))
-        for r in self.residuals:
-            rate = np.clip(rate - self.step * (p @ r), 0, self.max_rate)
-        return np.where(tokens > 0, rate, 1.0)
+        return np.where(tokens > 0, np.clip(1 - p @ self.steps, 0, self.max_rate), 1.0)
 
 
 def _p_and_tokens(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,42 +147,65 @@ def _p_and_tokens(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def fit_rates(table: DataFrame, targets: np.ndarray, s: Settings) -> Fit:
-    """Least squares over all rows of table (n_tokens, p). targets: shares of all tokens.
+    """Least squares over all rows of table (n_tokens, p), with a very small weight on rates other than 1. targets: shares of all tokens.
 
-    Distances between rates are weighted by tokens, so a step moves a rate by the residuals of its domains alone. The step's
-    length is one over the largest eigenvalue of the domains' Gram matrix.
+    With rates clip(1 - p . x), x minimises a convex function of one number for each domain, whose gradient is x times the weight
+    less the domains' residuals. A pass tries all lengths of a step at once; the one with the least value is taken.
     """
     k = len(targets)
 
-    def sums(of: pa.Array | Fit | None) -> np.ndarray:
+    def sums(tried: np.ndarray) -> np.ndarray:
+        """For each of tried: tokens, the function's sum, tokens of each domain and the Gram matrix of rates inside the range."""
+        width = 2 + k + k * k
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(k if of is not None else k * k + 1)
-            for b in batches:
-                p, t = _p_and_tokens(b, k)
-                if of is None:
-                    total += np.concatenate([((p * t[:, None]).T @ p).ravel(), [t.sum()]])
-                else:
-                    total += (of.rates(p, t) * t) @ p
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["i", "v"])
+            total = np.zeros((len(tried), width))
+            for batch in batches:
+                p, t = _p_and_tokens(batch, k)
+                for row, x in zip(total, tried, strict=True):
+                    pull = p @ x
+                    rate = np.clip(1 - pull, 0, s.max_rate)
+                    inside = t * ((rate > 0) & (rate < (np.inf if s.max_rate is None else s.max_rate)))
+                    row[0] += t.sum()
+                    row[1] += t @ ((rate - 1) ** 2 / 2 + pull * rate)
+                    row[2 : 2 + k] += (rate * t) @ p
+                    row[2 + k :] += ((p * inside[:, None]).T @ p).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(total.size), pa.int32()), pa.array(total.ravel())], ["i", "v"])
 
         rows = table.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(k if of is not None else k * k + 1)
+        out = np.zeros(len(tried) * width)
         for r in rows:
             out[r["i"]] = r["v"]
-        return out
+        return out.reshape(len(tried), width)
 
-    moments = sums(None)
-    tokens = moments[-1]
+    x = np.zeros(k)
+    found = sums(x[None])[0]
+    tokens = found[0]
     if not tokens:
-        return Fit(np.zeros((0, k)), 0.0, s.max_rate)
-    gram = moments[:-1].reshape(k, k) / tokens
-    step, residuals = float(1 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)), []
+        return Fit(x, s.max_rate, np.zeros(k))
+    if s.max_rate is not None and s.max_rate <= 1:
+        found[2 + k :] = sums(np.full((1, k), 1e-9))[0, 2 + k :]  # all rates start at the limit: look just inside
+    scale = np.maximum(np.abs(targets), 1e-6)
+    value = lambda at, row: -row[1] / tokens + at @ targets + _NEAR / 2 * at @ at
+    converged = False
     for _ in range(s.max_steps):
-        now = sums(Fit(np.array(residuals).reshape(-1, k), step, s.max_rate)) / tokens - targets
-        if np.abs(now).max() < s.tolerance or (residuals and np.abs(now - residuals[-1]).max() < s.tolerance):
+        residual = found[2 : 2 + k] / tokens - targets
+        down = residual - _NEAR * x
+        if (np.abs(down) <= s.tolerance * scale).all():
+            converged = True
             break
-        residuals.append(now)
-    return Fit(np.array(residuals).reshape(-1, k), step, s.max_rate)
+        gram = found[2 + k :].reshape(k, k) / tokens + _NEAR * np.eye(k)
+        tried = x + _LENGTHS[:, None] * np.linalg.solve(gram, down)
+        passed = sums(tried)
+        values = [value(at, row) for at, row in zip(tried, passed, strict=True)]
+        best = int(np.argmin(values))
+        x, found = tried[best], passed[best]
+    residual = found[2 : 2 + k] / tokens - targets
+    if not converged:
+        _log.warning("rates are not at their optimum after %d steps: gradient %s", s.max_steps, (residual - _NEAR * x).tolist())
+    if (np.abs(residual) > 0.01 * scale).any():
+        _log.warning("targets %s are missed by %s: no allowed rates come nearer", targets.tolist(), residual.tolist())
+    return Fit(x, s.max_rate, residual, converged)
 
 
 def with_rates(table: DataFrame, fit: Fit, k: int) -> DataFrame:
