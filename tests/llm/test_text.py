@@ -107,6 +107,16 @@ def test_word_encoder_is_the_library():
         assert np.frombuffer(ids, "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    texts = ["a <|endoftext|> b", "<|startoftext|>", "x<|endoftext|>y<|startoftext|>", "A <|ENDOFTEXT|> b", "<|endoftext|", "東京<|endoftext|>", "a\t<|endoftext|>", *odd_texts()]
+    for text, ids in zip(texts, token_store.encoder(WORDS).encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert library.encode(texts[0], add_special_tokens=False).ids == [320, 49407, 321]
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_token_store_round_trip(spark, tmp_path, encoding):
     texts = [*EDGES, *(f"document number {i}" for i in range(40))]

@@ -38,7 +38,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # Texts that hold an added token go to the library whole: it takes such a token as one, wherever it stands.
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units = Cache(self._library, CACHED)
         self.words = Cache(lambda words: self.units.ids([WITHOUT_SPACE.findall(w) for w in words]), CACHED)
 
@@ -46,9 +47,10 @@ class WordEncoder:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [is_plain(t) for t in texts]
+        lowered = [t.lower() for t in texts]
+        plain = [is_plain(t) and not any(a in low for a in self.added) for t, low in zip(texts, lowered, strict=True)]
         # The tokenizer lower-cases; doing so first makes fewer words. In Latin-1 this is the same letter by letter.
-        cut = iter(self.words.ids([t.lower().replace("\n", " ").split(" ") for t, p in zip(texts, plain, strict=True) if p]))
+        cut = iter(self.words.ids([t.replace("\n", " ").split(" ") for t, p in zip(lowered, plain, strict=True) if p]))
         other = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
         return [next(cut if p else other) for p in plain]
 
