@@ -32,6 +32,16 @@ def test_exact_dedup_null_and_repeated_ids(spark):
     ]
 
 
+@pytest.mark.parametrize(("texts", "ids", "want"), [
+    (["a", "a", "a", "b"], [None, 3, 3, None], [("3", "a"), ("3", "a"), ("None", "b")]),
+    (["a", "a", "b", "c"], [1, 3, 3, 4], [("1", "a"), ("3", "b"), ("4", "c")]),
+])
+def test_keep_first_goes_by_row(spark, texts, ids, want):
+    kept = ex.keep_first(documents(spark, texts, ids=ids))
+    assert kept.columns == documents(spark, texts, ids=ids).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == want
+
+
 def test_exact_dedup_hash_collisions_stay_apart(spark, monkeypatch):
     monkeypatch.setattr(ex.F, "xxhash64", lambda *_: F.lit(7).cast("long"))
     got = ex.exact_dedup(documents(spark, ["a", "b", "a", "c"])).collect()
@@ -128,6 +138,14 @@ def test_minhash_null_ids_and_empty_table(spark):
     assert mh.near_duplicates(documents(spark, ["a"]).where("false")).count() == 0
 
 
+def test_keep_one_each_goes_by_row(spark):
+    other = " ".join(f"other{i}" for i in range(40))
+    docs = documents(spark, [PROSE, PROSE, other, PROSE, ""], ids=[1, 3, 3, None, 3])
+    kept = mh.keep_one_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", PROSE), ("3", other), ("None", PROSE), ("3", "")])
+
+
 def test_shingle_hashes_have_no_collisions():
     rng = np.random.default_rng(0)
     words = ["".join(rng.choice(list("abcdé"), rng.integers(1, 6))) for _ in range(5000)] + ["a" * 300, "a" * 301]

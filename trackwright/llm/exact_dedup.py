@@ -96,6 +96,9 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
-    """The rows of docs that stay, with docs' columns."""
-    dropped = exact_dedup(docs, id_col, text_col, **settings).where(~F.col("kept")).select(F.col(id_col).alias("__dropped"))
-    return docs.join(dropped, docs[id_col].eqNullSafe(F.col("__dropped")), "left_anti")
+    """The rows of docs that stay, with docs' columns. A row goes by its id and text: others of its id, or without one, stay."""
+    verdicts = exact_dedup(docs, id_col, text_col, **settings).where(~F.col("kept"))
+    dropped = verdicts.select(F.col(id_col).alias("__dropped"), F.col("text_sha256").alias("__dropped_sha"))
+    keyed = docs.withColumn("__sha", F.sha2(squeezed(whole_text(text_col)), 256))
+    same = keyed[id_col].eqNullSafe(F.col("__dropped")) & (F.col("__sha") == F.col("__dropped_sha"))
+    return keyed.join(dropped, same, "left_anti").drop("__sha")

@@ -126,11 +126,15 @@ def _functions(p: MinHash) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, p.hashes, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, p.hashes, dtype=np.uint32)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> DataFrame:
-    """id, n_shingles, digest (equal for equal sets), sig, bits (one of each hash); the last three are null for empty sets."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHash, keyed: bool = False) -> DataFrame:
+    """id, n_shingles, digest (equal for equal sets), sig, bits (one of each hash); the last three are null for empty sets.
+
+    keyed adds text_sha, the SHA-256 of the text.
+    """
     schema = T.StructType([
         T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()),
         T.StructField("sig", T.BinaryType()), T.StructField("bits", T.ArrayType(T.LongType())),
+        *([T.StructField("text_sha", T.BinaryType())] if keyed else []),
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +147,15 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, p: MinHash) -> DataF
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([s.tobytes() if s is not None else None for s in sigs], pa.binary()),
                 pa.array([_bits(s) if s is not None else None for s in sigs], pa.list_(pa.int64())),
+                *([part.column("text_sha")] if keyed else []),
             ], schema.names)
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, schema)
+    texts = _texts(docs, id_col, text_col)
+    return (texts.withColumn("text_sha", _text_sha("text")) if keyed else texts).mapInArrow(run, schema)
+
+
+def _text_sha(col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(col).cast("string"), F.lit("")), 256))
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -291,7 +301,11 @@ def _links_beside_pivots(placed: DataFrame, known: DataFrame, labels: DataFrame,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHash = MinHash()) -> DataFrame:
     """One row for each document: id, n_shingles, component_id, kept."""
-    signed = materialise(signatures(docs, id_col, text_col, p), "signatures")
+    return _verdicts(docs, id_col, text_col, p)
+
+
+def _verdicts(docs: DataFrame, id_col: str, text_col: str, p: MinHash, keyed: bool = False) -> DataFrame:
+    signed = materialise(signatures(docs, id_col, text_col, p, keyed), "signatures")
     usable = signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull())
     classes = materialise(
         usable.groupBy("digest").agg(F.min(F.struct("id", "n_shingles", "bits", "sig")).alias("first")).select("digest", "first.*"), "classes"
@@ -325,12 +339,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels, step = components(materialise(verify(pairs, known, sets, p), "links"), labels), step + 1
 
     comp = classes.join(labels, "id", "left").select("digest", F.coalesce("comp", "id").alias("comp"))
-    joined = signed.select("id", "n_shingles", "digest").join(comp, "digest", "left")
+    key = ["text_sha"] if keyed else []
+    joined = signed.select("id", "n_shingles", "digest", *key).join(comp, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("comp", "id"))
-    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return joined.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), *key)
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: MinHash = MinHash()) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with docs' columns."""
-    gone = near_duplicates(docs, id_col, text_col, p).where(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """The rows of docs that stay, one document of each component, with docs' columns. A row goes by its id and text."""
+    gone = _verdicts(docs, id_col, text_col, p, keyed=True).where(~F.col("kept")).select(F.col(id_col).alias("__gone"), F.col("text_sha").alias("__gone_sha"))
+    keyed = docs.withColumn("__sha", _text_sha(text_col))
+    return keyed.join(gone, (keyed[id_col] == F.col("__gone")) & (F.col("__sha") == F.col("__gone_sha")), "left_anti").drop("__sha")
