@@ -57,22 +57,36 @@ def landing(speed: np.ndarray, angle: np.ndarray, height: np.ndarray, step: floa
     return time, far
 
 
-def launch(height: np.ndarray, seconds: np.ndarray, distance: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Speed and angle (degrees) that land at a given time and distance: damped Newton steps for all rows together."""
+def launch(height: np.ndarray, seconds: np.ndarray, distance: np.ndarray, rounds: int = 100, tolerance: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Speed and angle (degrees) that land at a given time and distance: damped Newton steps for all rows together.
+
+    A row is done when it misses by at most tolerance (seconds and metres); NaN where that is not so after all rounds.
+    """
     speed, angle = distance / np.maximum(seconds, 1e-6) * 1.2, np.full(len(height), np.radians(10.0))
-    miss = lambda v, a: np.stack(landing(v, a, height, 4e-3)) - np.stack([seconds, distance])
-    for _ in range(rounds):
-        now = miss(speed, angle)
-        by_speed, by_angle = (miss(speed + 1e-3, angle) - now) / 1e-3, (miss(speed, angle + 1e-4) - now) / 1e-4
+    done = np.zeros(len(height), bool)
+    todo = np.flatnonzero(np.isfinite(height) & np.isfinite(seconds) & np.isfinite(distance))
+    most = float(np.clip(2 * seconds[todo].max(initial=0.0), 5.0, 60.0))
+    miss = lambda i, v, a: np.stack(landing(v, a, height[i], 4e-3, most)) - np.stack([seconds[i], distance[i]])
+    for k in range(rounds + 1):
+        if not len(todo):
+            break
+        now = miss(todo, speed[todo], angle[todo])
+        hit = (np.abs(now) <= tolerance).all(axis=0)
+        done[todo[hit]] = True
+        todo, now = todo[~hit], now[:, ~hit]
+        if k == rounds or not len(todo):
+            break
+        v, a = speed[todo], angle[todo]
+        by_speed, by_angle = (miss(todo, v + 1e-3, a) - now) / 1e-3, (miss(todo, v, a + 1e-4) - now) / 1e-4
         det = by_speed[0] * by_angle[1] - by_angle[0] * by_speed[1]
         det = np.where(np.abs(det) < 1e-9, 1e-9, det)
         dv, da = (by_angle[1] * now[0] - by_angle[0] * now[1]) / det, (by_speed[0] * now[1] - by_speed[1] * now[0]) / det
-        speed, angle = np.clip(speed - np.clip(dv, -5, 5), 0, 100), np.clip(angle - np.clip(da, -0.1, 0.1), 0, np.pi / 2)
-    return speed, np.degrees(angle)
+        speed[todo], angle[todo] = np.clip(v - np.clip(dv, -5, 5), 0, 100), np.clip(a - np.clip(da, -0.1, 0.1), 0, np.pi / 2)
+    return np.where(done, speed, np.nan), np.where(done, np.degrees(angle), np.nan)
 
 
 def launches(flights: DataFrame, height: str, seconds: str, distance: str) -> DataFrame:
-    """flights with speed_mps and angle_deg."""
+    """flights with speed_mps and angle_deg, null where no launch was found."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
