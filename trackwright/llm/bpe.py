@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .units import WITH_SPACE, Cache, is_plain, slices
+from .units import Cache, encode_texts, slices, with_space
 
 NONE = np.int64(1) << 62
 #: Bits for the position below the rank; longest piece whose tree shares an array; cells of such an array.
-POS_BITS, SHARED, CELLS = 32, 256, 1 << 21
+POS_BITS, SHARED, CELLS = 32, 256, 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -186,42 +186,18 @@ class Ranks:
         return out
 
 
-#: Before a key, this says that the key has no space before it. No key of a text cut at single spaces starts so.
-BARE = "\n\n"
-
-
-def _word_keys(text: str, pattern: regex.Pattern) -> list[str]:
-    """Keys of the words of text: a space goes before each, unless a line feed or BARE is there."""
-    if not is_plain(text):
-        return [BARE + x for x in pattern.findall(text)]
-    if "  " in text or "\n\n" in text or " \n" in text or text.endswith(" "):
-        return [BARE + x for x in WITH_SPACE.findall(text)]
-    keys = text.replace("\n", " \n").split(" ")
-    keys[0] = BARE + keys[0]
-    return keys
-
-
-def _literal(key: str) -> str:
-    return key[2:] if key.startswith(BARE) else key if key.startswith("\n") else " " + key
-
-
 class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks, self.pattern = ranks(path), regex.compile(pattern)
-        self.units = Cache(self._new_units)
-        self.words = Cache(self._new_words)
+        self.units = Cache(self._by_pieces)
 
-    def _new_units(self, units: list[str]) -> list[bytes]:
-        cut = [[p.encode() for p in self.pattern.findall(u)] for u in units]
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        cut = [[p.encode() for p in self.pattern.findall(t)] for t in texts]
         known = self.ranks.encode_pieces([p for pieces in cut for p in pieces])
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
 
-    def _new_words(self, keys: list[str]) -> list[bytes]:
-        words = map(_literal, keys)
-        return self.units.ids([WITH_SPACE.findall(w) if is_plain(w) else self.pattern.findall(w) for w in words])
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        return self.words.ids([_word_keys(t, self.pattern) for t in texts])
+        return encode_texts(texts, with_space, self.units, self._by_pieces)
 
 
 @cache
@@ -245,19 +221,33 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (binary: little-endian unsigned 32-bit integers) and n_tokens of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+def _decoded(ids: list[bytes | None], rank_file: str) -> list[bytes]:
+    token = vocabulary(rank_file).__getitem__
+    return [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text")
+
+
+def bpe_encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """id, ids (binary: little-endian unsigned 32-bit integers) and n_tokens of every row.
+
+    decode adds decoded, the bytes that the ids stand for, from the same pass over the texts.
+    """
+    schema = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
+        *([T.StructField("decoded", T.BinaryType())] if decode else []),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(rank_file, pattern)
         for part in slices(batches, "text"):
             ids = own.encode([t or "" for t in part.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["id", "ids", "n_tokens"]
-            )
+            back = [pa.array(_decoded(ids, rank_file), pa.binary())] if decode else []
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), *back], schema.names)
 
-    return docs.selectExpr(f"`{id_col}` as id", f"cast(`{text_col}` as string) as text").mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def bpe_decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> DataFrame:
@@ -267,9 +257,8 @@ def bpe_decode(encoded: DataFrame, rank_file: str, ids_col: str = "ids") -> Data
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = vocabulary(rank_file).__getitem__
         for part in slices(batches, ids_col):
-            out = [b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
+            out = pa.array(_decoded(part.column(ids_col).to_pylist(), rank_file), pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, out], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, table
 from . import byte_cnn
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash import MinHash, near_duplicates
@@ -34,8 +34,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN
-    decoded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    both = bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern, decode=True)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,20 +18,21 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import WITHOUT_SPACE, Cache, is_plain, slices
+from .units import Cache, encode_texts, is_plain, slices, without_space
 
 #: Bytes of a row group and of a page, rows of a page: small enough that a selective read skips most of a file.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Entries of each cache in a Python worker; the library takes long for a new word.
-CACHED = 450_000
+#: Entries of the cache in a Python worker; the library takes long for a new unit.
+CACHED = 400_000
 
 
 class WordEncoder:
-    """The tokenizers library by way of caches of words and units."""
+    """The tokenizers library by way of a cache of units."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -41,18 +42,16 @@ class WordEncoder:
         # Texts that hold an added token go to the library whole: it takes such a token as one, wherever it stands.
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units = Cache(self._library, CACHED)
-        self.words = Cache(lambda words: self.units.ids([WITHOUT_SPACE.findall(w) for w in words]), CACHED)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _is_plain(self, text: str) -> bool:
+        return is_plain(text) and not ("<" in text and any(a in text.lower() for a in self.added))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        lowered = [t.lower() for t in texts]
-        plain = [is_plain(t) and not any(a in low for a in self.added) for t, low in zip(texts, lowered, strict=True)]
-        # The tokenizer lower-cases; doing so first makes fewer words. In Latin-1 this is the same letter by letter.
-        cut = iter(self.words.ids([t.replace("\n", " ").split(" ") for t, p in zip(lowered, plain, strict=True) if p]))
-        other = iter(self._library([t for t, p in zip(texts, plain, strict=True) if not p]))
-        return [next(cut if p else other) for p in plain]
+        # The tokenizer lower-cases; doing so first makes fewer units. In Latin-1 this is the same letter by letter.
+        return encode_texts(texts, lambda plain: without_space(pc.utf8_lower(plain)), self.units, self._library, self._is_plain)
 
 
 @cache
@@ -120,7 +119,7 @@ def with_checksum(tokens: DataFrame) -> DataFrame:
         for b in batches:
             lists = b.column("ids")
             values, at = np.asarray(lists.values).astype("<u4"), np.asarray(lists.offsets)
-            sums = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(at[:-1], at[1:], strict=True)]
+            sums = [zlib.crc32(values[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sums, pa.int64())], schema.names)
 
     return picked.mapInArrow(run, schema)
