@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackwright.llm import exact_dedup, minhash, mixing, quality_rules
-from trackwright.llm.bpe import bpe_decode, bpe_encode
+from trackwright.llm.bpe import bpe_encode
 from trackwright.llm.queries import labelled_domains, tokenizers
 from trackwright.session import materialise, table
 
@@ -39,10 +39,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) and whether decoding them gives the text again."""
     ranks, pattern = tokenizers().path("byte_bpe_50k.tiktoken"), tokenizers().PATTERN
     texts = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), "text")
-    encoded = bpe_encode(texts.select(F.struct("doc_id", "text_sha256").alias("key"), "text"), ranks, pattern, id_col="key")
-    decoded = bpe_decode(encoded, ranks)
+    both = bpe_encode(texts.select(F.struct("doc_id", "text_sha256").alias("key"), "text"), ranks, pattern, id_col="key", decode=True)
     exact = F.sha2("decoded", 256) == F.col("key.text_sha256")
-    return decoded.select("key.doc_id", "n_tokens", "ids", exact.alias("exact"))
+    return both.select("key.doc_id", "n_tokens", "ids", exact.alias("exact"))
 
 
 STAGES = [
