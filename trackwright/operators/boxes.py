@@ -79,3 +79,59 @@ def frame_facts(tracks: DataFrame) -> DataFrame:
     pick = lambda label, c: F.min_by(F.when(F.col("label") == label, F.col(c)), F.when(F.col("label") == label, F.col("det")))
     names = {"ball": "ball", "p1": "player1", "p2": "player2"}
     return tracks.groupBy("video_id", "frame").agg(*(pick(label, c).alias(f"{n}_{c}") for n, label in names.items() for c in ("x", "y", "kmh")))
+
+
+def as_lists(df: DataFrame) -> DataFrame:
+    """values: centre, size, confidence and class number of each detection as one array; n: detections of its frame."""
+    values = F.array(*(c.cast("double") for c in (*g.to_xywh(box()), F.col("conf"), F.col("cls"))))
+    return df.withColumns({"values": values, "n": F.count("*").over(Window.partitionBy("frame"))})
+
+
+def bucketed(df: DataFrame, name: Column, buckets: dict[str, str]) -> DataFrame:
+    """bucket by the class name in any case; rows of other classes go."""
+    chosen = F.coalesce(*(F.when(F.lower(name) == k, v) for k, v in buckets.items()))
+    return df.withColumn("bucket", chosen).where(F.col("bucket").isNotNull())
+
+
+def top_rows(df: DataFrame, value: str, n: int, tie: str) -> DataFrame:
+    """The n rows of the largest value; NaN counts as less than any number, and null as less than that."""
+    return df.orderBy(F.when(F.isnan(value), float("-inf")).otherwise(F.col(value)).desc_nulls_last(), F.isnan(value), tie).limit(n)
+
+
+def largest(df: DataFrame, keys: list[str], size: Column, columns: list[str], tie: str) -> DataFrame:
+    """The row of the largest size in each group (of equals the smallest tie)."""
+    best = F.max_by(F.struct(tie, *columns), F.struct(size.alias("size"), (-F.col(tie)).alias("tie")))
+    return df.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+def with_labels(tracks: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """tracks with the label that labels has for them, or null."""
+    return tracks.join(labels.select(*keys, "label"), keys, "left")
+
+
+def nearest_before(points: DataFrame, keys: list[str], dt: float, radius: float, most: float) -> DataFrame:
+    """speed of each point (x, y, det) from the nearest point of the frame before: null if that is beyond radius and faster than most."""
+    last = points.select(*keys, (F.col("frame") + 1).alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"))
+    pairs = points.join(last, [*keys, "frame"]).withColumn("d", g.distance((F.col("x"), F.col("y")), (F.col("px"), F.col("py"))))
+    near = pairs.groupBy(*keys, "frame", "det").agg(F.min("d").alias("d"))
+    speed = F.when((F.col("d") <= radius) | (F.col("d") / dt <= most), F.col("d") / dt)
+    return points.join(near, [*keys, "frame", "det"], "left").withColumn("speed", speed)
+
+
+def candidate_pairs(tracks: DataFrame, detections: DataFrame, keys: list[str], dt: float, radius: float, most: float, least_cos: float) -> DataFrame:
+    """Tracks (a, x, y, vx, vy) and detections (b, bx, by) of one frame within radius and speed most, and not against the track's way."""
+    pairs = tracks.join(detections, keys)
+    dx, dy = F.col("bx") - F.col("x"), F.col("by") - F.col("y")
+    far, pace = F.hypot(dx, dy), F.hypot("vx", "vy")
+    along = (dx * F.col("vx") + dy * F.col("vy")) / (far * pace)
+    aligned = F.when((far > 1e-9) & (pace > 1e-9), along >= least_cos).otherwise(True)
+    return pairs.withColumn("cost", far).where((far <= radius) & (far / dt <= most) & aligned)
+
+
+def court_gates(points: DataFrame, polygon: list[g.Point], h: list, slow_outside: float, slow_inside: float) -> DataFrame:
+    """inside, projectable, inside_count of the frame, and whether a point is kept: not slow outside the court, and, where several are inside, not still inside."""
+    p = (F.col("x"), F.col("y"))
+    marked = points.withColumns({"inside": g.in_polygon(p, polygon), "projectable": g.project(p, h)[0].isNotNull()})
+    counted = marked.withColumn("inside_count", F.count_if("inside").over(Window.partitionBy("frame")))
+    still = F.when(F.col("inside"), (F.col("inside_count") > 1) & (F.col("speed") < slow_inside)).otherwise(F.col("speed") < slow_outside)
+    return counted.withColumn("kept", F.col("projectable") & ~still)

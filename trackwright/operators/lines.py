@@ -127,35 +127,50 @@ def hungarian(costs: DataFrame, keys: list[str]) -> DataFrame:
     return costs.select(*keys, "a", "b", "cost").groupBy(*keys).applyInPandas(solve, costs.select(*keys, "a", "b", "cost").schema)
 
 
+def uncovered(covers: np.ndarray) -> tuple[float, float]:
+    """What is left of [0, 1] when intervals (low, high) that reach its ends, one by one or joined together, are taken away.
+
+    Intervals strictly inside what is left do not cut it in two. Start is not below end if nothing is left.
+    """
+    start, end = 0.0, 1.0
+    for low, high in covers[covers[:, 0].argsort()]:
+        if low > start:
+            break
+        start = max(start, high)
+    for low, high in covers[covers[:, 1].argsort()[::-1]]:
+        if high < end:
+            break
+        end = min(end, low)
+    return start, end
+
+
 def clip_overlaps(df: DataFrame, threshold: float = 0.01, slack: float = 1e9) -> DataFrame:
-    """Lines of each image, best score first, cut back to what no better line already covers; image, line, x1, y1, x2, y2, score.
+    """Lines of each image, best score first, less what better lines cover at their ends; image, line, x1, y1, x2, y2, score.
 
-    Two lines cover each other if the ends of one lie within threshold of the other's line. slack lengthens what is covered.
+    A line covers its shadow on another one, lengthened by slack at both ends, if all ends of the one lie within threshold of the
+    other's line. Whether better lines cover a line depends on what was kept of them, so an image's lines are taken in turn.
     """
     kind = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in ("image", "line"))
 
-    def off(p: np.ndarray, q: np.ndarray, ends: np.ndarray) -> float:
-        d = q - p
-        t = ((ends - p) @ d) / max(float(d @ d), 1e-12)
-        return float((((p + t[:, None] * d) - ends) ** 2).sum(axis=1).max())
+    def places(ends: np.ndarray, on: np.ndarray) -> np.ndarray:
+        """Where the feet of ends (... x 2 x 2) fall on lines (... x 2 x 2): 0 at the start, 1 at the end."""
+        way = on[..., 1, :] - on[..., 0, :]
+        return ((ends - on[..., :1, :]) * way[..., None, :]).sum(axis=-1) / np.maximum((way * way).sum(axis=-1), 1e-12)[..., None]
+
+    def apart(ends: np.ndarray, on: np.ndarray) -> np.ndarray:
+        feet = on[..., :1, :] + places(ends, on)[..., None] * (on[..., 1:, :] - on[..., :1, :])
+        return np.linalg.norm(feet - ends, axis=-1).max(axis=-1)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for row in group.sort_values(["score", "line"], ascending=[False, True]).itertuples(index=False):
-            p, q = np.array([row.x1, row.y1]), np.array([row.x2, row.y2])
-            start, end = 0.0, 1.0
-            for other in kept:
-                if min(off(p, q, other), off(other[0], other[1], np.stack([p, q]))) > threshold**2:
-                    continue
-                low, high = np.sort(((other - p) @ (q - p)) / max(float((q - p) @ (q - p)), 1e-12)) + np.array([-slack, slack])
-                if (start < low and high < end) or high < start or low > end:
-                    continue
-                start, end = (high if low <= start <= high else start), (low if low <= end <= high else end)
-                if start >= end:
-                    break
+        ordered = group.sort_values(["score", "line"], ascending=[False, True])
+        kept, out = np.zeros((0, 2, 2)), []
+        for row, own in zip(ordered.itertuples(index=False), ordered[["x1", "y1", "x2", "y2"]].to_numpy(float).reshape(-1, 2, 2), strict=True):
+            same = kept[np.minimum(apart(kept, own), apart(np.broadcast_to(own, kept.shape), kept)) <= threshold] if len(kept) else kept
+            start, end = uncovered(np.sort(places(same, own), axis=1) + np.array([-slack, slack]))
             if start < end:
-                kept.append(np.stack([p + (q - p) * start, p + (q - p) * end]))
-                out.append((row.image, row.line, *map(float, kept[-1].ravel()), row.score))
+                rest = own[0] + np.array([[start], [end]]) * (own[1] - own[0])
+                kept = np.concatenate([kept, rest[None]])
+                out.append((row.image, row.line, *rest.ravel().tolist(), row.score))
         return pd.DataFrame(out, columns=["image", "line", "x1", "y1", "x2", "y2", "score"])
 
     picked = df.select("image", "line", "x1", "y1", "x2", "y2", F.col("score").cast("double").alias("score"))

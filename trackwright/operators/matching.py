@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +28,60 @@ def first_claims(nearest: DataFrame, on: list[str], truth: str, rank: list[Colum
     return marked.withColumn("tp", (F.col("hit") & (F.row_number().over(w) == 1)).cast("int")).drop("hit")
 
 
+def nearest_truth(pred: DataFrame, truth: DataFrame, on: list[str], row: str, distance: Column, keep: list[str]) -> DataFrame:
+    """Each prediction with dist and t of the nearest truth of its group (of equals the smallest t)."""
+    pairs = pred.join(truth, on).withColumn("dist", distance)
+    return pairs.groupBy(*on, row, *keep).agg(F.min(F.struct("dist", "t")).alias("m")).select(*on, row, *keep, "m.*")
+
+
+def first_match(rows: str, wanted: Callable[[Column], Column]) -> Column:
+    """The first element of an array that is wanted, or null."""
+    return F.get(F.filter(rows, wanted), F.lit(0))
+
+
+def wireframe(pred: DataFrame, truth: DataFrame, pred_edges: DataFrame, truth_edges: DataFrame, limit: float, deep: bool = False) -> DataFrame:
+    """For each image: hits (points claimed within limit), depth losses of the hits, and the average precision of edges by length.
+
+    pred, truth: image, point, x, y, z (depth, below 0), score; edges: image, a, b, score. deep counts depth in the distance. A
+    predicted edge is right if its ends claimed the ends of a true edge.
+    """
+    sq = lambda *names: sum((F.pow(F.col(c) - F.col(f"t{c}"), 2) for c in names), F.lit(0.0))
+    other = truth.select("image", F.col("point").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+    near = nearest_truth(pred, other, ["image"], "point", F.sqrt(sq("x", "y", *(["z"] if deep else []))), ["score", "z"])
+    claimed = first_claims(near, ["image"], "t", [F.desc("score"), F.col("point")], F.col("dist") < limit)
+    choice = claimed.join(other.select("image", "t", "tz"), ["image", "t"]).withColumn("choice", F.when(F.col("tp") == 1, F.col("t")))
+    lost = depth_losses(F.when(F.col("tp") == 1, F.col("tz")), F.col("z"))
+    points = choice.groupBy("image").agg(F.count("choice").alias("hits"), *(c.alias(n) for n, c in lost.items()))
+
+    at = lambda rows, c: rows.select("image", F.col("point").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
+    length = F.hypot(F.col("ax") - F.col("bx"), F.col("ay") - F.col("by"))
+    sized = lambda edges, rows: edges.join(at(rows, "a"), ["image", "a"]).join(at(rows, "b"), ["image", "b"]).withColumn("length", length)
+    true_edges = sized(truth_edges, truth).select("image", F.least("a", "b").alias("ca"), F.greatest("a", "b").alias("cb"), "length")
+    named = lambda c: choice.select("image", F.col("point").alias(c), F.col("choice").alias(f"{c}_choice"))
+    edges = sized(pred_edges, pred).join(named("a"), ["image", "a"]).join(named("b"), ["image", "b"])
+    both = F.col("a_choice").isNotNull() & F.col("b_choice").isNotNull()
+    edges = edges.withColumns({"ca": F.when(both, F.least("a_choice", "b_choice")), "cb": F.when(both, F.greatest("a_choice", "b_choice"))})
+    edges = edges.join(true_edges.select("image", "ca", "cb", F.lit(1.0).alias("hit")), ["image", "ca", "cb"], "left")
+    whole = edges.join(true_edges.groupBy("image").agg(F.sum("length").alias("total")), "image")
+    up = Window.partitionBy("image").orderBy(F.desc("score"), "a")
+    right, seen = F.sum(F.coalesce("hit", F.lit(0.0)) * F.col("length")).over(up), F.sum("length").over(up)
+    curve = whole.withColumns({"place": F.row_number().over(up), "recall": right / F.col("total"), "precision": right / seen})
+    down = Window.partitionBy("image").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
+    areas = average_precision(curve.withColumn("envelope", F.max("precision").over(down)), ["image"], "place")
+    return points.join(areas.select("image", "ap"), "image", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
+
+
+def line_set_losses(pred: DataFrame, truth: DataFrame, least_score: float) -> DataFrame:
+    """One row: cardinality_error, how far an image's count of confident lines is from its truth, and line_l1, the mean distance to the nearest true line."""
+    counts = pred.where(F.col("score") > least_score).select("image", F.lit(1).alias("n")).unionByName(truth.select("image", F.lit(-1).alias("n")))
+    images = pred.select("image").unionByName(truth.select("image")).distinct()
+    miss = images.join(counts.groupBy("image").agg(F.sum("n").alias("n")), "image", "left").agg(F.avg(F.abs(F.coalesce("n", F.lit(0)))).alias("cardinality_error"))
+    names = ("x1", "y1", "x2", "y2")
+    other = truth.select("image", F.col("line").alias("t"), *(F.col(c).alias(f"t{c}") for c in names))
+    l1 = sum((F.abs(F.col(c) - F.col(f"t{c}")) for c in names), F.lit(0.0))
+    return miss.join(nearest_truth(pred, other, ["image"], "line", l1, []).agg(F.avg("dist").alias("line_l1")))
+
+
 def precision_recall(ranked: DataFrame, by: list[str], place: str, n_truth: Column) -> DataFrame:
     """ranked (place from 1, tp) with precision, recall and envelope, the largest precision from here on.
 

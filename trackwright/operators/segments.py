@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEY, ORDER, part_window, running_sum, with_windows
+from .series import KEY, ORDER, last_known, lerp_gaps, part_window, running_sum, with_windows
 
 
 def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
@@ -194,3 +194,36 @@ def _inner(rows: list) -> Iterator[tuple]:
     for before, gap, after in zip(rows, rows[1:], rows[2:], strict=False):
         if not gap.value:
             yield before, gap, after
+
+
+def streaks(df: DataFrame, flag: Column) -> DataFrame:
+    """streak: frames in a row, up to each, in which flag is true; 0 where it is not."""
+    marked = runs(df, F.coalesce(flag, F.lit(False)))
+    begins = marked.groupBy(KEY, "run").agg(F.min(ORDER).alias("__begin"))
+    joined = marked.join(begins, [KEY, "run"])
+    return joined.withColumn("streak", F.when(F.col("value"), F.col(ORDER) - F.col("__begin") + 1).otherwise(0)).drop("run", "value", "__begin")
+
+
+def interpolate_tracks(df: DataFrame, x: str, y: str, **settings: float) -> DataFrame:
+    """x and y with gaps filled inside each track of split_tracks: linear between points, level at a track's ends."""
+    tracks = split_tracks(df, F.col(x).isNotNull(), F.col(x), F.col(y), **settings)
+    numbers = tracks.select(KEY, "track_idx", F.col("start").alias("start_index"), F.col("end").alias("end_index"))
+    # A frame in which one track ends and the next begins belongs to one of them only, as the ends are exclusive.
+    inside = section_frames(numbers, df.select(KEY, ORDER, x, y))
+    each = inside.select(F.struct(KEY, "track_idx").alias(KEY), ORDER, x, y)
+    filled_in = lerp_gaps(lerp_gaps(each, x), y)
+    found = filled_in.select(F.col(f"{KEY}.{KEY}").alias(KEY), ORDER, F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(True).alias("__in"))
+    joined = df.join(found, [KEY, ORDER], "left")
+    return joined.withColumns({x: F.when(F.col("__in"), F.col("__x")).otherwise(F.col(x)), y: F.when(F.col("__in"), F.col("__y")).otherwise(F.col(y))}).drop("__x", "__y", "__in")
+
+
+def overlay(frames: DataFrame, shots: DataFrame, by: list[str]) -> DataFrame:
+    """frames with the shot made in the frame (the first of several) and the last one made so far, for each of by."""
+    first = shots.groupBy(*by, ORDER).agg(F.min_by("shot_type", "shot").alias("shot_type"))
+    return last_known(frames.join(first, [*by, ORDER], "left"), "shot_type", "current")
+
+
+def with_latest_homography(frames: DataFrame, steps: DataFrame, size: int) -> DataFrame:
+    """frames with h, the homography of the last step (of size frames) up to theirs that has one; steps: video_id, step_idx (dense from 0), h."""
+    known = last_known(steps.withColumnRenamed("step_idx", ORDER), "h", "known").select(KEY, F.col(ORDER).alias("__step"), F.col("known").alias("h"))
+    return frames.withColumn("__step", F.floor(F.col(ORDER) / size)).join(known, [KEY, "__step"], "left").drop("__step")

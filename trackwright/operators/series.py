@@ -99,22 +99,27 @@ def smooth_speed(df: DataFrame, speed: str = "speed", fps: float = 30, step: flo
     return means.where(is_sampled(F.col(ORDER), fps, step) & F.col("smooth").isNotNull()).select(KEY, ORDER, clipped.alias("smooth"))
 
 
-def ema(df: DataFrame, value: str, name: str, alpha: float) -> DataFrame:
+def ema(df: DataFrame, value: str, name: str, alpha: float, dense: bool = False) -> DataFrame:
     """Exponential moving average of non-null values: y = alpha * x + (1 - alpha) * previous y, beginning with the first x.
 
-    A chunk is so long that what comes from before the previous chunk is below double precision. Inside a chunk,
-    y[k] = q**k * sum(c[j] * q**-j) with q = 1 - alpha.
+    A null leaves the average as it is; before the first value it is null. dense says that value is null in all frames of a
+    video or in none, which saves counting the values.
+
+    The n-th value of a video has place n. A chunk of places is so long that what comes from before the previous chunk is below
+    double precision. Inside a chunk, y[k] = q**k * sum(c[j] * q**-j) with q = 1 - alpha.
     """
     q = 1 - alpha
     length = max(16, math.ceil(45 / -math.log(q)))
-    k = F.pmod(F.col(ORDER), F.lit(length))
-    share = F.when(F.col(ORDER) == 0, F.col(value)).otherwise(alpha * F.col(value))
-    parts = df.withColumn("part", chunk_of(F.col(ORDER), length))
+    placed = df.withColumn("__n", F.col(ORDER) + 1) if dense else running_sum(df, F.col(value).isNotNull().cast("long"), "__n")
+    place = F.col("__n") - 1
+    k = F.pmod(place, F.lit(length))
+    share = F.when(place == 0, F.col(value)).otherwise(alpha * F.col(value))
+    parts = placed.withColumn("part", chunk_of(place, length))
     inside = part_window().rowsBetween(Window.unboundedPreceding, 0)
     parts = parts.withColumn("__y", F.pow(F.lit(q), k) * F.sum(share * F.pow(F.lit(q), -k)).over(inside))
     ends = parts.groupBy(KEY, (F.col("part") + 1).alias("part")).agg(F.max_by("__y", ORDER).alias("__before"))
     joined = parts.join(ends, [KEY, "part"], "left")
-    return joined.withColumn(name, F.col("__y") + F.coalesce(F.pow(F.lit(q), k + 1) * F.col("__before"), F.lit(0.0))).drop("part", "__y", "__before")
+    return joined.withColumn(name, F.col("__y") + F.coalesce(F.pow(F.lit(q), k + 1) * F.col("__before"), F.lit(0.0))).drop("part", "__n", "__y", "__before")
 
 
 def distance_speed(df: DataFrame, distance: Column, fps: float, step: float, max_kmh: float, alpha: float = 0.3) -> DataFrame:
@@ -125,7 +130,7 @@ def distance_speed(df: DataFrame, distance: Column, fps: float, step: float, max
     """
     most = max_kmh / (fps * 3.6)
     steps = with_windows(df, 1, 0, dist=F.when(F.col(ORDER) == 0, 0.0).otherwise(F.when(distance.isNotNull(), F.least(distance, F.lit(most)))))
-    smooth = ema(back_then_forward(rolling_mean(steps, "dist", "mean", 3), "mean"), "mean", "smooth", alpha)
+    smooth = ema(back_then_forward(rolling_mean(steps, "dist", "mean", 3), "mean"), "mean", "smooth", alpha, dense=True)
     kmh = F.least(F.greatest("smooth", F.lit(0.0)), F.lit(most)) * fps * 3.6
     return smooth.where(is_sampled(F.col(ORDER), fps, step)).select(KEY, ORDER, kmh.alias("kmh"))
 
@@ -240,3 +245,37 @@ def frame_chunk(df: DataFrame, k: int, size: int = 1000) -> DataFrame:
 def lower_rate(df: DataFrame, fps: float, target: float, offset: int = 0) -> DataFrame:
     """Every int(fps / target)-th frame from offset on."""
     return df.where((F.col(ORDER) >= offset) & ((F.col(ORDER) - offset) % int(fps / target) == 0))
+
+
+def expanding(df: DataFrame, value: str) -> DataFrame:
+    """last and mean of the non-null values up to each frame."""
+    rows = running_sum(running_sum(df, F.coalesce(value, F.lit(0.0)), "__sum"), F.col(value).isNotNull().cast("long"), "__n")
+    rows = filled(rows, F.col(value), "__seen", forward=True)
+    mean = F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n"))
+    return rows.withColumns({"last": F.col("__seen.value"), "mean": mean}).drop("__sum", "__n", "__seen")
+
+
+def last_known(df: DataFrame, value: str, name: str) -> DataFrame:
+    """name: the value of the last frame, up to this one, that has one."""
+    return filled(df, F.col(value), "__seen", forward=True).withColumn(name, F.col("__seen.value")).drop("__seen")
+
+
+def require_any(df: DataFrame, value: str) -> DataFrame:
+    """df, failing in a video that has no value at all."""
+    have = df.groupBy(KEY).agg(F.count(value).alias("__n"))
+    good = F.when(F.col("__n") > 0, F.col(KEY)).otherwise(F.raise_error(F.concat(F.lit("no value in video "), F.col(KEY).cast("string"))).cast(df.schema[KEY].dataType))
+    return df.join(have.select(good.alias(KEY)), KEY)
+
+
+def airborne_flags(df: DataFrame, x: str, y: str, fps: float, least_bend: float = 0.45, rolling: float = 120.0) -> DataFrame:
+    """airborne: the height bends; floor_like: slow, and known not to bend. Speeds are pixels a second from the frame before."""
+    last = lambda c: F.lag(c).over(part_window())
+    moving = with_windows(df, 1, 0, speed=F.hypot(F.col(x) - last(x), F.col(y) - last(y)) * fps)
+    bent = curvature(moving, y)
+    bends = F.abs(F.col("curvature")) >= least_bend
+    return bent.withColumns({"airborne": F.coalesce(bends, F.lit(False)), "floor_like": F.coalesce((F.col("speed") < rolling) & ~bends, F.lit(False))})
+
+
+def shot_rows(df: DataFrame, fps: float) -> DataFrame:
+    """Frames with a shot_type as index, time and shot_type."""
+    return df.where(F.col("shot_type").isNotNull()).select(KEY, F.col(ORDER).alias("index"), (F.col(ORDER) / fps).alias("time"), "shot_type")

@@ -14,6 +14,7 @@ from ..operators import boxes, segments, series
 from ..operators.tracking import ball, players, world
 from ..operators.tracking.runner import track
 from ..session import materialise
+from ..sources.detections import send_all
 
 #: Features that a request may name, and those that each needs (fixed values).
 FEATURES = {
@@ -48,6 +49,17 @@ def validate(request: dict) -> dict:
     return {"video_id": video_id, "video_url": request["video_url"], "features": features}
 
 
+def request_problems(requests: DataFrame) -> DataFrame:
+    """requests (video_id, video_url, features) with no_id, no_url, unknown (features) and missing (what the features need)."""
+    named = F.coalesce("features", F.array().cast("array<string>"))
+    needs = F.create_map(*(x for f, n in FEATURES.items() for x in (F.lit(f), F.array(*map(F.lit, n)).cast("array<string>"))))
+    needed = F.array_distinct(F.flatten(F.transform(named, lambda f: F.coalesce(needs[f], F.array().cast("array<string>")))))
+    return requests.withColumns({
+        "no_id": F.col("video_id").cast("string").try_cast("bigint").isNull(), "no_url": ~F.coalesce(F.col("video_url").rlike("^https?://[^/?#]+"), F.lit(False)),
+        "unknown": F.array_except(named, F.array(*map(F.lit, FEATURES))), "missing": F.array_except(needed, named),
+    })
+
+
 @dataclass(frozen=True)
 class Analysis:
     facts: DataFrame
@@ -78,18 +90,41 @@ def analyze(detections: DataFrame, videos: DataFrame, homography: tuple[float, .
 
     began = perf_counter()
     sections = segments.rally_sections(facts, F.col("ball_x").isNotNull(), F.col("ball_kmh"), segments.Rally(fps=fps))
-    ball_speeds = series.smooth_speed(facts, "ball_kmh", fps, step)
-    one = lambda p: series.smooth_speed(facts, f"{p}_kmh", fps, step, high=16).withColumn("player", F.lit(p))
-    out = Analysis(facts, materialise(sections, "sections"), ball_speeds, one("p1").unionByName(one("p2")), seconds)
+    sections = materialise(sections, "sections")
     seconds["sections"] = perf_counter() - began
-    return out
+
+    began = perf_counter()
+    ball_speeds = materialise(series.smooth_speed(facts, "ball_kmh", fps, step), "ball-speeds")
+    one = lambda p: series.smooth_speed(facts, f"{p}_kmh", fps, step, high=16).withColumn("player", F.lit(p))
+    player_speeds = materialise(one("p1").unionByName(one("p2")), "player-speeds")
+    seconds["speeds"] = perf_counter() - began
+    return Analysis(facts, sections, ball_speeds, player_speeds, seconds)
+
+
+def answer(request: dict, load: Callable[[dict], dict], post: Callable[[str, str], int] | None = None) -> Analysis:
+    """A whole request: validate, load what analyze needs (a dict of its arguments, from a detector's tables), run, and send the results.
+
+    The three results are sent to sections, ball_speeds and player_speeds; speeds of videos that have none are not sent.
+    """
+    found = analyze(**load(validate(request)))
+    if post:
+        ends = ["start_index", "start_time", "end_index", "end_time"]
+        for rows, path, columns, order, known in (
+            (found.sections, "sections", ends, ["section_idx"], None),
+            (found.ball_speeds, "ball_speeds", ["frame", "smooth"], ["frame"], "smooth"),
+            (found.player_speeds, "player_speeds", ["player", "frame", "smooth"], ["player", "frame"], "smooth"),
+        ):
+            began = perf_counter()
+            send_all(rows, post, path, columns, order, known).collect()
+            found.seconds[f"send {path}"] = perf_counter() - began
+    return found
 
 
 #: Routes of the request interface.
-ROUTES: dict[str, Callable[[dict], dict]] = {"analyze": validate}
+ROUTES: dict[str, Callable] = {"analyze": answer, "validate": validate}
 
 
-def dispatch(route: str, request: dict) -> dict:
+def dispatch(route: str, request: dict, *args, **settings) -> Analysis | dict:
     if route not in ROUTES:
         raise RequestError(f"unsupported task {route}")
-    return ROUTES[route](request)
+    return ROUTES[route](request, *args, **settings)

@@ -50,7 +50,7 @@ select video_id, frame, round(y, 6) as smooth from e
 """)
 def ema_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     series = frames(spark, sf_dir).withColumn("value", F.col("value") / 7.3)
-    return s.ema(series, "value", "smooth", 0.35).select("video_id", "frame", r("smooth").alias("smooth"))
+    return s.ema(series, "value", "smooth", 0.35, dense=True).select("video_id", "frame", r("smooth").alias("smooth"))
 
 
 @query(FRAMES + """,
@@ -321,8 +321,3 @@ def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("samples"), r(F.avg("smooth")).alias("mean_speed"), r(F.max("smooth")).alias("top_speed")
     )
     return sections.select(*keys).join(inside, keys, "left").withColumn("samples", F.coalesce("samples", F.lit(0)))
-
-
-@query()
-def split_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.split_tracks(frames(spark, sf_dir), F.col("speed").isNotNull(), F.col("value"), F.lit(0.0), max_gap=2)
