@@ -159,16 +159,44 @@ def test_cnn_learns_and_scores_all(spark):
     assert rows[len(texts)].score == rows[len(texts) + 1].score
 
 
-def test_cnn_sees_chunks_as_it_was_trained(spark):
-    shape = byte_cnn.Shape(filters=4, max_chunks=1000)
-    net = byte_cnn.Network.fresh(shape)
+def description_by_hand(net, text):
+    """Mean, largest and smallest answer of each filter over the chunks of two blocks, position by position."""
+    s, text = net.shape, text or b"\0"
+    padded = text + b"\0" * s.width
+    answers = [net.bias + sum(net.table[j, padded[i + j]] for j in range(s.width)) for i in range(len(text))]
+    tops = [np.maximum(np.max(answers[k : k + 2 * s.block], axis=0), 0) for k in range(0, max(1, len(text) - s.block), s.block)]
+    return np.concatenate([np.mean(tops, axis=0), np.max(tops, axis=0), np.min(tops, axis=0)])
+
+
+CHUNKED = (b"", b"a", b"x" * 127, b"y" * 128, b"ab" * 65, bytes(range(256)) * 5, b"z" * 129, b"q" * 384)
+
+
+def test_cnn_scores_by_all_chunks(spark):
+    net = byte_cnn.Network.fresh(byte_cnn.Shape(filters=4))
     net.weights[:] = np.random.default_rng(0).normal(size=12)
-    for text in (b"", b"a", b"x" * 127, b"y" * 128, b"ab" * 65, bytes(range(256)) * 5):
-        chunks, sizes = byte_cnn.cut(text, shape)
-        answers = net.answers(chunks, 256)
-        answers[np.arange(256)[None] >= sizes[:, None]] = -np.inf
-        want = net._combine(np.maximum(answers.max(axis=1), 0), np.array([0]))[0]
-        assert net.probabilities([b"zz", text, b"q" * 300])[1] == pytest.approx(want[0], abs=1e-5)
+    for text in CHUNKED:
+        want = 1 / (1 + np.exp(-(description_by_hand(net, text) @ net.weights + net.offset)))
+        assert net.probabilities([b"zz", text, b"q" * 300])[1] == pytest.approx(want, abs=1e-5)
+
+
+def test_cnn_trains_on_whole_texts():
+    """Only the last of many chunks tells the labels apart, in texts longer than a tile."""
+    rng = random.Random(1)
+    length = byte_cnn._TILE + 5000
+    texts = [bytes(rng.choice(b"abcd") for _ in range(2000)) * (length // 2000) + (b"#%#%#%" if i % 2 else b"efefef") for i in range(6)]
+    net = byte_cnn.Network.fresh(byte_cnn.Shape(filters=4, steps=60, batch=6))
+    net.train(texts, np.array([i % 2 for i in range(6)], float))
+    p = net.probabilities(texts)
+    assert all((p[i] > 0.5) == i % 2 for i in range(6))
+
+
+def test_cnn_handles_null_and_repeated_ids(spark):
+    texts, labels = labelled_texts(40)
+    docs = documents(spark, [*texts, "a b", None], ids=[*range(39), 38, None, None])
+    table = spark.createDataFrame([(i, y) for i, y in enumerate(labels)] + [(None, 1), (3, None)], "doc_id bigint, quality int")
+    rows = byte_cnn.score(docs, byte_cnn.fit(docs, table, shape=byte_cnn.Shape(filters=4, steps=20))).collect()
+    assert len(rows) == 42
+    assert sum(r.doc_id is None for r in rows) == 2
 
 
 def test_cnn_without_labels(spark):

@@ -4,8 +4,8 @@ A text's bytes are cut into overlapping chunks that cover all of it. Learned fil
 answers (max-pooling, then ReLU) describe the chunk. The mean, largest and smallest description over all chunks enter one
 logistic unit, which gives the probability of label 1.
 
-The network is trained by Adam on the driver, from at most max_rows labelled documents (smallest hashes of their ids first) and
-at most max_chunks evenly spread chunks of each; so what reaches the driver is bounded. Scoring reads whole texts in tasks.
+The network is trained by Adam on the driver, from the whole texts of at most max_rows labelled documents (smallest hashes of
+their ids first), which bounds what reaches the driver. Scoring reads whole texts in tasks.
 
 Defined cases: null text counts as empty, and an empty text is one chunk of padding, so it has a score too. Texts of any length
 are scored whole. Repeated rows are scored alike, and null ids like any other. Without labels every score is 0.5. An empty table
@@ -33,7 +33,6 @@ class Shape:
     #: Chunks are two blocks long and start at every block.
     block: int = 128
     max_rows: int = 2000
-    max_chunks: int = 24
     #: Steps of Adam, whatever the number of documents: few documents are seen more often.
     steps: int = 500
     batch: int = 32
@@ -41,7 +40,7 @@ class Shape:
     seed: int = 3
 
 
-#: Positions whose answers are held at once when scoring.
+#: Positions whose answers are held at once.
 _TILE = 1 << 17
 
 
@@ -104,31 +103,48 @@ class Network:
         )
         return 1 / (1 + np.exp(-np.clip(described @ self.weights + self.offset, -30, 30))), described
 
-    def train(self, chunks: list[np.ndarray], sizes: list[np.ndarray], labels: np.ndarray) -> None:
-        """chunks: for each text its chunks (n x bytes, zero-padded); sizes: positions in each that are text."""
+    def _tops(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The filters' largest answers in each block (n x bytes, with the bytes behind it) and where they are; size: positions that are text."""
+        n = self.shape.block
+        top = np.empty((len(data), self.shape.filters), np.float32)
+        where = np.empty(top.shape, np.int64)
+        for i in range(0, len(data), _TILE // n):
+            part, left = data[i : i + _TILE // n], size[i : i + _TILE // n]
+            answers = self.answers(part, n)
+            short = np.flatnonzero(left < n)
+            answers[short] = np.where(np.arange(n)[None, :, None] < left[short, None, None], answers[short], -np.inf)
+            where[i : i + len(part)] = at = answers.argmax(axis=1)
+            top[i : i + len(part)] = np.take_along_axis(answers, at[:, None, :], axis=1)[:, 0]
+        return top, where
+
+    def train(self, texts: list[bytes], labels: np.ndarray) -> None:
         s, rng = self.shape, np.random.default_rng(self.shape.seed + 1)
         rate = float(np.clip(labels.mean(), 0.01, 0.99))
         self.offset = float(np.log(rate / (1 - rate)))
         params = {"table": self.table, "bias": self.bias, "weights": self.weights, "offset": np.array([self.offset], np.float32)}
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in params.items()}
         step, f = 0, s.filters
-        epochs = max(1, -(-s.steps * s.batch // len(chunks)))
+        epochs = max(1, -(-s.steps * s.batch // len(texts)))
         for epoch in range(epochs):
-            order = rng.permutation(len(chunks))
+            order = rng.permutation(len(texts))
             for at in range(0, len(order), s.batch):
                 some = order[at : at + s.batch]
-                data, size = np.concatenate([chunks[i] for i in some]), np.concatenate([sizes[i] for i in some])
-                n = 2 * s.block
-                answers = self.answers(data, n)
-                answers[np.arange(n)[None, :] >= size[:, None]] = -np.inf
-                where = answers.argmax(axis=1)
-                raw = np.take_along_axis(answers, where[:, None, :], axis=1)[:, 0]
-                seen = np.maximum(raw, 0)
-                counts = np.array([len(chunks[i]) for i in some])
-                firsts = np.cumsum(counts) - counts
-                p, described = self._combine(seen, firsts)
+                cuts = [blocks(texts[i], s) for i in some]
+                data, size = np.concatenate([c for c, _ in cuts]), np.concatenate([z for _, z in cuts])
+                top, where = self._tops(data, size)
+                # A chunk is a block and the next one of the same text; a text of one block is one chunk.
+                count = np.array([len(z) for _, z in cuts])
+                text_of = np.repeat(np.arange(len(some)), count)
+                has_next = np.concatenate([text_of[1:] == text_of[:-1], [False]])
+                chunk = np.flatnonzero(has_next | (count[text_of] == 1))
+                following = chunk + has_next[chunk]
+                block = np.where(top[following] > top[chunk], following[:, None], chunk[:, None])
+                column = np.arange(f)[None, :]
+                raw = top[block, column]
+                seen, text_of = np.maximum(raw, 0), text_of[chunk]
+                counts = np.maximum(count - 1, 1)
+                p, described = self._combine(seen, np.cumsum(counts) - counts)
                 error = ((p - labels[some]) / len(some)).astype(np.float32)
-                text_of = np.repeat(np.arange(len(some)), counts)
                 w_mean, w_max, w_min = self.weights.reshape(3, f)
                 is_max = seen == described[text_of, f : 2 * f]
                 is_min = seen == described[text_of, 2 * f :]
@@ -136,9 +152,8 @@ class Network:
                 grads = {"weights": described.T @ error, "offset": np.array([error.sum()]), "bias": back.sum(axis=0)}
                 grads["weights"] = grads["weights"] + 1e-4 * self.weights
                 table = np.empty_like(self.table)
-                column = np.arange(f)[None, :]
                 for j in range(s.width):
-                    byte = data[np.arange(len(data))[:, None], where + j].astype(np.int64)
+                    byte = data[block, where[block, column] + j].astype(np.int64)
                     table[j] = np.bincount((byte * f + column).ravel(), back.ravel(), 256 * f).reshape(256, f)
                 grads["table"] = table
                 step += 1
@@ -151,15 +166,12 @@ class Network:
                 self.offset = float(params["offset"][0])
 
 
-def cut(text: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """At most max_chunks evenly spread chunks of text with the bytes behind them, and their sizes."""
-    size, room = shape.block, 2 * shape.block + shape.width - 1
-    text = text or b"\0"
-    n = max(1, -(-len(text) // size) - 1)
-    picked = np.arange(n) if n <= shape.max_chunks else np.linspace(0, n - 1, shape.max_chunks).astype(int)
-    parts = [text[k * size : k * size + room].ljust(room, b"\0") for k in picked]
-    sizes = [min(2 * size, len(text) - k * size) for k in picked]
-    return np.frombuffer(b"".join(parts), np.uint8).reshape(len(picked), room), np.array(sizes)
+def blocks(text: bytes, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """All blocks of text with the bytes behind them (zeros after its end), and how many positions of each are text."""
+    text, size = text or b"\0", shape.block
+    n = -(-len(text) // size)
+    padded = np.frombuffer(text.ljust(n * size + shape.width - 1, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(padded, size + shape.width - 1)[::size], np.minimum(size, len(text) - size * np.arange(n))
 
 
 def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", shape: Shape = Shape()) -> Network | None:
@@ -170,24 +182,14 @@ def fit(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col:
         .orderBy(F.xxhash64("__id"), "__id").limit(shape.max_rows)
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            pieces = [cut(t or b"", shape) for t in part.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("label"), pa.array([c.tobytes() for c, _ in pieces], pa.binary()), pa.array([z.tolist() for _, z in pieces], pa.list_(pa.int64()))],
-                ["label", "chunks", "sizes"],
-            )
-
-    # max_rows bounds the broadcast.
+    # max_rows bounds the broadcast, and the rows that the driver gets.
     texts = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).dropDuplicates(["__id"])
-    texts = texts.select("__id", "label", F.col(text_col).cast("string").alias("text"))
-    rows = texts.select("label", "text").mapInArrow(run, "label double, chunks binary, sizes array<bigint>").toArrow().to_pylist()
+    rows = texts.select("label", F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text")).toArrow().to_pylist()
     if not rows:
         return None
-    room = 2 * shape.block + shape.width - 1
-    rows.sort(key=lambda r: (r["chunks"], r["label"]))
+    rows.sort(key=lambda r: (r["text"], r["label"]))
     net = Network.fresh(shape)
-    net.train([np.frombuffer(r["chunks"], np.uint8).reshape(-1, room) for r in rows], [np.array(r["sizes"]) for r in rows], np.array([r["label"] for r in rows]))
+    net.train([r["text"] for r in rows], np.array([r["label"] for r in rows]))
     return net
 
 
