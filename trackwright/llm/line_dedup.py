@@ -57,11 +57,12 @@ def line_dedup(
     pieces = pieces.where(F.col("chunk.n_lines") >= min_lines).select("id", "row", "k", F.col("chunk.body").alias("body"))
     pieces = pieces.withColumn("h64", F.xxhash64("body"))
 
-    # Hashes that occur once need no more work; only the others' bytes are compared.
-    repeated = pieces.groupBy("h64").agg(F.count("*").alias("n")).where("n > 1").select("h64")
+    # Hashes that occur once need no more work; only the others' bytes are compared. What is counted is written before it is
+    # joined: of a plain join Spark splits a hash that many rows share.
+    repeated = materialise(pieces.groupBy("h64").agg(F.count("*").alias("n")).where("n > 1").select("h64"), "repeated-hashes")
     suspects = materialise(pieces.join(repeated, "h64", "left_semi"), "repeated-chunks")
     order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("k").alias("k"))
-    first = suspects.groupBy("h64", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialise(suspects.groupBy("h64", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-chunks")
     again = suspects.join(first, ["h64", "body"]).where(~order.eqNullSafe(F.col("first")))
     gone = again.groupBy("id", "row").agg(F.collect_set("k").alias("gone"))
 

@@ -8,10 +8,11 @@
 3. A pair's signatures are compared batch by batch. With a uniform prior, the posterior probability that the similarity
    reaches the threshold is known after each batch, and the pair is dropped once that is below the miss probability.
    Survivors are confirmed on their full sets.
-   What is left are pairs between different components that meet the same pivot. They are joined by pivot, and only true
-   links come out of that join: its condition takes sizes, then the first Bayesian test on one bit of each hash, then the exact
-   similarity. That needs only what each set has and the pivot's has not, or the other way round: with D for these
-   differences, the sets of x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles. No pair inside a component is looked at.
+   What is left are pairs between different components that meet the same pivot. They are joined by pivot, large families in
+   blocks, and only true links come out of that join: its condition takes sizes, then the same sequential test on one bit of each
+   hash, batch by batch, then the exact similarity. That needs only what each set has and the pivot's has not, or the other way
+   round: with D for these differences, the sets of x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles. No pair inside a
+   component is looked at.
 4. Confirmed links give connected components; a component's id is its smallest document id.
 
 Words are runs of characters other than ASCII white space after lower-casing A-Z. A text with fewer words than a shingle has its
@@ -191,9 +192,10 @@ def fewest_equal(n: int, p: MinHash, bits: bool = False) -> int:
     return n
 
 
-def least_matches(p: MinHash) -> list[tuple[int, int]]:
-    """(hashes compared, fewest equal ones that keep a pair) after each batch."""
-    return [(n, fewest_equal(n, p)) for n in [*range(p.batch, p.hashes, p.batch), p.hashes]]
+def least_matches(p: MinHash, batch: int | None = None, bits: bool = False) -> list[tuple[int, int]]:
+    """(hashes or bits compared, fewest equal ones that keep a pair) after each batch."""
+    batch = batch or p.batch
+    return [(n, fewest_equal(n, p, bits)) for n in [*range(batch, p.hashes, batch), p.hashes]]
 
 
 def _bayes(pairs: DataFrame, p: MinHash) -> DataFrame:
@@ -266,36 +268,55 @@ def _mixed_buckets(placed: DataFrame) -> DataFrame:
     return mixed.where("all * all > same").select("bucket", ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("open"))
 
 
+def _with_pivots(placed: DataFrame, rank: Column) -> DataFrame:
+    """placed with pivot and pivot_comp, the member of its bucket that has the highest rank.
+
+    The pivots are written first, so that this is a plain join, of which Spark splits a bucket that many rows share.
+    """
+    best = F.max(F.struct(rank.alias("rank"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")))
+    pivots = materialise(placed.groupBy("bucket").agg(best.alias("p")).select("bucket", "p.pivot", "p.pivot_comp"), "pivots")
+    return placed.join(pivots.hint("merge"), "bucket")
+
+
 def _meet_pivots(placed: DataFrame, rank: Column) -> DataFrame:
-    """Pairs of each bucket's member of the highest rank with all its members of other components."""
-    return _pairs(placed.join(_pivots(placed, rank), "bucket").where("comp <> pivot_comp"), F.col("id"), F.col("pivot"))
+    """Pairs of each bucket's pivot with all its members of other components."""
+    return _pairs(_with_pivots(placed, rank).where("comp <> pivot_comp"), F.col("id"), F.col("pivot"))
 
 
-def _pivots(placed: DataFrame, rank: Column) -> DataFrame:
-    best = F.max(F.struct(rank.alias("rank"), F.col("id").alias("pivot"), F.col("comp").alias("pivot_comp")))
-    return placed.groupBy("bucket").agg(best.alias("p")).select("bucket", "p.pivot", "p.pivot_comp")
+#: Members of a pivot's family that one block of the last join has.
+FAMILY_BLOCK = 1024
 
 
 def _links_beside_pivots(placed: DataFrame, known: DataFrame, labels: DataFrame, sets: DataFrame, p: MinHash) -> DataFrame:
     """Links (a, b) between different components among the members that meet one pivot."""
-    families = placed.join(_pivots(placed, F.col("company")).hint("merge"), "bucket").where("id <> pivot").select("pivot", "id").distinct()
+    families = _with_pivots(placed, F.col("company")).where("id <> pivot").select("pivot", "id").distinct()
     families = materialise(families.join(labels, "id"), "families")
-    majors = families.groupBy("pivot", "comp").agg(F.count("*").alias("n")).groupBy("pivot").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("parts"))
-    mixed = families.join(majors.where("parts > 1").drop("parts"), "pivot")
+    majors = (
+        families.groupBy("pivot", "comp").agg(F.count("*").alias("n"))
+        .groupBy("pivot").agg(F.max(F.struct("n", "comp"))["comp"].alias("major"), F.count("*").alias("parts"), F.sum("n").alias("n"))
+    )
+    majors = majors.where("parts > 1").select("pivot", "major", F.ceil(F.col("n") / FAMILY_BLOCK).alias("blocks"))
+    mixed = families.join(materialise(majors, "majors"), "pivot")
     own, pivots = sets.withColumnRenamed("shingles", "own"), sets.select(F.col("id").alias("pivot"), F.col("shingles").alias("base"))
     delta = F.concat(F.array_except("own", "base"), F.array_except("base", "own"))
-    here = mixed.join(own.hint("merge"), "id").join(pivots.hint("merge"), "pivot").select("pivot", "id", "comp", "major", delta.alias("delta"))
+    here = mixed.join(own.hint("merge"), "id").join(pivots.hint("merge"), "pivot").select("pivot", "id", "comp", "major", "blocks", delta.alias("delta"))
     here = materialise(here.join(known.select("id", "n_shingles", "bits"), "id"), "deltas")
 
-    small = here.where("comp <> major").select("pivot", *(F.col(c).alias(f"{c}_one") for c in ("id", "comp", "n_shingles", "bits", "delta")))
+    # Every block of a family meets all members outside the largest component, so no task has a whole large family.
+    small = here.where("comp <> major").select(
+        "pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"{c}_one") for c in ("id", "comp", "n_shingles", "bits", "delta"))
+    )
+    blocked = here.withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
     new = (F.col("comp") != F.col("comp_one")) & ((F.col("comp") == F.col("major")) | (F.col("id_one") < F.col("id")))
     sizes = 100 * F.least("n_shingles", "n_shingles_one") >= p.percent * F.greatest("n_shingles", "n_shingles_one")
-    differ = [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_one")[i])) for i in range(-(-p.hashes // 64))]
-    alike = sum(differ[1:], differ[0]) <= p.hashes - fewest_equal(p.hashes, p, bits=True)
+    differ, alike = F.lit(0), sizes
+    for i, (n, least) in enumerate(least_matches(p, 64, bits=True)):
+        differ = differ + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("bits_one")[i]))
+        alike = alike & (differ <= n - least)
     total = F.col("n_shingles") + F.col("n_shingles_one")
     common = (total - F.size("delta") - F.size("delta_one")) / 2 + F.size(F.array_intersect("delta", "delta_one"))
     exact = 100 * common >= p.percent * (total - common)
-    joined = small.join(here.hint("merge"), "pivot").where(new & sizes & F.when(alike, exact).otherwise(False))
+    joined = small.join(blocked.hint("merge"), ["pivot", "block"]).where(new & F.when(alike, exact).otherwise(False))
     return _pairs(joined, F.col("id_one"), F.col("id"))
 
 

@@ -119,7 +119,8 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
             F.length(F.concat("host", "path")).alias("size"), F.concat("host", "path").alias("rule"), F.col("path").alias("start"), F.col("verdict").alias("verdict")
         ).alias("r"),
     )
-    by_host = hosts.join(named, "suffix").groupBy("host").agg(F.collect_set("r").alias("rules"))
+    # Written before it is joined: of a plain join Spark splits a host that many urls share.
+    by_host = materialise(hosts.join(named, "suffix").groupBy("host").agg(F.collect_set("r").alias("rules")), "host-rules")
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"])))
     joined = urls.join(by_host, "host", "left").withColumn("best", best)
     return joined.select(*urls.columns, F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
