@@ -1,10 +1,15 @@
 """Exact deduplication over an extendible-hash index on shared files.
 
-Entries (64-bit hash, SHA-256, length, id) of all documents are written to the shared folder. The hash space is cut into
-buckets by extendible hashing: a bucket with more distinct keys than its capacity splits, which doubles the directory where
-needed. Owner tasks each take a range of buckets and find the hashes that more than one document has. The texts of only
-those documents are fetched again and compared byte by byte, so documents whose hashes collide stay apart (they chain in
-their bucket).
+1. Entries (64-bit hash, SHA-256, length, id) of all documents are written to the shared folder.
+2. The hash space is cut into buckets by extendible hashing: a bucket with more distinct keys than its capacity splits, which
+   doubles the directory where needed.
+3. The directory deals every text to the owner task of its bucket. An owner holds its buckets' keys in order. Texts of one hash
+   chain behind it: they are compared byte by byte, each different text is one link of the chain, and a link knows the row that
+   stays and how many rows it has. The owners' links are the index, which is written to the shared folder in turn.
+4. Every entry takes its verdict from its link.
+
+A text that many rows share is dealt once, not once for each row: the hashes with most rows are known from the entries, and rows
+of those hashes are grouped by text, in part before they are dealt.
 
 Texts are equal when they are the same without ASCII white space. Of equal texts, the row with the most code points, then
 the smallest id stays. Defined cases: null text counts as empty, and all empty texts are equal. A null id comes after all
@@ -14,15 +19,18 @@ result. Columns other than the named ones are never read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .text import squeezed, whole_text
 
 #: Distinct keys in a bucket before it splits, and the bits of a hash that the directory may use; a bucket that is too full
-#: at that depth keeps its keys in a chain.
-CAPACITY, MAX_DEPTH = 16_384, 24
+#: at that depth keeps its keys. The directory has at most 2 ** MAX_DEPTH rows, which bounds its broadcast.
+CAPACITY, MAX_DEPTH = 128, 20
+#: A hash is hot if it has more than one in so many of all rows, and HOT_ROWS at least. That bounds the number of hot hashes,
+#: which are broadcast.
+HOT_SHARE, HOT_ROWS = 100_000, 64
 
 
 def _prefix(depth: int) -> Column:
@@ -55,14 +63,38 @@ def build_directory(keys: DataFrame, capacity: int = CAPACITY, max_depth: int =
     return buckets.select(F.explode(spread).alias("slot"), "bucket", "local_depth", "n_keys", F.lit(depth).alias("global_depth"))
 
 
-def build_index(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The index on shared files, in key order: local_depth, bucket, h64 and the rows that have that hash."""
+def _best() -> Column:
+    """Of rows with one text: the most code points, then the smallest id; null ids come last."""
+    return F.min(F.struct((-F.col("n_points")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"))).alias("best")
+
+
+def build_index(entries: DataFrame, texts: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """The owners' links on shared files: slot range (bucket, local_depth), h64, link (place in the chain), sha, keep_id, group_size.
+
+    texts: id, n_points, norm, h64 of every row; entries: the same without the text.
+    """
     keys = materialise(entries.groupBy("h64").agg(F.count("*").alias("n_rows")), "keys")
     directory = materialise(build_directory(keys, capacity, max_depth), "directory")
     depth = (directory.select("global_depth").first() or [0])[0]
-    located = keys.withColumn("slot", _prefix(depth)).join(directory.select("slot", "bucket", "local_depth"), "slot")
-    owned = located.repartitionByRange("slot", "h64").sortWithinPartitions("slot", "h64")
-    return materialise(owned.select("slot", "bucket", "local_depth", "h64", "n_rows"), "index")
+    rows = keys.agg(F.sum("n_rows")).first()[0] or 0
+    hot = materialise(keys.where(F.col("n_rows") > max(HOT_ROWS, rows // HOT_SHARE)).select("h64"), "hot-keys")
+
+    one = lambda df: df.withColumn("n", F.lit(1).cast("long"))
+    dealt = one(texts.select("id", "n_points", "norm", "h64"))
+    if not hot.isEmpty():
+        grouped = (
+            texts.join(F.broadcast(hot), "h64", "left_semi").groupBy("h64", "norm", "n_points").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+        )
+        dealt = dealt.join(F.broadcast(hot), "h64", "left_anti").unionByName(grouped)
+    owned = (
+        dealt.withColumn("slot", _prefix(depth))
+        .join(F.broadcast(directory.select("slot", "bucket", "local_depth")), "slot")
+        .repartition("bucket", "local_depth")
+    )
+    links = owned.groupBy("bucket", "local_depth", "h64", "norm").agg(_best(), F.sum("n").alias("group_size"))
+    links = links.select("bucket", "local_depth", "h64", F.sha2("norm", 256).alias("sha"), F.col("best.id").alias("keep_id"), "group_size")
+    chain = Window.partitionBy("bucket", "local_depth", "h64").orderBy("sha")
+    return materialise(links.withColumn("link", F.row_number().over(chain)), "index")
 
 
 def exact_dedup(
@@ -70,25 +102,14 @@ def exact_dedup(
 ) -> DataFrame:
     """One row for each document: id, keep_id, group_size, kept, text_sha256."""
     original = whole_text(text_col)
-    keyed = docs.select(F.col(id_col).alias("id"), F.length(original).cast("long").alias("n_points"), squeezed(original).alias("norm"))
-    keyed = keyed.withColumn("h64", F.xxhash64("norm"))
-    entries = materialise(keyed.select("id", "h64", F.sha2("norm", 256).alias("sha")), "entries")
-    shared = build_index(entries, capacity, max_depth).where("n_rows > 1").select("h64")
-
-    # Texts are dealt by hash at any size; afterwards copies meet in the task: one row for each text and length leaves it.
-    compared = (
-        keyed.join(shared.hint("merge"), "h64", "left_semi")
-        .groupBy("h64", "norm", "n_points")
-        .agg(F.min("id").alias("id"), F.count("*").alias("n"))
-    )
-    best = F.min(F.struct(-F.col("n_points"), F.col("id").isNull(), F.col("id").alias("id")))
-    classes = (
-        compared.groupBy("h64", "norm")
-        .agg(best["id"].alias("keep_id"), F.sum("n").alias("group_size"))
-        .select("h64", F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
-    )
-    joined = entries.join(classes, ["h64", "sha"], "left")
-    keep = F.coalesce("keep_id", "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.length(original).cast("long").alias("n_points"), squeezed(original).alias("norm"))
+    texts = texts.withColumn("h64", F.xxhash64("norm"))
+    entries = materialise(texts.select("id", "n_points", "h64", F.sha2("norm", 256).alias("sha")), "entries")
+    index = build_index(entries, texts, capacity, max_depth)
+    # Links of one row have nothing to tell: that row stays.
+    shared = index.where("group_size > 1").select("h64", "sha", "keep_id", "group_size")
+    joined = entries.join(shared, ["h64", "sha"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id"))
     return joined.select(
         F.col("id").alias(id_col), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.col("id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"),
