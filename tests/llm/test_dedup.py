@@ -85,6 +85,74 @@ def test_line_dedup_edges(spark):
     assert same[0].text == same[1].text
 
 
+def line_dedup_by_hand(rows):
+    """rows: (id, text). Text left of each row, by plain loops over lines."""
+    import hashlib
+
+    order = lambda i: (i is None, i or 0)
+    chunks, seen, gone = [], {}, {}
+    for k, (i, text) in enumerate(rows):
+        lines = (text or "").split("\n")
+        h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+        for first in range(len(lines) - 1):
+            if (h[first + 1] + 31 * h[first]) % 4:
+                ends = [n for n in range(first + 1, min(first + 16, len(lines))) if (h[n] + 31 * h[n - 1]) // 4 % 4]
+                chunks += [(*order(i), first, k, ends[0])] if ends else []
+    for *_, first, k, last in sorted(chunks):
+        lines = (rows[k][1] or "").split("\n")
+        key = tuple(lines[first : last + 1])
+        at = seen.get((k, key)) or seen.get(key)
+        seen[k, key] = (k, first)
+        seen.setdefault(key, (k, first))
+        if at is None:
+            continue
+        source = (rows[at[0]][1] or "").split("\n")
+        low, high = first, last
+        while low > 0 and low - (first - at[1]) > 0 and lines[low - 1] == source[low - 1 - (first - at[1])]:
+            low -= 1
+        while high + 1 < len(lines) and high + 1 - (first - at[1]) < len(source) and lines[high + 1] == source[high + 1 - (first - at[1])]:
+            high += 1
+        gone.setdefault(k, set()).update(range(low, high + 1))
+    return ["\n".join(x for n, x in enumerate((t or "").split("\n")) if n not in gone.get(k, ())) for k, (_, t) in enumerate(rows)]
+
+
+def test_line_dedup_matches_brute_force(spark):
+    rng = np.random.default_rng(6)
+    shared = [f"passage {i} has line {i * 7} in it" for i in range(30)]
+    texts = []
+    for k in range(60):
+        own = [f"text {k} says {n}" for n in range(rng.integers(0, 9))]
+        at, n = int(rng.integers(0, 25)), int(rng.integers(0, 9))
+        texts.append("\n".join(own[:3] + shared[at : at + n] + own[3:] + (["x", "y"] * int(rng.integers(0, 4)))))
+    texts += [None, "", "\n\n\n\n", "é\nb" * 3000]
+    ids = [*range(63), None]
+    got = {r.doc_id: r.text for r in ld.line_dedup(documents(spark, texts, ids=ids)).collect()}
+    assert got == dict(zip(ids, line_dedup_by_hand(list(zip(ids, texts, strict=True))), strict=True))
+
+
+def test_planted_passages_go_whole_but_for_the_first(spark):
+    """Passages of 3 to 8 lines between different neighbours: one goes whole or, where it has no chunk, stays whole."""
+    texts, found = [], {}
+    for n in range(3, 9):
+        for k in range(20):
+            passage = [f"passage {n} {k} line {i} with a dozen words or so to make it long enough" for i in range(n)]
+            texts += [(n, k, d, "\n".join([f"before {n} {d} {k}", *passage, f"after {n} {d} {k}"])) for d in range(3)]
+    got = {r.doc_id: r.text for r in ld.line_dedup(documents(spark, [t[3] for t in texts])).collect()}
+    for i, (n, k, d, text) in enumerate(texts):
+        if d == 0:
+            assert got[i] == text
+        else:
+            assert got[i] in (text, f"before {n} {d} {k}\nafter {n} {d} {k}")
+            found.setdefault(n, []).append(got[i] != text)
+    assert [np.mean(found[n]) >= least for n, least in ((3, 0.7), (4, 0.85), (5, 0.9), (6, 0.95), (7, 0.95), (8, 0.95))] == [True] * 6
+
+
+def test_line_dedup_null_and_repeated_ids(spark):
+    text = "\n".join(PASSAGE)
+    got = ld.line_dedup(documents(spark, [text, text, text, "alone\nhere"], ids=[None, 5, 5, None])).collect()
+    assert sorted((str(r.doc_id), r.text) for r in got) == [("5", text), ("5", text), ("None", ""), ("None", "alone\nhere")]
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}

@@ -1,8 +1,15 @@
 """Line deduplication by content-defined chunks of lines.
 
-A polynomial hash rolls over the hashes of a few consecutive lines; where it falls into one residue class, a chunk ends. An
-inserted or removed line therefore moves only the boundaries beside it. Chunks of several lines that occur again anywhere in
-the corpus, equal in hash and then in bytes, are removed but for their first occurrence (smallest id, then position).
+A polynomial hash rolls over the hashes of a few consecutive lines. Its residues choose boundaries: the hash of the first lines
+behind a place may begin a chunk there, the hash of the last lines before a place may end one. A chunk runs from a beginning to
+the first end after it, two lines or more. So what is in a chunk depends on its own lines alone, an inserted or removed line
+moves only the chunks that hold it, and a passage has the same chunks wherever it stands; chunks may overlap.
+
+Chunks whose digest occurs again anywhere in the corpus are anchors: their first occurrence (smallest id, then position) stays.
+Both texts are then compared byte by byte: an anchor whose lines are not those of the earlier occurrence is none, and as a
+passage seldom begins and ends where chunks do, each anchor is drawn out to both sides, line by line, as long as the lines beside
+it are those beside the earlier occurrence. All lines so covered go. A line only goes for an equal one that comes earlier, so the
+first of all occurrences stays. Single lines that occur again go only as part of a repeated passage.
 
 Defined cases: null text counts as empty: one empty line, which is never removed. A null id comes after all others. Rows that
 repeat id and text are one document and get the same result. An empty table gives an empty result. Columns other than the
@@ -17,67 +24,97 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .text import let, whole_text
 
-#: Lines in the rolling window, mean lines between boundaries, least lines of a chunk that may go, the hash's base.
-WINDOW, SPACING, MIN_LINES, BASE = 2, 3, 2, 31
+#: Lines in the rolling window; of so many residues one is no boundary; most lines of a chunk; the hash's base.
+WINDOW, SPACING, MOST, BASE = 2, 4, 16, 31
 
 
-def chunks(text: Column, window: int = WINDOW, spacing: int = SPACING) -> Column:
-    """array<struct<first int, n_lines int, body string>>; first counts lines from 0."""
+def chunks(text: Column, window: int = WINDOW, spacing: int = SPACING, most: int = MOST) -> Column:
+    """array<struct<first int, last int, body string>> of window lines or more; lines count from 0."""
 
     def build(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
-
-        def rolled(h: Column, i: Column) -> Column:
-            return sum((BASE**j * F.coalesce(F.get(h, i - j), F.lit(0)) for j in range(1, window)), F.get(h, i))
-
-        ends = let(hashes, lambda h: F.filter(
-            F.sequence(F.lit(0), F.size(h) - 1), lambda i: (rolled(h, i) % spacing == 0) | (i == F.size(h) - 1)
+        # rolled[k] is the hash of lines k .. k + window - 1.
+        rolled = let(hashes, lambda h: F.transform(
+            F.sequence(F.lit(0), F.size(h) - window), lambda k: sum((BASE**j * F.get(h, k + window - 1 - j) for j in range(1, window)), F.get(h, k + window - 1))
         ))
 
-        def cut(e: Column) -> Column:
-            def one(end: Column, k: Column) -> Column:
-                first = F.coalesce(F.get(e, k - 1) + 1, F.lit(0))
-                n = end - first + 1
-                return F.struct(first.alias("first"), n.alias("n_lines"), F.array_join(F.slice(lines, first + 1, n), "\n").alias("body"))
+        def cut(r: Column) -> Column:
+            def one(k: Column) -> Column:
+                ends = F.filter(F.sequence(k, F.least(k + most - window, F.size(r) - 1)), lambda e: F.floor(F.get(r, e) / spacing) % spacing != 0)
+                last = F.get(ends, F.lit(0)) + window - 1
+                return F.struct(k.alias("first"), last.alias("last"), F.array_join(F.slice(lines, k + 1, last - k + 1), "\n").alias("body"))
 
-            return F.transform(e, one)
+            begins = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda k: F.get(r, k) % spacing != 0)
+            return F.filter(F.transform(begins, one), lambda c: c["last"].isNotNull())
 
-        return let(ends, cut)
+        nothing = F.array().cast("array<struct<first:int,last:int,body:string>>")
+        return F.when(F.size(lines) < window, nothing).otherwise(let(rolled, cut))
 
     return let(F.split(text, "\n"), build)
 
 
+def _drawn_out(own: Column, other: Column, shift: Column, anchors: Column) -> Column:
+    """array<struct<first, last>>: anchors (first, last) whose own[i] are all other[i - shift], drawn out as long as that holds."""
+    differ = F.filter(
+        F.sequence(F.lit(-1), F.size(own)), lambda i: ~F.coalesce((i >= shift) & (F.get(own, i) == F.get(other, F.greatest(i - shift, F.lit(0)))), F.lit(False))
+    )
+    def equal(d: Column) -> Column:
+        return F.filter(anchors, lambda a: ~F.exists(d, lambda i: (i >= a["first"]) & (i <= a["last"])))
+
+    return let(differ, lambda d: F.transform(equal(d), lambda a: F.struct(
+        (F.array_max(F.filter(d, lambda i: i < a["first"])) + 1).alias("first"), (F.array_min(F.filter(d, lambda i: i > a["last"])) - 1).alias("last")
+    )))
+
+
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spacing: int = SPACING, min_lines: int = MIN_LINES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, spacing: int = SPACING, most: int = MOST
 ) -> DataFrame:
-    """One row for each document: id, n_lines, n_chunks, n_removed_chunks, n_removed_lines and the text that is left."""
+    """One row for each document: id, n_lines, n_chunks, n_removed_chunks (anchors), n_removed_lines and the text that is left."""
     texts = docs.select(F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
     texts = texts.withColumn("row", F.xxhash64("text"))
-    pieces = texts.select("id", "row", F.posexplode(chunks(F.col("text"), window, spacing)).alias("k", "chunk"))
-    pieces = pieces.where(F.col("chunk.n_lines") >= min_lines).select("id", "row", "k", F.col("chunk.body").alias("body"))
-    pieces = pieces.withColumn("h64", F.xxhash64("body"))
-
-    # Hashes that occur once need no more work; only the others' bytes are compared. What is counted is written before it is
-    # joined: of a plain join Spark splits a hash that many rows share.
-    repeated = materialise(pieces.groupBy("h64").agg(F.count("*").alias("n")).where("n > 1").select("h64"), "repeated-hashes")
-    suspects = materialise(pieces.join(repeated, "h64", "left_semi"), "repeated-chunks")
-    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("k").alias("k"))
-    first = materialise(suspects.groupBy("h64", "body").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1"), "first-chunks")
-    again = suspects.join(first, ["h64", "body"]).where(~order.eqNullSafe(F.col("first")))
-    gone = again.groupBy("id", "row").agg(F.collect_set("k").alias("gone"))
-
-    joined = texts.alias("t").join(gone.alias("g"), F.col("t.id").eqNullSafe(F.col("g.id")) & (F.col("t.row") == F.col("g.row")), "left")
-
-    def left(c: Column) -> Column:
-        gone = F.coalesce(F.col("g.gone"), F.array().cast("array<int>"))
-        return let(F.array_except(F.sequence(F.lit(0), F.size(c) - 1), gone), lambda stay: let(
-            F.transform(stay, lambda k: F.get(c, k)), lambda kept: F.struct(
-                F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"]).cast("long").alias("n_lines"),
-                F.size(c).cast("long").alias("n_chunks"),
-                (F.size(c) - F.size(kept)).cast("long").alias("n_removed_chunks"),
-                (F.aggregate(c, F.lit(0), lambda a, x: a + x["n_lines"]) - F.aggregate(kept, F.lit(0), lambda a, x: a + x["n_lines"])).cast("long").alias("n_removed_lines"),
-                F.array_join(F.transform(kept, lambda x: x["body"]), "\n").alias("text"),
-            )
+    pieces = texts.select("id", "row", F.explode(chunks(F.col("text"), window, spacing, most)).alias("chunk"))
+    pieces = pieces.select("id", "row", "chunk.first", "chunk.last", F.unhex(F.sha2("chunk.body", 256)).alias("digest"))
+    # Where each document has a chunk. Rows that repeat id and text are one document.
+    places = materialise(pieces.groupBy("id", "row", "digest").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("at")), "chunks")
+
+    # What is grouped by a key is written before it is joined by it: of a plain join Spark splits a key that many rows share.
+    order = F.struct(F.col("id").isNull().alias("no_id"), F.col("id").alias("id"), F.col("row").alias("row"))
+    first = F.min(F.struct(order.alias("doc"), F.col("at")[0]["first"].alias("first")))
+    earliest = places.groupBy("digest").agg(first.alias("source"), F.sum(F.size("at")).alias("n")).where("n > 1").drop("n")
+    again = places.join(materialise(earliest, "first-chunks").hint("merge"), "digest").withColumn("own", order)
+    # A document's first chunk of its kind is held against the corpus' first one, later ones against the one before.
+    one = F.struct(F.col("source.doc.id").alias("source_id"), F.col("source.doc.row").alias("source_row"), (F.col("at")[0]["first"] - F.col("source.first")).alias("shift"), F.col("at")[0].alias("anchor"))
+    foreign = F.when(F.col("own") == F.col("source.doc"), F.filter(F.array(one), lambda _: F.lit(False))).otherwise(F.array(one))
+    inner = F.transform(F.slice("at", 2, F.size("at")), lambda a, k: F.struct(
+        F.col("id").alias("source_id"), F.col("row").alias("source_row"), (a["first"] - F.get("at", k)["first"]).alias("shift"), a.alias("anchor")
+    ))
+    each = again.select("id", "row", F.explode(F.concat(foreign, inner)).alias("x")).select("id", "row", "x.*")
+    # Anchors of one pair of texts with one shift go together.
+    pairs = materialise(each.groupBy("id", "row", "source_id", "source_row", "shift").agg(F.array_sort(F.collect_set("anchor")).alias("anchors")), "anchors")
+
+    by = lambda i, r: F.col("id").eqNullSafe(F.col(i)) & (F.col("row") == F.col(r))
+    wanted = pairs.select(F.col("source_id").alias("i"), F.col("source_row").alias("r"))
+    sources = texts.join(wanted.distinct().hint("merge"), by("i", "r"), "left_semi").dropDuplicates(["id", "row"])
+    sources = materialise(sources.select(F.col("id").alias("i"), F.col("row").alias("r"), F.col("text").alias("source_text")), "source-texts")
+    same = F.col("source_id").eqNullSafe(F.col("i")) & (F.col("source_row") == F.col("r"))
+    joined = pairs.join(sources.hint("merge"), same).select(F.col("id").alias("i"), F.col("row").alias("r"), "shift", "anchors", "source_text")
+    ranges = let(F.split("text", "\n"), lambda a: let(F.split("source_text", "\n"), lambda b: _drawn_out(a, b, F.col("shift"), F.col("anchors"))))
+    ranged = texts.join(joined.hint("merge"), by("i", "r")).select("id", "row", F.explode(ranges).alias("range"), "anchors", "shift")
+    gone = materialise(
+        ranged.groupBy("id", "row").agg(F.collect_set("range").alias("ranges"), F.array_distinct(F.flatten(F.collect_set("anchors"))).alias("anchors"))
+        .select("id", "row", "ranges", F.size("anchors").alias("n_removed_chunks")), "gone",
+    )
+
+    found = texts.alias("t").join(gone.alias("g"), F.col("t.id").eqNullSafe(F.col("g.id")) & (F.col("t.row") == F.col("g.row")), "left")
+
+    def left(lines: Column) -> Column:
+        covered = F.array_distinct(F.flatten(F.transform("g.ranges", lambda x: F.sequence(x["first"], x["last"]))))
+        stays = F.when(F.col("g.ranges").isNull(), lines).otherwise(let(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered), lambda k: F.transform(k, lambda i: F.get(lines, i))))
+        return let(stays, lambda s: F.struct(
+            F.size(lines).cast("long").alias("n_lines"), (F.size(lines) - F.size(s)).cast("long").alias("n_removed_lines"), F.array_join(s, "\n").alias("text")
         ))
 
-    return joined.select(F.col("t.id").alias(id_col), let(chunks(F.col("t.text"), window, spacing), left).alias("out")).select(id_col, "out.*")
+    return found.select(
+        F.col("t.id").alias(id_col), F.size(chunks(F.col("t.text"), window, spacing, most)).cast("long").alias("n_chunks"),
+        F.coalesce("g.n_removed_chunks", F.lit(0)).cast("long").alias("n_removed_chunks"), let(F.split("t.text", "\n"), left).alias("out"),
+    ).select(id_col, "out.n_lines", "n_chunks", "n_removed_chunks", "out.n_removed_lines", "out.text")

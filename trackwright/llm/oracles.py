@@ -7,18 +7,36 @@ with lines as (
   select doc_id, i - 1 as i, list_extract(l, i) as line
   from (select doc_id, l, unnest(range(1, len(l) + 1)) as i from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents))
 ),
-hashed as (select *, ('0x' || md5(line)[1:8])::bigint as h, max(i) over (partition by doc_id) as last_i from lines),
-marked as (
-  select *, ((h + 31 * coalesce(lag(h) over (partition by doc_id order by i), 0)) % 3 = 0 or i = last_i)::int as ends from hashed
+hashed as (select *, ('0x' || md5(line)[1:8])::bigint as h from lines),
+rolled as (select *, h + 31 * lag(h) over (partition by doc_id order by i) as before, lead(h) over (partition by doc_id order by i) + 31 * h as behind from hashed),
+spans as (
+  select doc_id, i as first, behind % 4 <> 0 as begins,
+    min(case when (before // 4) % 4 <> 0 then i end) over (partition by doc_id order by i rows between 1 following and 15 following) as last
+  from rolled
+),
+chunks as (
+  select s.doc_id, s.first, s.last, string_agg(l.line, chr(10) order by l.i) as body
+  from spans s join lines l on l.doc_id = s.doc_id and l.i between s.first and s.last where begins and last is not null group by all
 ),
-numbered as (select *, coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from marked),
-chunks as (select doc_id, k, count(*) as n, string_agg(line, chr(10) order by i) as body from numbered group by doc_id, k),
 judged as (
-  select *, n >= 2 and row_number() over (partition by body, n >= 2 order by doc_id, k) > 1 as gone from chunks
-)
-select doc_id, sum(n)::bigint as n_lines, count(*) as n_chunks, (count(*) filter (gone))::bigint as n_removed_chunks,
-  coalesce(sum(n) filter (gone), 0)::bigint as n_removed_lines, coalesce(string_agg(body, chr(10) order by k) filter (not gone), '') as text
-from judged group by doc_id
+  select *, row_number() over w > 1 as again, lag(first) over (partition by body, doc_id order by first) as prior, first_value(doc_id) over w as first_doc, first_value(first) over w as first_place
+  from chunks window w as (partition by body order by doc_id, first)
+),
+anchors as (
+  select doc_id, first, case when prior is null then first_doc else doc_id end as source, first - coalesce(prior, first_place) as shift from judged where again
+),
+same as (
+  select p.doc_id, p.source, p.shift, o.i, o.i - row_number() over (partition by p.doc_id, p.source, p.shift order by o.i) as island
+  from (select distinct doc_id, source, shift from anchors) p join lines o on o.doc_id = p.doc_id
+  join lines s on s.doc_id = p.source and s.i = o.i - p.shift and s.line = o.line
+),
+kept_islands as (select distinct s.doc_id, s.source, s.shift, s.island from same s join anchors a on a.doc_id = s.doc_id and a.source = s.source and a.shift = s.shift and a.first = s.i),
+gone as (select distinct doc_id, i from same join kept_islands using (doc_id, source, shift, island))
+select d.doc_id, n_lines, coalesce(n_chunks, 0) as n_chunks, coalesce(n_removed_chunks, 0) as n_removed_chunks, coalesce(n_removed_lines, 0) as n_removed_lines, coalesce(text, '') as text
+from (select doc_id, count(*) as n_lines from lines group by doc_id) d left join (select doc_id, count(*) as n_chunks from chunks group by doc_id) c using (doc_id)
+left join (select doc_id, count(*) as n_removed_chunks from anchors group by doc_id) a using (doc_id)
+left join (select doc_id, count(*) as n_removed_lines from gone group by doc_id) g using (doc_id)
+left join (select l.doc_id, string_agg(l.line, chr(10) order by l.i) as text from lines l anti join gone using (doc_id, i) group by l.doc_id) t using (doc_id)
 """
 
 _WARC = r"""
