@@ -7,10 +7,12 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from helpers import EDGES, documents
+from oracle import SF
 from pyspark.sql import functions as F
 
 from trackwright.llm import bpe, byte_cnn, mixing, token_store
 from trackwright.llm import quality_rules as qr
+from trackwright.session import table
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, WORDS = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.path("word_bpe_49k.json")
@@ -64,10 +66,28 @@ def test_stage_rejects_symbols_repeated_lines_and_far_hosts(spark):
     assert not any(rows[i].base_failed for i in range(3))
     assert {r.host for r in rows.values() if r.host_outlier} == {"far"}
     assert all(not r.passed for r in rows.values() if r.host == "far")
-    assert all(r.kept == (not r.base_failed) for r in rows.values())
+    assert all(r.kept == (not r.base_failed and r.host != "far") for r in rows.values())
     assert {r.doc_id for r in qr.keep_good(docs).collect()} == {i for i, r in rows.items() if r.passed}
 
 
+def test_host_verdict_acts_on_real_documents(spark):
+    """Three of four real documents of one host are cut to three words: the host goes, with its good documents, and no other does."""
+    docs = table(spark, SF.replace("sf0.001", "sf0.01"), "documents")
+    host = docs.groupBy("source").count().orderBy(F.desc("count"), "source").first()["source"]
+    cut = F.when((F.col("source") == host) & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) > 0), F.lit("only three words")).otherwise(F.col("text"))
+    rows = qr.quality_rules(docs.withColumn("text", cut)).collect()
+    assert not any(r.kept or r.passed for r in rows if r.host == host)
+    assert sum(not r.base_failed for r in rows if r.host == host) > 1
+    assert all(r.kept == (not r.base_failed) for r in rows if r.host != host)
+    assert all(r.kept == (not r.base_failed) for r in qr.quality_rules(docs).collect())
+
+
+def test_quality_counts_of_long_and_repeated_rows(spark):
+    texts = ["x" * 70_000, "word " * 30_000, "a line of text\n" * 5_000, "same", "same"]
+    rows = sorted(qr.quality_rules(documents(spark, texts, ids=[0, 1, 2, 3, 3])).collect(), key=lambda r: (r.doc_id, r.n_words))
+    assert [(r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) for r in rows] == [(1, 70_000, 0, 0), (30_000, 120_000, 0, 30_000), (20_000, 55_000, 4_999, 20_000), (1, 4, 0, 0), (1, 4, 0, 0)]
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import tiktoken

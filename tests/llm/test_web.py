@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,6 +85,40 @@ def test_rules_and_trees(spark):
     assert rows[91].verdict == "allow"
 
 
+def auc(rows):
+    """Share of (bad, good) pairs that the score puts in order; rows: (score, label)."""
+    bad, good = [s for s, y in rows if y], [s for s, y in rows if not y]
+    return sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+
+
+def test_trees_rank_held_out_urls(spark):
+    """Urls whose label their form tells, with noise, over suffixes that do not: fitted on three quarters, judged on the rest."""
+    rng = random.Random(2)
+    word = lambda: rng.choice(["news", "blog", "shop", "about", "page", "list"])
+    rows = []
+    for i in range(600):
+        odd = rng.random() < 0.5
+        tail = "&".join(f"{rng.choice('abcdef')}{rng.randint(10, 9999)}={rng.randint(1000, 999999)}" for _ in range(rng.randint(2, 5))) if odd else ""
+        rows.append((f"http://{word()}{rng.randint(0, 9)}.example.{rng.choice(['org', 'com', 'biz'])}/{word()}/{word()}{'?' + tail if tail else ''}", int(odd != (rng.random() < 0.05)), i))
+    table = spark.createDataFrame(rows, "url string, label int, k int")
+    model = uf.UrlModel(table.where("k % 4 <> 0").select("url", "label"))
+    host, path = uf.split_url(F.col("url"))
+    held = model.score(table.where("k % 4 = 0").withColumns({"host": host, "path": path})).collect()
+    assert auc([(r.score, r.label) for r in held]) > 0.85
+
+
+def test_equally_long_rules(spark):
+    rules = spark.createDataFrame([("a.org", "/x", "allow"), ("a.org", "/x", "block"), ("b.org", "/x", "allow")], "host string, path string, verdict string")
+    none = spark.createDataFrame([], "url string, label int")
+    table = pages(spark, [(1, "http://a.org/x", ""), (2, "http://b.org/xy" + "z" * 100_000, "")])
+    assert {r.page_id: r.verdict for r in uf.url_filter(table, rules, none).collect()} == {1: "block", 2: "allow"}
+
+
+def test_archive_of_null_ids(spark):
+    rows = warc.read_archive(*warc.write_archive(pages(spark, [(None, "u", "p"), (4, "v", "p"), (None, "w", "q")]))).collect()
+    assert sorted((str(r.page_id), r.record_type, str(r.refers_to)) for r in rows) == [("4", "response", "None"), ("None", "response", "None"), ("None", "revisit", "4")]
+
+
 def test_no_labels_no_rules_no_rows(spark):
     rules = spark.createDataFrame([], "host string, path string, verdict string")
     none = spark.createDataFrame([], "url string, label int")

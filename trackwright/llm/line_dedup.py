@@ -105,7 +105,7 @@ def line_dedup(
         .select("id", "row", "ranges", F.size("anchors").alias("n_removed_chunks")), "gone",
     )
 
-    found = texts.alias("t").join(gone.alias("g"), F.col("t.id").eqNullSafe(F.col("g.id")) & (F.col("t.row") == F.col("g.row")), "left")
+    found = texts.alias("t").join(gone.hint("merge").alias("g"), F.col("t.id").eqNullSafe(F.col("g.id")) & (F.col("t.row") == F.col("g.row")), "left")
 
     def left(lines: Column) -> Column:
         covered = F.array_distinct(F.flatten(F.transform("g.ranges", lambda x: F.sequence(x["first"], x["last"]))))

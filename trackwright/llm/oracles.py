@@ -93,7 +93,8 @@ judged as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base
 hosts as (select source, count(*)::double as n, (count(*) filter (base_failed))::double as f from judged where source is not null group by source),
 prior as (select avg(f / n) as m, var_pop(f / n) as v from hosts),
 strength as (select m, case when v > 0 then greatest(m * (1 - m) / v - 1, 1) else 1 end as s from prior),
-verdicts as (select source, (f + m * s) / (n + s) > 0.8 as rejected from hosts, strength)
+rates as (select source, n, s, m, (f + m * s) / (n + s) as rate from hosts, strength),
+verdicts as (select source, rate > 0.8 or rate - 3 * sqrt(rate * (1 - rate) / (n + s + 1)) > 4 * m / (1 + 3 * m) as rejected from rates)
 select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and not coalesce(rejected, false) as kept
 from judged left join verdicts using (source)

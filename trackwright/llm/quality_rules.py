@@ -2,11 +2,11 @@
 
 Document rules count words, symbols, repeated lines and repeated word windows inside each row. Their failures are then
 summed by host; each host's failure rate is shrunk towards the corpus by a beta prior fitted to all hosts (method of
-moments), and hosts whose shrunk rate is too high lose all their documents.
+moments), and hosts that are far worse than the prior's mean host, or nearly all bad, lose all their documents.
 
-There are two verdicts. The base rules (words, repeated windows, a fixed host rate) give base_failed and kept, which are fixed by
-the query's SQL. All rules (with shares of symbols and of repeated lines, and hosts judged against the prior) give rules_failed
-and passed, which the pipeline's stage follows.
+There are two verdicts. The base rules (words, repeated windows) and the hosts' rates of failing them give base_failed and kept. All
+rules (with shares of symbols and of repeated lines) and the hosts' rates of failing any give rules_failed and passed, which the
+pipeline's stage follows.
 
 Defined cases: null or empty text has no words and fails the word rule. A null host has no host verdict. Repeated rows count
 as often as they occur. An empty table gives an empty result. Columns other than the named ones are never read.
@@ -27,13 +27,13 @@ from .text import SPACE, let, whole_text, words
 class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A host is rejected if its shrunk failure rate is above this.
+    #: A host is rejected if its shrunk failure rate is above this, whatever the prior.
     max_host_rate: float = 0.8
     #: Symbols for 100 words and repeated lines for 100 lines that are not blank; above either a document fails all rules.
     max_symbol_percent: int = 10
     max_dup_line_percent: int = 30
-    #: passed also rejects hosts whose posterior failure rate, less host_sds of its standard deviations, has odds above
-    #: host_odds times those of the mean host.
+    #: A host is also rejected if its posterior failure rate, less host_sds of its standard deviations, has odds above host_odds
+    #: times those of the mean host.
     host_odds: float = 4.0
     host_sds: float = 3.0
 
@@ -106,14 +106,16 @@ def host_verdicts(judged: DataFrame, host_col: str, rules: Rules) -> DataFrame:
         ),
         "host-rates",
     )
-    base, _, _ = _shrunk(hosts, "host_failures")
-    rate, mean, strength = _shrunk(hosts, "host_any_failures")
-    least = rate - rules.host_sds * F.sqrt(rate * (1 - rate) / (F.col("host_docs") + strength + 1))
-    far = least > rules.host_odds * mean / (1 + (rules.host_odds - 1) * mean)
-    return (
-        hosts.withColumn("host_rate", base).withColumn("host_rejected", base > rules.max_host_rate)
-        .withColumn("host_any_rate", rate).withColumn("host_outlier", far | (rate > rules.max_host_rate))
-    )
+
+    def judged_by(failures: str) -> tuple[Column, Column]:
+        """The shrunk rate, and whether it is too high."""
+        rate, mean, strength = _shrunk(hosts, failures)
+        least = rate - rules.host_sds * F.sqrt(rate * (1 - rate) / (F.col("host_docs") + strength + 1))
+        far = least > rules.host_odds * mean / (1 + (rules.host_odds - 1) * mean)
+        return rate, far | (rate > rules.max_host_rate)
+
+    base, any_rule = judged_by("host_failures"), judged_by("host_any_failures")
+    return hosts.withColumns({"host_rate": base[0], "host_rejected": base[1], "host_any_rate": any_rule[0], "host_outlier": any_rule[1]})
 
 
 def _passed() -> Column:

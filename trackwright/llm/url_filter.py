@@ -1,7 +1,9 @@
 """URL filter: host and path rules first, then gradient-boosted trees on lexical features.
 
-A rule fits its host and all subdomains if the url's path starts with the rule's path; of several the longest decides. Urls
-without a rule are judged by trees (Spark ML) that are trained on labelled urls.
+A rule fits its host and all subdomains if the url's path starts with the rule's path; of several the longest decides, of equally
+long ones the one later in the alphabet, and of one rule with both verdicts "block". Urls without a rule are judged by trees (Spark
+ML) that are trained on labelled urls. One feature is the rate of bad urls below the same suffix; a labelled url's own rate comes
+from the other folds only, so that the trees do not see its label in it.
 
 Defined cases: a null url, or one without "://", has an empty host and path, fits no rule and is judged by its features like any
 other. Urls may repeat. Without labelled urls of both classes no model is trained, and such urls are allowed. An empty table
@@ -34,6 +36,8 @@ class Trees:
     threshold: float = 0.5
     #: A suffix's rate of bad urls counts as if this many urls of the overall rate were added.
     prior: float = 20.0
+    #: Parts of the labelled urls for the suffix rates of the training rows.
+    folds: int = 5
     seed: int = 5
 
 
@@ -73,6 +77,11 @@ def lexical(urls: DataFrame) -> DataFrame:
     })
 
 
+def _vectors(rated: DataFrame) -> DataFrame:
+    names = sorted(c for c in rated.columns if c.startswith("f_"))
+    return VectorAssembler(inputCols=names, outputCol="features").transform(rated)
+
+
 class UrlModel:
     """Suffix statistics and trees fitted to labelled urls (url string, label int: 1 is bad)."""
 
@@ -85,23 +94,25 @@ class UrlModel:
         if not n or not 0 < bad < n:
             return
         self.rate = bad / n
-        self.suffixes = materialise(
-            self.rows.groupBy("suffix").agg(((F.sum("label") + settings.prior * self.rate) / (F.count("*") + settings.prior)).alias("f_suffix_rate")), "suffix-rates"
-        )
+        folded = self.rows.withColumn("fold", F.pmod(F.xxhash64("url", F.lit(settings.seed + 1)), F.lit(settings.folds)))
+        in_fold = materialise(folded.groupBy("suffix", "fold").agg(F.sum("label").alias("fold_bad"), F.count("*").alias("fold_n")), "suffix-folds")
+        sums = in_fold.groupBy("suffix").agg(F.sum("fold_bad").alias("bad"), F.sum("fold_n").alias("n"))
+        self.suffixes = materialise(sums.select("suffix", "bad", "n", self._shrunk(F.col("bad"), F.col("n")).alias("f_suffix_rate")), "suffix-rates")
         share = min(1.0, settings.max_rows / n)
-        picked = self.rows.where(F.pmod(F.xxhash64("url", F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
-        self.model = GBTClassifier(maxIter=settings.trees, maxDepth=settings.depth, seed=settings.seed, cacheNodeIds=False).fit(self._vectors(picked))
+        picked = folded.where(F.pmod(F.xxhash64("url", F.lit(settings.seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+        others = picked.join(in_fold, ["suffix", "fold"]).join(self.suffixes.select("suffix", "bad", "n"), "suffix")
+        others = others.withColumn("f_suffix_rate", self._shrunk(F.col("bad") - F.col("fold_bad"), F.col("n") - F.col("fold_n")))
+        self.model = GBTClassifier(maxIter=settings.trees, maxDepth=settings.depth, seed=settings.seed, cacheNodeIds=False).fit(_vectors(others))
 
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        rated = rows.join(self.suffixes, "suffix", "left").fillna({"f_suffix_rate": self.rate})
-        names = [c for c in rated.columns if c.startswith("f_")]
-        return VectorAssembler(inputCols=names, outputCol="features").transform(rated)
+    def _shrunk(self, bad: Column, n: Column) -> Column:
+        return (bad + self.settings.prior * self.rate) / (n + self.settings.prior)
 
     def score(self, urls: DataFrame) -> DataFrame:
         """urls (url, host, path and others) with score, the probability that the url is bad."""
         if self.model is None:
             return urls.withColumn("score", F.lit(self.rate))
-        scored = self.model.transform(self._vectors(lexical(urls)))
+        rated = lexical(urls).join(self.suffixes.select("suffix", "f_suffix_rate"), "suffix", "left").fillna({"f_suffix_rate": self.rate})
+        scored = self.model.transform(_vectors(rated))
         return scored.select(*urls.columns, vector_to_array("probability")[1].alias("score"))
 
 
