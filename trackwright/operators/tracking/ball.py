@@ -8,6 +8,7 @@ is left, merge tracks that meet, drop lost ones, and choose the track in play.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import hypot, inf, sqrt
 from typing import Any
 
 import numpy as np
@@ -56,28 +57,30 @@ class BallSettings:
     trace: int = 24
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """IoU of every box in a with every box in b."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:4], b[None, :, 2:4])
-    shared = np.clip(high - low, 0, None).prod(axis=2)
-    area = lambda r: np.clip(r[:, 2:4] - r[:, :2], 0, None).prod(axis=1)
-    return shared / np.maximum(area(a)[:, None] + area(b)[None, :] - shared, 1e-9)
+Box = tuple[float, float, float, float]
+Point = tuple[float, float]
+
+
+def overlap(a: Box, b: Box) -> float:
+    """IoU of two boxes."""
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    shared = w * h if w > 0 and h > 0 else 0.0
+    area = lambda r: max(r[2] - r[0], 0.0) * max(r[3] - r[1], 0.0)
+    return shared / max(area(a) + area(b) - shared, 1e-9)
 
 
-def suppress(boxes: np.ndarray, threshold: float) -> np.ndarray:
+def suppress(boxes: list[tuple], threshold: float) -> list[tuple]:
     """Rows (x1, y1, x2, y2, conf) that greedy suppression keeps, most confident first."""
-    rest, kept = boxes[np.argsort(-boxes[:, 4], kind="stable")], []
-    while len(rest):
-        kept.append(rest[0])
-        rest = rest[1:][overlaps(rest[:1], rest[1:])[0] < threshold]
-    return np.array(kept).reshape(-1, 5)
-
-
-def inside(point: np.ndarray, polygon: np.ndarray, eps: float = 1e-9) -> bool:
-    """Even-odd test, edges included. A polygon has few edges, so plain numbers are faster here than arrays."""
-    x, y = float(point[0]), float(point[1])
-    odd, corners = False, polygon.tolist()
-    ax, ay = corners[-1]
+    kept: list[tuple] = []
+    for box in sorted(boxes, key=lambda r: -r[4]):
+        if all(overlap(k, box) < threshold for k in kept):
+            kept.append(box)
+    return kept
+
+
+def within(x: float, y: float, corners: list[Point], eps: float = 1e-9) -> bool:
+    """Even-odd test, edges included."""
+    odd, (ax, ay) = False, corners[-1]
     for bx, by in corners:
         cross = (x - ax) * (by - ay) - (y - ay) * (bx - ax)
         if abs(cross) <= eps and min(ax, bx) - eps <= x <= max(ax, bx) + eps and min(ay, by) - eps <= y <= max(ay, by) + eps:
@@ -88,6 +91,10 @@ def inside(point: np.ndarray, polygon: np.ndarray, eps: float = 1e-9) -> bool:
     return odd
 
 
+def inside(point: np.ndarray, polygon: np.ndarray) -> bool:
+    return within(float(point[0]), float(point[1]), polygon.tolist())
+
+
 def widened(polygon: np.ndarray, margin: float) -> np.ndarray:
     middle = polygon.mean(axis=0)
     return middle + (polygon - middle) * (1 + margin)
@@ -98,38 +105,65 @@ def on_plane(h: np.ndarray, p: np.ndarray) -> np.ndarray | None:
     return v[:2] / v[2] if abs(v[2]) >= 1e-9 else None
 
 
-def stretch(h: np.ndarray, p: np.ndarray) -> tuple[float, float]:
-    """Smallest and largest stretch of the homography at a point."""
-    u, v, w = h @ np.array([p[0], p[1], 1.0])
+def middle(box: np.ndarray) -> np.ndarray:
+    return (box[:2] + box[2:4]) / 2
+
+
+def center(box: tuple) -> Point:
+    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+
+
+def stretch(h: tuple[float, ...], x: float, y: float) -> tuple[float, float]:
+    """Smallest and largest stretch of a homography (nine numbers) at a point."""
+    u, v, w = h[0] * x + h[1] * y + h[2], h[3] * x + h[4] * y + h[5], h[6] * x + h[7] * y + h[8]
     w = w if abs(w) >= 1e-12 else 1e-12
-    jacobian = (h[:2, :2] * w - np.outer([u, v], h[2, :2])) / (w * w)
-    large, small = np.linalg.svd(jacobian, compute_uv=False)
-    return float(small), float(large)
+    a, b, c, d = ((h[i] * w - m * h[6 + j]) / (w * w) for i, j, m in ((0, 0, u), (1, 1, u), (3, 0, v), (4, 1, v)))
+    total, area = a * a + b * b + c * c + d * d, abs(a * d - b * c)
+    large = sqrt((total + sqrt(max(total * total - 4 * area * area, 0.0))) / 2)
+    return (area / large if large > 0 else 0.0), large
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of every box in a with every box in b."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:4], b[None, :, 2:4])
+    shared = np.clip(high - low, 0, None).prod(axis=2)
+    area = lambda r: np.clip(r[:, 2:4] - r[:, :2], 0, None).prod(axis=1)
+    return shared / np.maximum(area(a)[:, None] + area(b)[None, :] - shared, 1e-9)
 
 
 def pair_up(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of finite cost: those that are each other's cheapest first, then the cheapest of the rest, each side once."""
-    if not cost.size:
-        return []
+    """match_up of the finite cells of a matrix."""
     rows, cols = np.nonzero(np.isfinite(cost))
-    mutual = (cost.argmin(axis=1)[rows] == cols) & (cost.argmin(axis=0)[cols] == rows)
-    chosen, used_rows, used_cols = [], set(), set()
-    for i in np.lexsort((cols, rows, cost[rows, cols], ~mutual)):
-        if rows[i] not in used_rows and cols[i] not in used_cols:
-            chosen.append((int(rows[i]), int(cols[i])))
-            used_rows.add(rows[i])
-            used_cols.add(cols[i])
+    return match_up(list(zip(cost[rows, cols].tolist(), rows.tolist(), cols.tolist(), strict=True)))
+
+
+def match_up(costs: list[tuple[float, int, int]]) -> list[tuple[int, int]]:
+    """Of costs (cost, row, column) the pairs that are each other's cheapest first, then the cheapest of the rest, each side once."""
+    cheapest_row: dict[int, tuple] = {}
+    cheapest_col: dict[int, tuple] = {}
+    for one in costs:
+        cost, row, col = one
+        if row not in cheapest_row or (cost, col) < (cheapest_row[row][0], cheapest_row[row][2]):
+            cheapest_row[row] = one
+        if col not in cheapest_col or (cost, row) < cheapest_col[col][:2]:
+            cheapest_col[col] = one
+    chosen, rows, cols = [], set(), set()
+    for _, _, row, col in sorted((cheapest_row[one[1]] is not one or cheapest_col[one[2]] is not one, *one) for one in costs):
+        if row not in rows and col not in cols:
+            chosen.append((row, col))
+            rows.add(row)
+            cols.add(col)
     return chosen
 
 
-@dataclass
+@dataclass(slots=True)
 class Ball:
     id: int
-    box: np.ndarray
+    box: Box
     conf: float
-    points: list[np.ndarray]
-    plane: np.ndarray | None
-    size: np.ndarray
+    points: list[Point]
+    plane: Point | None
+    size: Point
     speed: float = 0.0
     smooth: float = 0.0
     mps: float = 0.0
@@ -143,159 +177,187 @@ class Ball:
         return len(self.points) >= 2
 
 
-def middle(box: np.ndarray) -> np.ndarray:
-    return (box[:2] + box[2:4]) / 2
-
-
 @dataclass
 class BallTracker:
+    """A frame has few boxes and few tracks, so plain numbers are faster here than arrays."""
+
     s: BallSettings
     balls: list[Ball] = field(default_factory=list)
     next_id: int = 1
     active: int | None = None
-    seen: np.ndarray = field(default_factory=lambda: np.zeros((0, 2)))
+    seen: list[Point] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.h = np.array(self.s.homography, float).reshape(3, 3)
-        self.court = np.array(self.s.court, float)
-        self.trust, self.near = widened(self.court, self.s.trust_margin), widened(self.court, self.s.near_margin)
-        self.diagonal = float(np.hypot(*self.s.size))
+        self.h = tuple(map(float, self.s.homography))
+        court = np.array(self.s.court, float)
+        as_points = lambda polygon: [tuple(p) for p in polygon.tolist()]
+        self.court, self.trust, self.near = (as_points(p) for p in (court, widened(court, self.s.trust_margin), widened(court, self.s.near_margin)))
+        self.diagonal = hypot(*self.s.size)
         self.dt = 1.0 / self.s.fps
 
+    def _on_plane(self, p: Point) -> Point | None:
+        h, (x, y) = self.h, p
+        w = h[6] * x + h[7] * y + h[8]
+        return ((h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w) if abs(w) >= 1e-9 else None
+
+    def _found(self, rows: list[Any]) -> list[tuple]:
+        width, height = self.s.size[0] - 1, self.s.size[1] - 1
+        out = []
+        for r in rows:
+            if r.conf is None or r.conf != r.conf:
+                continue
+            x1, y1, x2, y2 = min(max(r.x1, 0), width), min(max(r.y1, 0), height), min(max(r.x2, 0), width), min(max(r.y2, 0), height)
+            if x2 > x1 and y2 > y1:
+                out.append((float(x1), float(y1), float(x2), float(y2), float(r.conf)))
+        return suppress(out, self.s.nms) if len(out) > 1 else out
+
     def step(self, frame: int, rows: list[Any]) -> list[tuple]:
         s = self.s
-        found = np.array([(r.x1, r.y1, r.x2, r.y2, r.conf) for r in rows if r.conf == r.conf and r.conf is not None], float).reshape(-1, 5)
-        found[:, [0, 2]], found[:, [1, 3]] = np.clip(found[:, [0, 2]], 0, s.size[0] - 1), np.clip(found[:, [1, 3]], 0, s.size[1] - 1)
-        found = suppress(found[(found[:, 2] > found[:, 0]) & (found[:, 3] > found[:, 1])], s.nms)
-        planes = [on_plane(self.h, middle(b)) for b in found]
-        good = [i for i, p in enumerate(planes) if p is not None and (not s.strict_court or inside(p, self.court))]
-        boxes, planes = found[good], [planes[i] for i in good]
-        centers = (boxes[:, :2] + boxes[:, 2:4]) / 2
+        found = self._found(rows)
+        placed = [(b, center(b), self._on_plane(center(b))) for b in found]
+        placed = [x for x in placed if x[2] is not None and (not s.strict_court or within(*x[2], self.court))]
         for b in self.balls:
             b.cooldown = max(0, b.cooldown - 1)
 
         old, taken = list(self.balls), {}
-        cost, spare, span = self._costs(old, centers)
-        for t, d in pair_up(cost):
-            taken[t] = d
+        cost, spare, span = self._costs(old, [c for _, c, _ in placed])
+        taken.update(match_up(cost))
         for t in range(len(old)):
-            if t not in taken and len(boxes):
-                options = np.where([d in taken.values() for d in range(len(boxes))], np.inf, spare[t])
-                if np.isfinite(options.min()):
-                    taken[t] = int(options.argmin())
+            if t not in taken:
+                options = [(c, d) for c, d in spare[t] if d not in taken.values()]
+                if options:
+                    taken[t] = min(options)[1]
         for t, b in enumerate(old):
             if t in taken:
-                self._follow(b, boxes[taken[t]], planes[taken[t]], span[t])
+                box, point, plane = placed[taken[t]]
+                self._follow(b, box, point, plane, span[t])
             else:
                 b.missed, b.age = b.missed + 1, b.age + 1
                 b.smooth, b.smooth_mps = b.smooth * s.decay, b.smooth_mps * s.decay
 
-        self._start([(boxes[d], planes[d]) for d in range(len(boxes)) if d not in taken.values() and boxes[d, 4] >= s.spawn_conf])
-        self._merge()
+        used = set(taken.values())
+        self._start([x for d, x in enumerate(placed) if d not in used and x[0][4] >= s.spawn_conf])
+        if len(self.balls) > 1:
+            self._merge()
         self.balls = [b for b in self.balls if b.missed <= s.max_missed]
         self._choose()
-        self.seen = (found[:, :2] + found[:, 2:4]) / 2
+        self.seen = [center(b) for b in found]
         return self._rows()
 
-    def _costs(self, balls: list[Ball], centers: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[float]]:
-        """Costs of pairs inside all gates, of pairs inside the gates of the second chance, and seconds since each ball was seen."""
-        s = self.s
-        shape = (len(balls), len(centers))
-        cost, spare, span = np.full(shape, np.inf), np.full(shape, np.inf), []
+    def _costs(self, balls: list[Ball], centers: list[Point]) -> tuple[list[tuple], list[list[tuple]], list[float]]:
+        """Pairs inside all gates (cost, ball, detection), for each ball those inside the gates of the second chance (cost, detection),
+        and seconds since each ball was seen."""
+        s, cost, spare, span = self.s, [], [], []
         base = max(8.0, s.radius_share * self.diagonal)
         for i, b in enumerate(balls):
             seconds = (b.missed + 1) * self.dt
             span.append(seconds)
             pace = b.smooth if b.smooth > 0 else self._speed(b)
-            radius = float(np.clip(max(base + s.gate_seconds * pace, s.size_gate * np.hypot(*b.size)), base, 0.25 * self.diagonal))
+            radius = min(max(base + s.gate_seconds * pace, s.size_gate * hypot(*b.size), base), 0.25 * self.diagonal)
             cap = s.max_speed * (1 + s.cap_growth * b.missed) * (s.bounce_cap if b.cooldown else 1.0)
-            far = np.hypot(*(centers - b.points[-1]).T)
-            surprise = np.abs(far - pace * seconds)
-            cost[i] = np.where((far <= radius) & (far / seconds <= cap), surprise, np.inf)
-            spare[i] = np.where((far <= radius) & (far / seconds <= cap * s.second_chance), surprise, np.inf)
+            (x, y), wide = b.points[-1], []
+            for d, (cx, cy) in enumerate(centers):
+                far = hypot(cx - x, cy - y)
+                if far > radius:
+                    continue
+                surprise = abs(far - pace * seconds)
+                if far / seconds <= cap:
+                    cost.append((surprise, i, d))
+                if far / seconds <= cap * s.second_chance:
+                    wide.append((surprise, d))
+            spare.append(wide)
         return cost, spare, span
 
     def _speed(self, b: Ball) -> float:
-        return float(np.hypot(*(b.points[-1] - b.points[-2]))) / self.dt if b.known else 0.0
-
-    def _follow(self, b: Ball, box: np.ndarray, plane: np.ndarray, seconds: float) -> None:
-        s = self.s
-        point, before = middle(box), b.points[-1]
-        b.speed = float(np.clip(np.hypot(*(point - before)) / seconds, 0, 3 * s.max_speed))
+        if not b.known:
+            return 0.0
+        (ax, ay), (bx, by) = b.points[-2:]
+        return hypot(bx - ax, by - ay) / self.dt
+
+    def _follow(self, b: Ball, box: tuple, point: Point, plane: Point, seconds: float) -> None:
+        s, before = self.s, b.points[-1]
+        b.speed = min(hypot(point[0] - before[0], point[1] - before[1]) / seconds, 3 * s.max_speed)
         b.mps = self._metres(b, before, plane, seconds)
         blend = lambda old, new: new if old <= 0 else (1 - s.alpha) * old + s.alpha * new
         b.smooth, b.smooth_mps = blend(b.smooth, b.speed), blend(b.smooth_mps, b.mps)
-        b.points = [*b.points, point][-s.trace :]
-        b.size = 0.6 * (box[2:4] - box[:2]) + 0.4 * b.size
-        b.box, b.conf, b.plane, b.missed, b.age = box[:4], float(box[4]), plane, 0, b.age + 1
+        b.points.append(point)
+        del b.points[: -s.trace]
+        b.size = 0.6 * (box[2] - box[0]) + 0.4 * b.size[0], 0.6 * (box[3] - box[1]) + 0.4 * b.size[1]
+        b.box, b.conf, b.plane, b.missed, b.age = box[:4], box[4], plane, 0, b.age + 1
         if self._bounced(b):
             b.cooldown = max(b.cooldown, s.bounce_frames)
 
-    def _metres(self, b: Ball, before: np.ndarray, plane: np.ndarray, seconds: float) -> float:
+    def _metres(self, b: Ball, before: Point, plane: Point, seconds: float) -> float:
         """Speed on the plane if both places can be trusted and the camera's stretch allows it, else the middle of what it allows."""
         s = self.s
-        small, large = stretch(self.h, before)
+        small, large = stretch(self.h, *before)
         low, high, most = small * b.speed, large * b.speed, s.max_kmh / 3.6
         if b.plane is not None:
-            moved = float(np.hypot(*(plane - b.plane))) / seconds
-            if inside(b.plane, self.trust) and inside(plane, self.trust) and large <= s.max_condition * max(small, 1e-12) and low / s.guard <= moved <= high * s.guard:
+            moved = hypot(plane[0] - b.plane[0], plane[1] - b.plane[1]) / seconds
+            if within(*b.plane, self.trust) and within(*plane, self.trust) and large <= s.max_condition * max(small, 1e-12) and low / s.guard <= moved <= high * s.guard:
                 return min(moved, most)
         return min((low + high) / 2, most)
 
     def _bounced(self, b: Ball) -> bool:
-        s, y = self.s, np.array([p[1] for p in b.points])
+        s, y = self.s, [p[1] for p in b.points[-7:]]
         if len(y) < 3:
             return False
         now, last = (y[-1] - y[-2]) / self.dt, (y[-2] - y[-3]) / self.dt
-        curve = float(y[-7:] @ np.array([5, 0, -3, -4, -3, 0, 5])) / 42 if len(y) >= 7 else 0.0
+        curve = (5 * y[0] - 3 * y[2] - 4 * y[3] - 3 * y[4] + 5 * y[6]) / 42 if len(y) == 7 else 0.0
         return (now * last < 0 and min(abs(now), abs(last)) >= s.bounce_speed) or abs(curve) >= s.bounce_curve
 
-    def _start(self, fresh: list[tuple[np.ndarray, np.ndarray]]) -> None:
+    def _start(self, fresh: list[tuple]) -> None:
         """New tracks, the most surprising detections first; a full pool gives up its worst track."""
+        if not fresh:
+            return
         s, block = self.s, self.s.block_share * self.diagonal
-        near = lambda p, others: min((float(np.hypot(*(p - o))) for o in others), default=np.inf)
-        ranked = []
-        for box, plane in fresh:
-            point, places = middle(box), [middle(b.box) for b in self.balls]
-            if near(point, places) <= block or any(overlaps(box[None], b.box[None])[0, 0] >= s.block_iou for b in self.balls):
+        near = lambda p, others: min((hypot(p[0] - x, p[1] - y) for x, y in others), default=inf)
+        ranked, places = [], [center(b.box) for b in self.balls]
+        for box, point, plane in fresh:
+            gap = near(point, places)
+            if gap <= block or any(overlap(box, b.box) >= s.block_iou for b in self.balls):
                 continue
-            ranked.append((min(near(point, places), near(point, self.seen)), float(box[4]), box, plane))
+            ranked.append((min(gap, near(point, self.seen)), box[4], box, point, plane))
         ranked.sort(key=lambda r: r[:2], reverse=True)
         started = []
-        for _, conf, box, plane in ranked:
+        for _, conf, box, point, plane in ranked:
             if len(self.balls) + len(started) >= s.max_tracks:
                 if not self.balls:
                     continue
                 worst = max(self.balls, key=lambda b: (b.missed, -b.speed, -b.age))
-                if near(middle(box), [middle(worst.box)]) <= block:
+                if near(point, [center(worst.box)]) <= block:
                     continue
                 self.balls.remove(worst)
-            started.append(Ball(0, box[:4], conf, [middle(box)], plane, box[2:4] - box[:2]))
+            started.append(Ball(0, box[:4], conf, [point], plane, (box[2] - box[0], box[3] - box[1])))
         for b in started:
             b.id, self.next_id = self.next_id, self.next_id + 1
             self.balls.append(b)
 
     def _merge(self) -> None:
         s, gone = self.s, set()
+        places = [center(b.box) for b in self.balls]
+        rank = lambda t: (t.missed, -t.age, -t.conf, -t.speed)
         for i, a in enumerate(self.balls):
-            for b in self.balls[i + 1 :]:
+            for j in range(i + 1, len(self.balls)):
+                b = self.balls[j]
                 if a.id in gone or b.id in gone:
                     continue
-                if overlaps(a.box[None], b.box[None])[0, 0] >= s.merge_iou or np.hypot(*(middle(a.box) - middle(b.box))) <= s.merge_share * self.diagonal:
-                    rank = lambda t: (t.missed, -t.age, -t.conf, -t.speed)
+                gap = hypot(places[i][0] - places[j][0], places[i][1] - places[j][1])
+                if gap <= s.merge_share * self.diagonal or overlap(a.box, b.box) >= s.merge_iou:
                     gone.add(b.id if rank(a) < rank(b) else a.id)
-        self.balls = [b for b in self.balls if b.id not in gone]
+        if gone:
+            self.balls = [b for b in self.balls if b.id not in gone]
 
     def _choose(self) -> None:
         """The track in play stays so while it is seen and eligible; then the fastest eligible one; then it is kept unseen."""
         s = self.s
-        on_court = {b.id: b.plane is not None and inside(b.plane, self.court) for b in self.balls}
+        on_court = {b.id: b.plane is not None and within(*b.plane, self.court) for b in self.balls}
         crowd = sum(on_court.values()) > 1
 
         def eligible(b: Ball) -> bool:
             if b.known:
                 return self._pace(b) >= (s.slow_inside if crowd else 0.0) if on_court[b.id] else self._pace(b) >= s.slow_outside
-            return on_court[b.id] or (b.plane is not None and inside(b.plane, self.near) and b.conf >= s.unknown_conf)
+            return on_court[b.id] or (b.plane is not None and within(*b.plane, self.near) and b.conf >= s.unknown_conf)
 
         fit = [b for b in self.balls if b.missed == 0 and eligible(b)]
         if any(b.id == self.active for b in fit):
@@ -311,8 +373,8 @@ class BallTracker:
 
     def _rows(self) -> list[tuple]:
         rows = [
-            (b.id, b.id == self.active, *map(float, b.box), b.conf, self._pace(b), b.smooth, b.known, b.plane is not None and inside(b.plane, self.court),
-             *(map(float, b.plane) if b.plane is not None else (None, None)), b.smooth_mps if b.smooth_mps > 0 else b.mps, b.missed, b.age)
+            (b.id, b.id == self.active, *b.box, b.conf, self._pace(b), b.smooth, b.known, b.plane is not None and within(*b.plane, self.court),
+             *(b.plane or (None, None)), b.smooth_mps if b.smooth_mps > 0 else b.mps, b.missed, b.age)
             for b in self.balls
         ]
         return sorted(rows, key=lambda r: (not r[1], -r[7]))
