@@ -233,3 +233,27 @@ def test_request_is_answered(spark, tmp_path):
         answer(request, load, lambda path, body: 500)
     with pytest.raises(RequestError, match="unsupported task"):
         dispatch("nothing", request)
+
+
+def test_streams_are_sent_and_forgotten(spark, tmp_path):
+    from trackwright.operators.tracking import single
+    from trackwright.streaming.tracks import send_stream, stream_speeds, stream_tracks
+
+    rows = [("v", f, 0, f / 10.0, 0.0, 1.0 if f else None) for f in range(40)] + [("w", f, 0, 0.5, 0.0, 1.0 if f else None) for f in range(3)]
+    schema = "video_id string, frame bigint, det int, x double, y double, raw double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    clamped = stream_tracks(source, single.ClampSteps, single.CLAMP_SCHEMA, idle="30 minutes")
+    query = send_stream(clamped, write_down(tmp_path), "steps", ["frame", "x"], ["frame"], f"{tmp_path}/cp")
+    query.awaitTermination(120)
+    sent = json.loads((tmp_path / "steps-v.json").read_text())["data"]
+    assert [r["frame"] for r in sent] == list(range(40))
+    assert [r["x"] for r in sent] == pytest.approx([f / 10 for f in range(40)])
+    assert len(json.loads((tmp_path / "steps-w.json").read_text())["data"]) == 3
+
+    timed = source.withColumns({"at": F.timestamp_seconds(F.col("frame") / 10), "kmh": F.col("x")})
+    done = stream_speeds(timed, "at", 0.5).writeStream.outputMode("complete").format("memory").queryName("speeds").option("checkpointLocation", f"{tmp_path}/cp2").trigger(availableNow=True).start()
+    done.awaitTermination(120)
+    got = {(r.video_id, r.start.timestamp() * 10): (r.n, r.top_kmh) for r in spark.table("speeds").collect()}
+    assert sum(n for n, _ in got.values()) == 43
+    assert max(top for _, top in got.values()) == pytest.approx(3.9)

@@ -57,16 +57,27 @@ def track(df: DataFrame, make: Callable[[], Tracker], schema: str, key: str = "v
     return ordered.mapInPandas(run, f"{key} {kind}, frame bigint, {schema}")
 
 
-def track_stream(df: DataFrame, make: Callable[[], Tracker], schema: str, key: str = "video_id") -> DataFrame:
-    """The same over a stream whose micro-batches bring each video's frames in order. A frame is whole within one micro-batch."""
+def track_stream(df: DataFrame, make: Callable[[], Tracker], schema: str, key: str = "video_id", idle: str | None = None) -> DataFrame:
+    """The same over a stream whose micro-batches bring each video's frames in order. A frame is whole within one micro-batch.
+
+    idle, such as "30 minutes": the state of a video that brings nothing for so long is dropped, and the video starts anew if it
+    comes again. Without it state is kept for ever.
+    """
     kind = df.schema[key].dataType.simpleString()
     names = [key, "frame", *_names(schema)]
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else None
 
     def run(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         tracker = pickle.loads(state.get[0]) if state.exists else make()
         rows = [row for batch in batches for row in batch.itertuples(index=False)]
         rows.sort(key=lambda r: (r.frame, r.det))
         yield pd.DataFrame([(keys[0], *x) for x in _steps(tracker, rows)], columns=names)
         state.update((pickle.dumps(tracker),))
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
 
-    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame bigint, {schema}", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return df.groupBy(key).applyInPandasWithState(run, f"{key} {kind}, frame bigint, {schema}", "tracker binary", "append", timeout)
