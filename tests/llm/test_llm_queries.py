@@ -14,7 +14,8 @@ import corpus_pipeline
 from trackwright.llm.oracles import ORACLES
 from trackwright.llm import byte_cnn
 from trackwright.llm.bpe import read_ranks
-from trackwright.llm.queries import MIX_TARGETS, QUERIES, URL_RULES, labelled_urls
+from trackwright.llm.mixing import mix
+from trackwright.llm.queries import MIX_TARGETS, QUERIES, URL_RULES, labelled_domains, labelled_urls
 from trackwright.llm.url_filter import url_filter
 from trackwright.session import materialise, table
 
@@ -109,3 +110,35 @@ def test_pipeline_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
     assert len(last) == counts[-1]
     assert all(r.exact for r in last)
+
+
+def test_pipeline_edges(spark, tmp_path):
+    """Nulls, empty, long and repeated rows, ties and clashing columns through every stage; and no rows at all."""
+    from helpers import EDGES, PROSE, documents
+
+    long = [f"{PROSE} number {i} {w} {w * 3}" for i, w in enumerate(["alpha", "beta", "gamma"])]
+    texts = [*EDGES, *(t + " " + t[::-1] for t in long), long[0] + " " + long[0][::-1], long[1].replace(" ", "  ") + " " + long[1][::-1], " ".join(f"w{i}" for i in range(40_000)), None]
+    ids = [*range(len(texts) - 1), None]
+    docs = documents(spark, [*texts, texts[-2]], ids=[*ids, ids[-2]])
+    for rows in (docs, docs.where("false")):
+        columns = rows.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            before = rows.count()
+            rows = materialise(stage(spark, rows, SF), "edge")
+            assert rows.columns == columns, name
+            assert rows.count() <= before
+        assert all(r.exact for r in corpus_pipeline.STAGES[-1][1](spark, rows, SF).collect())
+
+
+def test_pipeline_mixes_to_its_weights(spark):
+    docs, domains = table(spark, SF, "documents"), labelled_domains(spark, SF)
+    rows = mix(docs, domains, corpus_pipeline.WEIGHTS, settings=corpus_pipeline.MIXING).collect()
+    tokens, rates = np.array([r.n_tokens for r in rows]), np.array([r.rate for r in rows])
+    names = sorted(corpus_pipeline.WEIGHTS)
+    p = np.array([[r[f"p_{d}"] for d in names] for r in rows])
+    present, reached = tokens @ p, (tokens * rates) @ p
+    good = names.index("good")
+    assert reached[good] > 0.98 * present[good]
+    for i, d in enumerate(names):
+        want = min(present[i], present[good] * corpus_pipeline.WEIGHTS[d] / corpus_pipeline.WEIGHTS["good"])
+        assert reached[i] == pytest.approx(want, abs=0.02 * present[good])

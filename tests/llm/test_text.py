@@ -278,6 +278,19 @@ def test_unreachable_targets_are_reported(spark, caplog):
     assert "missed" in caplog.text
 
 
+def test_anchored_weights_are_reached(spark, caplog):
+    """All tokens of the anchor stay; a domain with more than its weight thins out to it, one with less keeps all it has."""
+    p = np.repeat(np.full((3, 3), 0.005) + np.eye(3) * 0.985, [1600, 395, 5], axis=0)
+    t = np.random.default_rng(3).integers(50, 400, len(p))
+    table = spark.createDataFrame([(int(n), row.tolist()) for n, row in zip(t, p, strict=True)], "n_tokens bigint, p array<double>")
+    targets = mixing.anchored(table, {"a": 0.9, "b": 0.05, "c": 0.05}, "a")
+    present = t @ p / t.sum()
+    assert [targets[d] for d in "abc"] == pytest.approx([present[0], present[0] / 18, present[2]])
+    fit = mixing.fit_rates(table, np.array([targets[d] for d in "abc"]), mixing.Settings(max_rate=1.0))
+    assert (fit.rates(p, t) * t) @ p / t.sum() == pytest.approx([targets[d] for d in "abc"], abs=0.005)
+    assert fit.rates(p, t)[:1600].min() > 0.98
+
+
 def test_mixing_edges(spark):
     docs = documents(spark, EDGES, ids=[0, 0, None, *range(3, 10)])
     none = spark.createDataFrame([], "doc_id bigint, domain string")

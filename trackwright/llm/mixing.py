@@ -44,6 +44,9 @@ class Settings:
     max_steps: int = 60
     #: The largest rate, or None.
     max_rate: float | None = None
+    #: With an anchor, targets are weights: the anchor's tokens all stay, and other domains get what their weights beside its say,
+    #: or all that they have. Such targets are in reach without rates above 1.
+    anchor: str | None = None
     seed: int = 9
 
 
@@ -208,6 +211,14 @@ def fit_rates(table: DataFrame, targets: np.ndarray, s: Settings) -> Fit:
     return Fit(x, s.max_rate, residual, converged)
 
 
+def anchored(table: DataFrame, weights: dict[str, float], anchor: str) -> dict[str, float]:
+    """Targets, as shares of all tokens, that keep the anchor's tokens and stand to them as the weights do, within what there is."""
+    domains = sorted(weights)
+    sums = table.agg(F.sum("n_tokens").alias("all"), *(F.sum(F.col("n_tokens") * F.col("p")[i]).alias(f"d{i}") for i in range(len(domains)))).first()
+    present = {d: (sums[f"d{i}"] or 0.0) / (sums["all"] or 1) for i, d in enumerate(domains)}
+    return {d: min(present[d], present[anchor] * weights[d] / weights[anchor]) for d in domains}
+
+
 def with_rates(table: DataFrame, fit: Fit, k: int) -> DataFrame:
     schema = T.StructType([*table.schema.fields, T.StructField("rate", T.DoubleType())])
 
@@ -230,11 +241,14 @@ def mix(
 ) -> DataFrame:
     """One row for each document: id, n_tokens, a probability p_<domain> for each domain, rate, copies.
 
-    labelled: id and domain of some documents. targets: each domain's tokens as a share of all tokens now in docs.
+    labelled: id and domain of some documents. targets: each domain's tokens as a share of all tokens now in docs, or weights if
+    settings name an anchor.
     """
     domains = sorted(targets)
     weights = fit_domains(docs, labelled, domains, id_col, text_col, settings)
     table = materialise(posteriors(docs, weights, id_col, text_col), "posteriors")
+    if settings.anchor is not None:
+        targets = anchored(table, targets, settings.anchor)
     fit = fit_rates(table, np.array([targets[d] for d in domains]), settings)
     rated = with_rates(table, fit, len(domains))
     named = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
