@@ -2,6 +2,10 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as
 the next one's docs. All but the last return the columns of documents.
+
+Defined cases, as the operators have them: null and empty texts have no words and go in the first stage, texts of any length are
+read whole, a null id comes after all others, of equal texts the longest original with the smallest id stays, rows that repeat
+id and text go or stay together, an empty table gives an empty result, and further columns of documents come along.
 """
 
 from __future__ import annotations
@@ -14,9 +18,9 @@ from trackwright.llm.bpe import bpe_encode
 from trackwright.llm.queries import labelled_domains, tokenizers
 from trackwright.session import materialise, table
 
-#: Tokens of each domain as shares of the tokens that reach the stage. Good documents are fewer than their share, so they all
-#: stay (no rate goes above 1), while the others thin out towards theirs.
-TARGETS = {"good": 0.98, "poor": 0.01, "toxic": 0.01}
+#: Weights of the domains' tokens in the mixture. All tokens of good documents stay, and the others thin out to their weights.
+WEIGHTS = {"good": 0.98, "poor": 0.01, "toxic": 0.01}
+MIXING = mixing.Settings(max_rate=1.0, anchor="good")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +36,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.take_mixture(docs, labelled_domains(spark, sf_dir), TARGETS, settings=mixing.Settings(max_rate=1.0))
+    return mixing.take_mixture(docs, labelled_domains(spark, sf_dir), WEIGHTS, settings=MIXING)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
