@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import segments as g
 from ..operators import series as s
+from ..session import materialise
 from .catalog import FRAMES, frames, query, r, videos
 
 #: Frames per second and seconds between samples of the stand-in series.
@@ -245,13 +246,13 @@ def rally_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_RALLY + "select s.video_id, section_idx, frame, event_id from sections s join f on f.video_id = s.video_id and frame >= start_index and frame < end_index")
 def section_frame_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = frames(spark, sf_dir)
+    series = materialise(frames(spark, sf_dir), "series")
     return g.section_frames(_rallies(series), series).select("video_id", "section_idx", "frame", "event_id")
 
 
 @query(_RALLY + ", inside as (select distinct s.video_id, frame from sections s join f on f.video_id = s.video_id and frame >= start_index and frame < end_index) select f.video_id, f.frame, case when inside.frame is not null then event_id end as event_id from f left join inside on inside.video_id = f.video_id and inside.frame = f.frame")
 def gap_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = frames(spark, sf_dir)
+    series = materialise(frames(spark, sf_dir), "series")
     return g.pad_gaps(_rallies(series), series, videos(series), ["event_id"])
 
 
@@ -313,8 +314,8 @@ from sections s left join smooth m on m.video_id = s.video_id and frame >= start
 """)
 def match_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rally sections with the smoothed, sampled speeds inside each."""
-    series = frames(spark, sf_dir)
-    sections = _rallies(series)
+    series = materialise(frames(spark, sf_dir), "series")
+    sections = materialise(_rallies(series), "sections")
     smooth = s.smooth_speed(series, fps=FPS, step=STEP, low=20, high=400)
     keys = ["video_id", "section_idx", "start_index", "end_index"]
     inside = g.section_frames(sections.select(*keys), smooth).groupBy(*keys).agg(

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geometry import project
 from ..functions.homography import TEMPLATE, court_homographies
 from ..operators.tracking import ball, players, single, world
 from ..operators.tracking.runner import track
-from .catalog import FRAMES, frames, query
+from .catalog import FRAMES, frames, query, r
 
 #: Pixels to court metres for a camera straight above: 0.02 m for each pixel, and that court in metres.
 FLAT = (0.02, 0.0, 0.0, 0.0, 0.035, 0.0, 0.0, 0.0, 1.0)
@@ -34,8 +35,9 @@ def ball_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def player_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    series = frames(spark, sf_dir).select("video_id", "frame", F.explode(F.array(F.lit(0), F.lit(1))).alias("det"))
-    x, y = 200 + 60 * F.sin(F.col("frame") / 9 + F.col("det")), 80 + 450 * F.col("det") + 10 * F.sin(F.col("frame") / 5)
+    """Two players of each video who sway, by as much as the frame's value says, at both ends of the court."""
+    series = frames(spark, sf_dir).select("video_id", "frame", "value", F.explode(F.array(F.lit(0), F.lit(1))).alias("det"))
+    x, y = 200 + F.col("value") / 25 + 60 * F.sin(F.col("frame") / 9 + F.col("det")), 80 + 450 * F.col("det") + 10 * F.sin(F.col("frame") / 5)
     rows = series.select("video_id", "frame", "det", (x - 20).alias("x1"), (y - 60).alias("y1"), (x + 20).alias("x2"), y.alias("y2"), F.lit(0.9).alias("conf"))
     return track(rows, lambda: players.PlayerTracker(players.PlayerSettings(FLAT)), players.SCHEMA)
 
@@ -46,14 +48,17 @@ def pixel_to_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return track(rows, lambda: world.WorldSpeed(world.WorldSettings(FLAT)), world.SCHEMA)
 
 
-@query()
+@query(FRAMES + """, s as (select video_id, frame // 20 as step_idx, 1 + 1110 * (1 + floor(avg(value)) / 100) * 1e-5::double as w from f group by all)
+select video_id, step_idx::int as step_idx, round((832 * 0.4::double + 100) / w, 3) as x, round((1110 * 0.2::double + 50) / w, 3) as y, 0.0::double as error from s""")
 def court_homography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Court points seen by a tilted camera that differs from video to video."""
-    videos = frames(spark, sf_dir).where("frame = 0").select("video_id", F.lit(0).alias("step_idx"))
+    """Where the homography found for each step puts the middle of a service line; the court is seen by a camera that tilts with the step's values."""
+    steps = frames(spark, sf_dir).groupBy("video_id", F.floor(F.col("frame") / 20).cast("int").alias("step_idx")).agg(F.floor(F.avg("value")).alias("tilt"))
     places = F.array(*(F.struct(F.lit(i).alias("point"), F.lit(float(x)).alias("u"), F.lit(float(y)).alias("v")) for i, (x, y) in enumerate(TEMPLATE)))
-    w = 1 + F.col("p.v") * (1 + F.col("video_id") % 7) * 1e-5
-    seen = videos.select("video_id", "step_idx", F.explode(places).alias("p"))
-    return court_homographies(seen.select("video_id", "step_idx", "p.point", ((F.col("p.u") * 0.4 + 100) / w).alias("x"), ((F.col("p.v") * 0.2 + 50) / w).alias("y")))
+    w = 1 + F.col("p.v") * (1 + F.col("tilt") / 100) * 1e-5
+    seen = steps.select("video_id", "step_idx", "tilt", F.explode(places).alias("p"))
+    found = court_homographies(seen.select("video_id", "step_idx", "p.point", ((F.col("p.u") * 0.4 + 100) / w).alias("x"), ((F.col("p.v") * 0.2 + 50) / w).alias("y")))
+    x, y = project((F.lit(832.0), F.lit(1110.0)), [F.col("h")[i] for i in range(9)])
+    return found.select("video_id", "step_idx", r(x, 3).alias("x"), r(y, 3).alias("y"), F.abs(r("error", 3)).alias("error"))
 
 
 @query()
