@@ -1,10 +1,11 @@
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trackwright.operators.tracking import ball, players, world
+from trackwright.operators.tracking import ball, players, single, world
 from trackwright.operators.tracking.runner import track
 from trackwright.plans.analyze import RequestError, analyze, validate
 from trackwright.plans.tracking_queries import COURT_M, FLAT
@@ -159,3 +160,43 @@ def test_fallback_only_sees_failures(spark):
     images = spark.createDataFrame([(1, b"a"), (2, b"b")], "video_id int, image binary")
     second = lambda missing: missing.select("video_id", F.length("image").cast("double").alias("kp"))
     assert sorted(map(tuple, src.fallback(first, images, second, ["video_id"], "kp").collect())) == [(1, 5.0), (2, 1.0)]
+
+
+def run_single(frames, confs=0.8):
+    """frames: for each frame the centres of its boxes."""
+    tracker = single.SingleTracker(single.SingleSettings(FLAT, COURT_M))
+    out = []
+    for f, some in enumerate(frames):
+        rows = [SimpleNamespace(frame=f, det=i, x1=x - 5.0, y1=y - 5.0, x2=x + 5.0, y2=y + 5.0, conf=confs) for i, (x, y) in enumerate(some)]
+        out.append(tracker.step(f, rows or [SimpleNamespace(frame=f, det=None, x1=None, y1=None, x2=None, y2=None, conf=None)]))
+    return out
+
+
+def test_single_ball_is_followed_and_held():
+    path = [(50.0 + 8 * f, 100.0 + 6 * f) for f in range(12)]
+    got = run_single([[p] for p in path] + [[]] * 13)
+    assert got[0] == []
+    for f in range(2, 12):
+        (row,) = got[f]
+        assert row[0] == 1
+        assert row[1:5] == (path[f][0] - 5, path[f][1] - 5, path[f][0] + 5, path[f][1] + 5)
+        assert row[6] == pytest.approx(300.0)
+        assert row[7:9] == pytest.approx((path[f][0] * 0.02, path[f][1] * 0.035))
+    for missed in range(1, 13):
+        (row,) = got[11 + missed]
+        assert row[5] == pytest.approx(0.8 * 0.9**missed)
+        assert row[9] == missed
+    assert got[24] == []
+
+
+def test_single_ball_gives_way_to_a_clearly_faster_one():
+    slow, fast = [(50.0 + 8 * f, 100.0) for f in range(20)], [(60.0 + 25 * f, 400.0) for f in range(20)]
+    got = run_single([[s, *([q] if f >= 8 else [])] for f, (s, q) in enumerate(zip(slow, fast, strict=True))])
+    assert all(got[f][0][2] == 95.0 for f in range(2, 9))
+    assert all(got[f][0][2] == 395.0 for f in range(9, 20))
+    level = run_single([[s, *([(60.0 + 8.5 * f, 400.0)] if f >= 8 else [])] for f, s in enumerate(slow)])
+    assert all(level[f][0][2] == 95.0 for f in range(2, 20))
+
+
+def test_single_ball_hides_a_still_one():
+    assert run_single([[(300.0, 300.0)]] * 20) == [[]] * 20
