@@ -155,6 +155,30 @@ def test_token_store_round_trip(spark, tmp_path, encoding):
     assert column.has_offset_index
 
 
+def test_token_store_null_and_repeated_ids(spark, tmp_path):
+    texts = ["b c", "a", None, "<|endoftext|>", "a"]
+    token_store.write_tokens(documents(spark, texts, ids=[7, None, 7, 3, 7]), f"{tmp_path}/s", WORDS, end_id=1)
+    rows = sorted(token_store.read_tokens(spark, f"{tmp_path}/s").collect(), key=lambda r: r.start)
+    assert [r.id for r in rows] == [None, 3, 7, 7, 7]
+    assert [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    assert sorted(map(tuple, (r.ids for r in rows))) == sorted([(320, 1), (1,), (49407, 1), (320, 1), (*token_store.encoder(WORDS).tokenizer.encode("b c", add_special_tokens=False).ids, 1)])
+
+
+def test_token_store_selective_read(spark, tmp_path, monkeypatch):
+    """One id is in one row group by the ids' statistics; and a read of metadata leaves the column of ids alone."""
+    monkeypatch.setattr(token_store, "ROW_GROUP", 16 << 10)
+    rng = random.Random(1)
+    docs = documents(spark, [" ".join(str(rng.randint(0, 10**9)) for _ in range(60)) for _ in range(3000)])
+    token_store.write_tokens(docs, f"{tmp_path}/s", WORDS)
+    groups = [f.metadata.row_group(g).column(0).statistics for p in (tmp_path / "s").glob("*.parquet") for f in [pq.ParquetFile(p)] for g in range(f.metadata.num_row_groups)]
+    assert len(groups) > 8
+    assert sum(s.min <= 123 <= s.max for s in groups) == 1
+    store = spark.read.parquet(f"{tmp_path}/s")
+    plan = store.where("id = 123").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,123)" in plan
+    assert "ids" not in plan.split("ReadSchema")[1].split(">")[0]
+
+
 def test_token_store_of_nothing(spark, tmp_path):
     token_store.write_tokens(documents(spark, ["a"]).where("false"), f"{tmp_path}/none", WORDS)
     assert token_store.read_tokens(spark, f"{tmp_path}/none").count() == 0
