@@ -6,10 +6,14 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Paths that scratch gave out in this process and that are still there.
+_written: list[str] = []
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -41,12 +45,30 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+@contextmanager
+def passing_scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch paths given out inside go at the end. Results must be complete by then and lie elsewhere, as in a table written to
+    a path that was asked for before: a frame that is still to be computed may read scratch."""
+    first = len(_written)
+    yield
+    for path in _written[first:]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _written[first:]
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df below the shared folder and read it again: work done once, lineage cut, safe if executors go."""
     path = scratch(df.sparkSession, name)
+    return written(df, path, **options)
+
+
+def written(df: DataFrame, path: str, **options: str) -> DataFrame:
+    """df written to path and read again."""
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
