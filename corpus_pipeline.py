@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from trackwright.llm import exact_dedup, minhash, mixing, quality_rules
 from trackwright.llm.bpe import bpe_encode
 from trackwright.llm.queries import labelled_domains, tokenizers
-from trackwright.session import materialise, table
+from trackwright.session import passing_scratch, scratch, table, written
 
 #: Weights of the domains' tokens in the mixture. All tokens of good documents stay, and the others thin out to their weights.
 WEIGHTS = {"good": 0.98, "poor": 0.01, "toxic": 0.01}
@@ -63,5 +63,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with passing_scratch(spark):  # a stage's own tables go once its result is written
+            docs = written(stage(spark, docs, sf_dir), path)
     return STAGES[-1][1](spark, docs, sf_dir)
