@@ -15,7 +15,9 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .minhash import MinHash, near_duplicates
 from .mixing import mix
+from .packing import pack
 from .quality_rules import quality_rules
+from .repair import damage, repair_report
 from .token_store import read_tokens, with_checksum, write_tokens
 from .url_filter import url_filter
 from .warc import read_archive, write_archive
@@ -104,6 +106,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_checksum(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
 
 
+#: Tokens of a sequence in op11_packing.
+SEQUENCE = 4096
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizers().path("word_bpe_49k.json"), SEQUENCE, end_id=1).drop("ids")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return repair_report(conversations, damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_minhash, op9_byte_cnn, op10_token_store)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_minhash, op9_byte_cnn, op10_token_store, op11_packing, op12_repair)
 }
