@@ -37,6 +37,8 @@ from .units import slices
 
 #: Rounds of multiplicative weights, rounds before them that set prices only, times that what rounding left is solved again, and how fast prices move.
 ROUNDS, WARM_UP, LEVELS, RATE = 6, 4, 3, 0.1
+#: Bytes of text handled at once: of more text, more words come again.
+AT_ONCE = 4_000_000
 #: A rest of fewer sequences than this is filled one by one.
 SMALL = 256
 
@@ -230,7 +232,7 @@ def cut_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = encoder(tokenizer_file), [0] * (capacity + 1)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", AT_ONCE):
             row, piece, size, number, crc, parts = [], [], [], [], [], []
             for r, ids in enumerate(own.encode([t or "" for t in part.column("text").to_pylist()])):
                 ids += end

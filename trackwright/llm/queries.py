@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, table
 from . import byte_cnn
+from .align import alignment
 from .bpe import bpe_encode
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -119,6 +120,10 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(conversations, damage(conversations))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment(table(spark, sf_dir, "documents"), tokenizers().path("byte_bpe_50k.json"), tokenizers().path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_minhash, op9_byte_cnn, op10_token_store, op11_packing, op12_repair)
+    f.__name__: f for f in (op1_line_dedup, op2_bpe, op3_warc, op4_url_filter, op5_exact_dedup, op6_mixing, op7_quality_rules, op8_minhash, op9_byte_cnn, op10_token_store, op11_packing, op12_repair, op13_alignment)
 }
