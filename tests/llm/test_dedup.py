@@ -147,6 +147,25 @@ def test_planted_passages_go_whole_but_for_the_first(spark):
     assert [np.mean(found[n]) >= least for n, least in ((3, 0.7), (4, 0.85), (5, 0.9), (6, 0.95), (7, 0.95), (8, 0.95))] == [True] * 6
 
 
+@pytest.mark.parametrize("lines", [[f"line of kind {k * 7919 % 41 * (k % 3)}" for k in range(12_000)], [f"line of kind {k % 41}" for k in range(30_000)], ["same"] * 9_000], ids=["mixed", "cycle", "same"])
+def test_line_dedup_long_texts_of_few_different_lines(spark, lines):
+    """Many repeated chunks in one text: what is drawn out follows the text's length, not its square."""
+    text = "\n".join(lines)
+    texts = [text, "\n".join(["a line before", *lines[100:700], "a line behind"])]
+    got = {r.doc_id: r.text for r in ld.line_dedup(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(line_dedup_by_hand(list(enumerate(texts)))))
+
+
+def test_line_dedup_ranges_reach_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ld, "BLOCK", 3)
+    monkeypatch.setattr(ld, "REACH", 2)
+    monkeypatch.setattr(ld, "GROWTH", 2)
+    lines = [f"number {i}" for i in range(90)]
+    texts = ["\n".join(["x", *lines, "y"]), "\n".join(["z", "zz", *lines[:50], "other", *lines[50:]]), "\n".join(lines[7:80])]
+    got = {r.doc_id: r.text for r in ld.line_dedup(documents(spark, texts)).collect()}
+    assert got == dict(enumerate(line_dedup_by_hand(list(enumerate(texts)))))
+
+
 def test_line_dedup_null_and_repeated_ids(spark):
     text = "\n".join(PASSAGE)
     got = ld.line_dedup(documents(spark, [text, text, text, "alone\nhere"], ids=[None, 5, 5, None])).collect()

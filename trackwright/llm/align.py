@@ -2,9 +2,10 @@
 
 Each text, with a space before it, is encoded by a byte-level BPE (A) and by a sentence-piece model (B, which adds the space itself).
 Tasks of Python only encode: they give ids and the byte offsets where tokens end. Everything else is done by Spark's functions on
-these arrays. array_intersect of the two arrays of ends counts the groups that no token crosses. All ends in order, sorted once as numbers that
-hold end, side and place, pair the tokens off: the ends before an entry, less its own side's, are the other side's place. An entry is the
-stretch of bytes up to it, which lies in one A and one B token, so the entries, ends that both share once, are the links.
+these arrays. array_intersect of the two arrays of ends counts the groups that no token crosses. All ends in order, made by transform as numbers
+that hold end, side and place, pair the tokens off: the ends before an entry, less its own side's, are the other side's place. An entry is
+the stretch of bytes up to it, which lies in one A and one B token, so the entries, ends that both share once, are the links. Neighbours that
+share an end cut the groups. Links are taken from the array as rows, since they are counted as rows.
 
 How often each pair of ids is linked is counted over the whole corpus. The counts are looked up for every link: pairs that come often
 (at most BROADCAST of them) from a broadcast table, and rare ones, summed up by document first, by a join. So no pair is a hot key
@@ -33,7 +34,7 @@ from ..session import materialise
 from .units import LETTERS, is_plain, slices, with_space
 
 #: Units whose tokens a worker keeps; bytes of text handled at once; pairs of ids in the broadcast table.
-CACHED, AT_ONCE, BROADCAST = 400_000, 3_000_000, 200_000
+CACHED, AT_ONCE, BROADCAST = 250_000, 2_000_000, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -176,26 +177,33 @@ def _low(x: Column) -> Column:
     return x.bitwiseAND(F.lit(_LOW)).cast("int")
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens' row and id with n_a, n_b, n_groups, n_links, groups (array of strings like "a1,a2|b1", ids in order) and links (array of
-    long: A's id shifted by 32 bits, and B's id; null where an end is both sides')."""
-    b_side = 1 << 31
+#: In a number that holds end, side and place: B's bit.
+_B_SIDE = 1 << 31
+
+
+def with_ends(tokens: DataFrame) -> DataFrame:
+    """tokens with ends: both sides' ends in order, each one number that holds end, side and place; of equal ends A's comes first."""
     keyed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(side)))
-    # End, side and place in one number; where ends are equal A comes first.
-    sorted_ends = tokens.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", b_side))))
-
-    def place(x: Column, p: Column) -> Column:
-        """The places of the A and the B token of the stretch that ends here; where both end, how many of either end so far, negated."""
-        i = x.bitwiseAND(F.lit(b_side - 1))
-        other = p - i
-        shared = F.shiftright(F.get("ends", p - 1), 32) == F.shiftright(x, 32)
-        both = F.bitwise_not(F.shiftleft(other, 32) + i + 1)
-        on_b = F.when(shared, both).otherwise(F.shiftleft(other, 32) + i)
-        return F.when(x.bitwiseAND(F.lit(b_side)) == 0, F.shiftleft(i, 32) + other).otherwise(on_b)
-
-    placed = sorted_ends.withColumn("places", F.transform("ends", place)).drop("ends")
-    link = lambda v: F.when(v >= 0, F.shiftleft(F.get("a_ids", _high(v)).cast("long"), 32) + F.get("b_ids", _low(v)))
-    cuts = placed.withColumn("links", F.transform("places", link)).withColumn("cuts", F.transform(F.filter("places", lambda v: v < 0), F.bitwise_not)).drop("places")
+    return tokens.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", _B_SIDE))))
+
+
+def links(tokens: DataFrame) -> DataFrame:
+    """row and pair (A's id shifted by 32 bits, and B's id) of every link. An end that both sides share is taken once, as A's."""
+    i = F.col("x").bitwiseAND(F.lit(_B_SIDE - 1)).cast("int")
+    other, on_a = F.col("p") - i, F.col("x").bitwiseAND(F.lit(_B_SIDE)) == 0
+    shared = F.shiftright(F.get("ends", F.col("p") - 1), 32) == F.shiftright("x", 32)
+    pair = F.shiftleft(F.get("a_ids", F.when(on_a, i).otherwise(other)).cast("long"), 32) + F.get("b_ids", F.when(on_a, other).otherwise(i))
+    each = with_ends(tokens).select("row", "a_ids", "b_ids", "ends", F.posexplode("ends").alias("p", "x"))
+    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("row", pair.alias("pair"))
+
+
+def aligned(tokens: DataFrame) -> DataFrame:
+    """tokens' row and id with n_a, n_b, n_groups, n_links and groups: array of strings like "a1,a2|b1", ids in order."""
+    ends = F.col("ends")
+    end, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(_B_SIDE - 1))
+    # Where both sides end, B's entry follows A's: how many tokens of A and of B there are up to here.
+    upto = lambda x, y: F.when(end(x) == end(y), F.shiftleft(place(x) + 1, 32) + place(y) + 1)
+    found = with_ends(tokens).withColumn("cuts", F.filter(F.zip_with(ends, F.slice(ends, 2, F.size(ends)), upto), lambda v: v.isNotNull())).drop("ends")
 
     def group(upto: Column, since: Column) -> Column:
         side = lambda ids, of: F.array_join(F.slice(ids, of(since) + 1, of(upto) - of(since)).cast("array<string>"), ",")
@@ -207,7 +215,7 @@ def aligned(tokens: DataFrame) -> DataFrame:
     n_groups = F.size(F.array_intersect("a_ends", "b_ends"))
     n_a, n_b = F.size("a_ids"), F.size("b_ids")
     counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
-    return cuts.select("row", "id", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"), "links")
+    return found.select("row", "id", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
 
 
 def _often(counts: DataFrame, most: int) -> int:
@@ -226,12 +234,8 @@ def alignment(
     docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST
 ) -> DataFrame:
     """One row for each document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    found = aligned(tokenised(docs, a_file, b_file, id_col, text_col))
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    links = materialise(found.select("row", "id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links"), "token-links")
-
-    pair = links.select(F.explode("links").alias("pair")).where("pair is not null")
-    counts = materialise(pair.groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
+    tokens = materialise(tokenised(docs, a_file, b_file, id_col, text_col), "aligned-tokens", **{"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
+    counts = materialise(links(tokens).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(_LOW))
     # A row for each id of B: its vocabulary bounds the broadcast.
     top = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("top"))
@@ -239,11 +243,13 @@ def alignment(
     often = _often(counts, broadcast)
     common, rare = valued.where(F.col("n") >= often), valued.where(F.col("n") < often)
 
-    met = links.select("row", F.explode("links").alias("pair")).where("pair is not null").join(F.broadcast(common), "pair", "left")
+    met = links(tokens).join(F.broadcast(common), "pair", "left")
     left = F.when(F.col("n").isNull(), F.col("pair")).alias("rare")
     by_row = materialise(met.groupBy("row", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("times")), "row-sums")
     looked_up = by_row.where("rare is not null").select("row", "rare", "times").join(rare, F.col("rare") == F.col("pair"))
     looked_up = looked_up.select("row", (F.col("n") * F.col("times")).alias("n"), (F.col("best") * F.col("times")).alias("best"))
     sums = by_row.where("rare is null").select("row", "n", "best").unionByName(looked_up).groupBy("row").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return links.drop("links").join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
+    whole = aligned(tokens).select("row", "id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
+    return whole.join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
