@@ -12,7 +12,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from trackwright.plans import QUERIES  # noqa: E402
-from trackwright.session import local_session  # noqa: E402
+from trackwright.session import drop_scratch, local_session  # noqa: E402
 
 HEADLINE = [
     "match_summary", "smooth_speed", "dist_to_speed", "ema_speed", "nearest_fill", "hampel_flag", "rally_sections", "deadtime_pipeline",
@@ -32,6 +32,7 @@ def main() -> None:
             began = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times.append(time.perf_counter() - began)
+            drop_scratch(spark)
         seconds[name] = round(statistics.median(times[1:]), 3)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_queries_median_total", "value": total, "unit": "sec", "queries": seconds, "sf": sf_dir.rstrip("/").rpartition("sf")[2]}))

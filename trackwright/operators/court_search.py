@@ -88,15 +88,17 @@ def best_in_block(lines: np.ndarray, first: int, last: int) -> tuple[float, int,
     return (float(found[best]), int(number[best]), h[best]) if np.isfinite(found[best]) else None
 
 
-def find_courts(segments: DataFrame, attempts: int = 10_000, least_score: float = -450_000.0, block: int = 500) -> DataFrame:
+def find_courts(segments: DataFrame, attempts: int | None = None, least_score: float = -450_000.0, block: int = 500) -> DataFrame:
     """image, score and h (nine numbers from the model's points to the image; null below least_score) of each image's best court.
 
-    Images with fewer than two segments have no hypothesis and no row. attempts bounds the hypotheses of an image, in order.
+    Images with fewer than two segments have no hypothesis and no row. attempts, if given, bounds the
+    hypotheses of an image, in order; without it all are tried.
     """
     one = F.struct("line", "x1", "y1", "x2", "y2")
     lines = segments.groupBy("image").agg(F.array_sort(F.collect_list(one)).alias("lines"))
-    tried = F.least(F.lit(attempts), F.size("lines") * (F.size("lines") - 1) / 2 * len(pairs(len(MODEL_LINES)))).cast("int")
-    blocks = lines.where(F.size("lines") > 1).withColumn("tried", tried).withColumn("first", F.explode(F.sequence(F.lit(0), F.col("tried") - 1, F.lit(block))))
+    every = F.size("lines").cast("long") * (F.size("lines") - 1) / 2 * len(pairs(len(MODEL_LINES)))
+    tried = (every if attempts is None else F.least(F.lit(attempts), every)).cast("long")
+    blocks = lines.where(F.size("lines") > 1).withColumn("tried", tried).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tried") - 1, F.lit(block).cast("long"))))
     kind = segments.schema["image"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,6 +110,6 @@ def find_courts(segments: DataFrame, attempts: int = 10_000, least_score: float
                     rows.append((image, best[0], best[1], best[2].ravel().tolist()))
             yield pd.DataFrame(rows, columns=["image", "score", "number", "h"])
 
-    found = blocks.repartition("image", "first").mapInPandas(run, f"image {kind}, score double, number int, h array<double>")
+    found = blocks.repartition("image", "first").mapInPandas(run, f"image {kind}, score double, number bigint, h array<double>")
     best = found.groupBy("image").agg(F.max_by(F.struct("score", "h"), F.struct("score", -F.col("number"))).alias("b"))
     return best.select("image", "b.score", F.when(F.col("b.score") >= least_score, F.col("b.h")).alias("h"))

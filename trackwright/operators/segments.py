@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEY, ORDER, last_known, lerp_gaps, part_window, running_sum, with_windows
+from .folds import gap_sections, kept_chain
+from .series import KEY, ORDER, chunk_of, filled, last_known, lerp_gaps, part_window, running_sum, with_windows
 
 
 def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
@@ -75,45 +74,34 @@ def rally_sections(frames: DataFrame, present: Column, speed: Column, p: Rally =
     seconds. The count starts anew with each section only. A slow ball counts as empty, save in a video's first frame.
     Sections that are too short or too empty are dropped; the rest are widened, and joined if they come close.
 
-    Frames are first summed up into runs, so the sequential part reads one row for each run, not for each frame.
+    Frames are first summed up into runs, and the runs are folded by blocks, so no task sees a whole video.
     """
     slow = (F.col(ORDER) > 0) & F.coalesce(speed < p.min_kmh, F.lit(False))
     lengths = run_lengths(frames, ~present | slow)
     allowed, least, int_fps = int(p.max_gap * p.fps // 1), p.min_seconds * p.fps, int(p.fps)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first")
-        total = int(group["last"].iloc[-1]) + 1
-        raw, start, empty = [], None, 0
-        for value, first, n in zip(group["value"], group["first"], group["n"], strict=True):
-            if not value:
-                start = int(first) if start is None else start
-            elif start is not None:
-                if empty + n <= allowed:
-                    empty += int(n)
-                else:
-                    end = int(first) + allowed - empty
-                    if end - start > least and (allowed + 1) / (end - start) < p.null_ratio:
-                        raw.append((start, end))
-                    start, empty = None, 0
-        if start is not None and total - start > least:
-            raw.append((start, total))
-        out: list[list[int]] = []
-        for s, e in raw:
-            end = int(min(e + p.after * p.fps, total))
-            if out and s - out[-1][1] < p.min_between * p.fps:
-                out[-1][1] = end
-            else:
-                out.append([int(max(s - p.before * p.fps, 0)), end])
-        return pd.DataFrame(
-            [(group[KEY].iloc[0], i, s, s / int_fps, e, e / int_fps) for i, (s, e) in enumerate(out)],
-            columns=[KEY, "section_idx", "start_index", "start_time", "end_index", "end_time"],
-        )
-
-    kind = frames.schema[KEY].dataType.simpleString()
-    return lengths.groupBy(KEY).applyInPandas(
-        fold, f"{KEY} {kind}, section_idx bigint, start_index bigint, start_time double, end_index bigint, end_time double"
-    )
+    totals = lengths.groupBy(KEY).agg((F.max("last") + 1).alias("total"))
+    length = F.col("end") - F.col("start")
+    found = gap_sections(lengths, allowed).join(totals, KEY)
+    closed = F.col("end").isNotNull() & (length > least) & ((allowed + 1) / length < p.null_ratio)
+    raw = found.where(closed | (F.col("end").isNull() & (F.col("total") - F.col("start") > least))).withColumn("end", F.coalesce("end", "total"))
+    end = F.least(F.col("end") + p.after * p.fps, F.col("total")).cast("long")
+    # Sections in order are numbered; one that begins soon after the one before it ended continues that one.
+    wide = raw.select(KEY, F.col("start").alias(ORDER), F.greatest(F.col("start") - p.before * p.fps, F.lit(0)).cast("long").alias("low"), end.alias("high"))
+    before = around_others(wide, F.col("high"), "__prior")
+    new = F.coalesce(F.col(ORDER) - F.col("__prior.value") >= p.min_between * p.fps, F.lit(True))
+    numbered = running_sum(before.withColumn("__new", new), F.col("__new").cast("long"), "section")
+    out = numbered.groupBy(KEY, (F.col("section") - 1).alias("section_idx")).agg(F.min("low").alias("start_index"), F.max("high").alias("end_index"))
+    return out.select(KEY, "section_idx", "start_index", (F.col("start_index") / int_fps).alias("start_time"), "end_index", (F.col("end_index") / int_fps).alias("end_time"))
+
+
+def around_others(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """name: struct(frame, value) of the row before each row."""
+    seen = filled(df, value, "__seen", forward=True)
+    parts = seen.withColumn("part", chunk_of(F.col(ORDER)))
+    inside = F.lag("__seen").over(part_window())
+    ends = parts.groupBy(KEY, "part").agg(F.max("__seen").alias("__end"))
+    carry = ends.select(KEY, "part", F.lag("__end").over(Window.partitionBy(KEY).orderBy("part")).alias("__carry"))
+    return parts.join(carry, [KEY, "part"]).withColumn(name, F.coalesce(inside, "__carry")).drop("part", "__seen", "__carry")
 
 
 def section_frames(sections: DataFrame, frames: DataFrame, size: int = 1000) -> DataFrame:
@@ -140,19 +128,10 @@ def pad_gaps(sections: DataFrame, frames: DataFrame, videos: DataFrame, columns:
 def debounce(events: DataFrame, accepted: Column, gap: int = 60) -> DataFrame:
     """Rows accepted more than gap frames after the last one kept; the first must come after frame gap.
 
-    Only accepted rows reach the sequential part, which keeps no more than the last kept frame.
+    Only accepted rows reach the fold, which runs by blocks.
     """
-    schema = events.select(KEY, ORDER).schema
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        last, kept = 0, []
-        for frame in sorted(group[ORDER]):
-            if frame - last > gap:
-                kept.append(frame)
-                last = frame
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]] * len(kept), ORDER: kept})
-
-    return events.where(accepted).select(KEY, ORDER).groupBy(KEY).applyInPandas(fold, schema)
+    rows = events.where(accepted).select(KEY, ORDER).distinct()
+    return kept_chain(rows, ORDER, ORDER, gap)
 
 
 def relabel_serves(shots: DataFrame, by: list[str], serve: str = "serve", instead: str = "forehand") -> DataFrame:
@@ -165,35 +144,26 @@ def relabel_serves(shots: DataFrame, by: list[str], serve: str = "serve", instea
 def split_tracks(df: DataFrame, present: Column, x: Column, y: Column, max_gap: int = 4, max_jump: float = 80.0, min_track: int = 5) -> DataFrame:
     """video_id, track_idx, start, end (exclusive): tracks are cut at long gaps, and at gaps over which the ball moved too fast.
 
-    The sequential part reads one row for each run of frames.
+    Frames are summed up into runs, and the gaps that may cut are folded by blocks.
     """
     marked = runs(df.withColumns({"__x": x, "__y": y}), present)
     lengths = marked.groupBy(KEY, "run", "value").agg(
         F.min(ORDER).alias("first"), F.count("*").alias("n"), F.min_by("__x", ORDER).alias("x0"), F.min_by("__y", ORDER).alias("y0"),
         F.max_by("__x", ORDER).alias("x1"), F.max_by("__y", ORDER).alias("y1"),
     )
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        rows = list(group.sort_values("first").itertuples(index=False))
-        total, begin, out = int(rows[-1].first + rows[-1].n), 0, []
-        for last, gap, following in _inner(rows):
-            jump = ((last.x1 - following.x0) ** 2 + (last.y1 - following.y0) ** 2) ** 0.5 / gap.n
-            if (gap.n >= max_gap or jump > max_jump) and gap.first - begin > min_track:
-                out.append((int(begin), int(gap.first)))
-                begin = gap.first + gap.n - 1
-        if total - begin > min_track:
-            out.append((int(begin), total))
-        return pd.DataFrame([(group[KEY].iloc[0], i, s, e) for i, (s, e) in enumerate(out)], columns=[KEY, "track_idx", "start", "end"])
-
-    kind = df.schema[KEY].dataType.simpleString()
-    return lengths.groupBy(KEY).applyInPandas(fold, f"{KEY} {kind}, track_idx bigint, start bigint, end bigint")
-
-
-def _inner(rows: list) -> Iterator[tuple]:
-    """Each gap that has a run of points on both sides, with those."""
-    for before, gap, after in zip(rows, rows[1:], rows[2:], strict=False):
-        if not gap.value:
-            yield before, gap, after
+    # A gap and its neighbours meet by the number of the run.
+    side = lambda by, c: lengths.where("value").select(KEY, (F.col("run") + by).alias("run"), F.col(f"x{c}").alias(f"sx{c}"), F.col(f"y{c}").alias(f"sy{c}"))
+    gaps = lengths.where(~F.col("value")).select(KEY, "run", "first", "n").join(side(1, 1), [KEY, "run"]).join(side(-1, 0), [KEY, "run"])
+    jump = F.hypot(F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")) / F.col("n")
+    cuts = gaps.where((F.col("n") >= max_gap) | (jump > max_jump)).select(KEY, "first", (F.col("first") + F.col("n") - 1).alias("until"))
+    kept = kept_chain(cuts, "first", "until", min_track)
+    totals = lengths.groupBy(KEY).agg((F.max(F.col("first") + F.col("n"))).alias("total"))
+    # A track runs from the cut before it to its own; the last one to the video's end.
+    ends = kept.select(KEY, F.col("first").alias(ORDER), "until").unionByName(totals.select(KEY, F.col("total").alias(ORDER), F.col("total").alias("until")))
+    begun = around_others(ends, F.col("until"), "__prior").withColumn("start", F.coalesce("__prior.value", F.lit(0)))
+    tracks = begun.where(F.col(ORDER) - F.col("start") > min_track)
+    numbered = running_sum(tracks, F.lit(1).cast("long"), "number")
+    return numbered.select(KEY, (F.col("number") - 1).alias("track_idx"), "start", F.col(ORDER).alias("end"))
 
 
 def streaks(df: DataFrame, flag: Column) -> DataFrame:

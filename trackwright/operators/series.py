@@ -105,9 +105,15 @@ def ema(df: DataFrame, value: str, name: str, alpha: float, dense: bool = False)
     A null leaves the average as it is; before the first value it is null. dense says that value is null in all frames of a
     video or in none, which saves counting the values.
 
+    With alpha 1 the average is the last value itself.
+
     The n-th value of a video has place n. A chunk of places is so long that what comes from before the previous chunk is below
     double precision. Inside a chunk, y[k] = q**k * sum(c[j] * q**-j) with q = 1 - alpha.
     """
+    if not 0 < alpha <= 1:
+        raise ValueError(f"alpha must be above 0 and at most 1, not {alpha}")
+    if alpha == 1:
+        return last_known(df, value, name)
     q = 1 - alpha
     length = max(16, math.ceil(45 / -math.log(q)))
     placed = df.withColumn("__n", F.col(ORDER) + 1) if dense else running_sum(df, F.col(value).isNotNull().cast("long"), "__n")

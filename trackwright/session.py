@@ -8,12 +8,13 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
-#: Paths that scratch gave out in this process and that are still there.
-_written: list[str] = []
+#: Paths given out inside passing_scratch; each thread or task has its own list.
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,22 +44,40 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_own[app])
 
 
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/trackwright-{spark.sparkContext.applicationId}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _written[-1]
+    """A new path below the application's own folder in the shared folder."""
+    path = f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (passing := _passing.get()) is not None:
+        passing.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @contextmanager
 def passing_scratch(spark: SparkSession) -> Iterator[None]:
-    """Scratch paths given out inside go at the end. Results must be complete by then and lie elsewhere, as in a table written to
-    a path that was asked for before: a frame that is still to be computed may read scratch."""
-    first = len(_written)
-    yield
-    for path in _written[first:]:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    del _written[first:]
+    """Scratch paths given out inside, by this thread, go at the end, also if a step fails. Results must be complete by then and lie
+    elsewhere, as in a table written to a path that was asked for before: a frame that is still to be computed may read scratch."""
+    token = _passing.set([])
+    try:
+        yield
+    finally:
+        own = _passing.get() or []
+        _passing.reset(token)
+        for path in own:
+            _delete(spark, path)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete all scratch of this application. For the end of a session, or between queries whose results have been read."""
+    _delete(spark, _scratch_root(spark))
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
