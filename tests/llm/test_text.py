@@ -326,8 +326,23 @@ def test_mixing_edges(spark):
     assert mixing.mix(docs.where("false"), none, {"a": 1.0}).count() == 0
 
 
+def test_rows_that_repeat_id_and_text_draw_one_by_one(spark):
+    """Null ids and copies: about the share that the rate asks for stays, not all or none."""
+    texts = ["some words of a good text here"] * 600 + [f"words of text {i} and more" for i in range(600)]
+    docs = spark.createDataFrame([(None if i < 900 else i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, copies string").repartition(4)
+    none = spark.createDataFrame([], "doc_id bigint, domain string")
+    taken = mixing.take_mixture(docs, none, {"a": 0.25, "b": 0.25}, settings=mixing.Settings(max_rate=1.0))
+    assert taken.columns == docs.columns
+    kept = [r.text for r in taken.collect()]
+    assert 0.4 * 600 < sum(t == texts[0] for t in kept) < 0.6 * 600
+    assert 0.4 * 600 < sum(t != texts[0] for t in kept) < 0.6 * 600
+    again = mixing.take_mixture(docs.where("doc_id is not null").repartition(7), none, {"a": 0.25, "b": 0.25}, settings=mixing.Settings(max_rate=1.0))
+    first = mixing.take_mixture(docs.where("doc_id is not null"), none, {"a": 0.25, "b": 0.25}, settings=mixing.Settings(max_rate=1.0))
+    assert {r.doc_id for r in again.collect()} == {r.doc_id for r in first.collect()}
+
+
 def test_copies_follow_rates(spark):
-    got = spark.range(20000).select(mixing.copies(F.lit(1.3), F.col("id"), 1).alias("c")).groupBy("c").count().collect()
+    got = spark.range(20000).select(mixing.copies(F.lit(1.3), 1, F.col("id")).alias("c")).groupBy("c").count().collect()
     assert {r.c for r in got} == {1, 2}
     assert next(r["count"] for r in got if r.c == 2) == pytest.approx(6000, rel=0.1)
 

@@ -12,7 +12,8 @@ the targets, those nearest to 1 (weighted by tokens) are taken. Domains whose ta
 The classifier is fitted on the driver to at most max_rows labelled documents (smallest hashes of their ids first).
 
 Defined cases: null text counts as empty: no tokens, and the labels' overall shares as probabilities. A document without tokens
-keeps rate 1. Repeated rows count as often as they occur. Without labels all domains are equally likely. An empty table gives an
+keeps rate 1. Copies are drawn by id and text, and of rows that repeat both, null ids among them, for each row by itself. A labelled id
+with two domains counts for the smallest. Repeated rows count as often as they occur. Without labels all domains are equally likely. An empty table gives an
 empty result. Columns other than the named ones are never read.
 """
 
@@ -109,19 +110,26 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col
 
 
 def posteriors(docs: DataFrame, weights: np.ndarray, id_col: str, text_col: str, extra: list[Column] | None = None) -> DataFrame:
-    """id, n_tokens and p (a probability for each domain) of every row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))])
+    """id, text_hash, n_tokens and p (a probability for each domain) of every row."""
+    schema = T.StructType([
+        T.StructField("id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("n_tokens", T.LongType()),
+        T.StructField("p", T.ArrayType(T.DoubleType())),
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
             z = np.stack([_grams(t, len(weights) - 1) for t in texts]) @ weights[:-1] + weights[-1]
             yield pa.RecordBatch.from_arrays(
-                [part.column("id"), pa.array([_tokens(t) for t in texts], pa.int64()), pa.array(_softmax(z.astype(np.float64)).tolist(), pa.list_(pa.float64()))],
+                [part.column("id"), part.column("text_hash"), pa.array([_tokens(t) for t in texts], pa.int64()), pa.array(_softmax(z.astype(np.float64)).tolist(), pa.list_(pa.float64()))],
                 schema.names,
             )
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
 
 
 #: Weight of the rates' distance from 1 beside the targets; lengths of a step that one pass tries.
@@ -230,12 +238,36 @@ def with_rates(table: DataFrame, fit: Fit, k: int) -> DataFrame:
     return table.mapInArrow(run, schema)
 
 
-def copies(rate: Column, key: Column, seed: int) -> Column:
+def copies(rate: Column, seed: int, *key: Column) -> Column:
     """Whole copies of a row: the rate's whole part, and one more with the chance of the rest, drawn by hash of key."""
-    draw = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    draw = F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
+def _rated(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str, text_col: str, settings: Settings
+) -> tuple[DataFrame, list[str]]:
+    """id, text_hash, n_tokens, p and rate of every row, and the domains in p's order."""
+    domains = sorted(targets)
+    weights = fit_domains(docs, labelled, domains, id_col, text_col, settings)
+    table = materialise(posteriors(docs, weights, id_col, text_col), "posteriors")
+    if settings.anchor is not None:
+        targets = anchored(table, targets, settings.anchor)
+    fit = fit_rates(table, np.array([targets[d] for d in domains]), settings)
+    return with_rates(table, fit, len(domains)), domains
+
+
+def _with_copies(rows: DataFrame, like: DataFrame, seed: int) -> DataFrame:
+    """rows (id, text_hash, row: a number of its own, and rate if like has none) with copies. like: id, text_hash and rate of all rows.
+
+    Rows that repeat id and text draw by their own numbers too, others by id and text alone, so wherever they lie.
+    """
+    groups = like.groupBy(F.col("id").alias("__i"), F.col("text_hash").alias("__h")).agg(F.first("rate").alias("__rate"), F.count("*").alias("__n"))
+    joined = rows.join(groups, F.col("id").eqNullSafe(F.col("__i")) & (F.col("text_hash") == F.col("__h")))
+    own = F.when(F.col("__n") > 1, F.col("row"))
+    return joined.withColumn("copies", copies(F.col("__rate"), seed, F.col("id"), F.col("text_hash"), own)).drop("__i", "__h", "__n", "__rate")
+
+
 def mix(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
@@ -244,23 +276,19 @@ def mix(
     labelled: id and domain of some documents. targets: each domain's tokens as a share of all tokens now in docs, or weights if
     settings name an anchor.
     """
-    domains = sorted(targets)
-    weights = fit_domains(docs, labelled, domains, id_col, text_col, settings)
-    table = materialise(posteriors(docs, weights, id_col, text_col), "posteriors")
-    if settings.anchor is not None:
-        targets = anchored(table, targets, settings.anchor)
-    fit = fit_rates(table, np.array([targets[d] for d in domains]), settings)
-    rated = with_rates(table, fit, len(domains))
+    rated, domains = _rated(docs, labelled, targets, id_col, text_col, settings)
     named = [F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(domains)]
-    return rated.select(F.col("id").alias(id_col), "n_tokens", *named, "rate", copies(F.col("rate"), F.col("id"), settings.seed).alias("copies"))
+    drawn = _with_copies(rated.withColumn("row", F.monotonically_increasing_id()), rated, settings.seed)
+    return drawn.select(F.col("id").alias(id_col), "n_tokens", *named, "rate", "copies")
 
 
 def take_mixture(
     docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()
 ) -> DataFrame:
-    """docs' rows as often as mix says. Rows that share an id share their number of copies, the largest."""
-    drawn = mix(docs, labelled, targets, id_col, text_col, settings).groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(drawn, docs[id_col].eqNullSafe(F.col("__id"))).where("__copies > 0")
-    if settings.max_rate is not None and settings.max_rate <= 1:
-        return joined.select(*(docs[c] for c in docs.columns))
-    return joined.withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*(docs[c] for c in docs.columns))
+    """docs' rows, each as often as it draws by its rate."""
+    rated, _ = _rated(docs, labelled, targets, id_col, text_col, settings)
+    rows = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), _text_hash(text_col).alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    taken = _with_copies(rows, rated, settings.seed).where("copies > 0")
+    if settings.max_rate is None or settings.max_rate > 1:
+        taken = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select("doc.*")
