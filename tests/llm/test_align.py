@@ -96,8 +96,14 @@ def test_edges_with_any_number_of_broadcast_pairs(spark, broadcast):
 
 def test_units_give_the_tokens_of_whole_texts():
     own = encoders(A, B)
-    texts = [t for t in TEXTS if t]
-    assert own.tokens(texts) == [own.encode([" " + t])[0] for t in texts]
+    units, places, at = own.cut([t or "" for t in TEXTS])
+    for k, text in enumerate(TEXTS):
+        parts = [units[i] for i in places[at[k] : at[k + 1]]]
+        if not text:
+            assert not parts
+            continue
+        a, b, same = own.encode([" " + text])[0]
+        assert (b"".join(p[0] for p in parts), b"".join(p[1] for p in parts), all(p[2] for p in parts)) == (a, b, same), text[:50]
 
 
 def test_empty_table(spark):

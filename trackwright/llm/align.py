@@ -1,15 +1,17 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Each text, with a space before it, is encoded by a byte-level BPE (A) and by a sentence-piece model (B, which adds the space itself).
-Tasks of Python only encode: they give ids and the byte offsets where tokens end. Everything else is done by Spark's functions on
-these arrays. array_intersect of the two arrays of ends counts the groups that no token crosses. All ends in order, made by transform as numbers
-that hold end, side and place, pair the tokens off: the ends before an entry, less its own side's, are the other side's place. An entry is
-the stretch of bytes up to it, which lies in one A and one B token, so the entries, ends that both share once, are the links. Neighbours that
-share an end cut the groups. Links are taken from the array as rows, since they are counted as rows.
-
-How often each pair of ids is linked is counted over the whole corpus. The counts are looked up for every link: pairs that come often
-(at most BROADCAST of them) from a broadcast table, and rare ones, summed up by document first, by a join. So no pair is a hot key
-of a shuffle, and the broadcast does not grow with the corpus.
+Tasks of Python only encode. No token of either side reaches over a place where white space or, after a letter, a non-letter begins, so texts are
+cut there and each slice of texts brings its different units once: ids and the byte offsets where tokens end, and for each text the places of its
+units. A text that can't be cut is one unit. Everything else is done by Spark's functions on these arrays, once for each unit of a slice:
+array_intersect of the two arrays of ends counts the groups that no token crosses. All ends in order, made by transform as numbers that hold end,
+side and place, pair the tokens off: the ends before an entry, less its own side's, are the other side's place. An entry is the stretch of bytes
+up to it, which lies in one A and one B token, so the entries, ends that both share once, are the links. Neighbours that share an end cut the
+groups. Texts are put together from their units by transform and aggregate.
+
+How often each pair of ids is linked is counted over the whole corpus, units times how often they come. The counts are looked up for every
+link of every slice's units: pairs that come often (at most BROADCAST of them) from a broadcast table, and rare ones, summed up by unit first, by a
+join. So no pair is a hot key of a shuffle, and the broadcast does not grow with the corpus. A slice has a bounded number of bytes, or one text.
 
 Defined cases: null and empty texts have no tokens, nor have texts whose tokens' bytes, joined, are not the space and the text
 on both sides (B takes U+2581 for a space, for example). Null and repeated ids are documents of their own. An empty table gives
@@ -34,7 +36,7 @@ from ..session import materialise
 from .units import LETTERS, is_plain, slices, with_space
 
 #: Units whose tokens a worker keeps; bytes of text handled at once; pairs of ids in the broadcast table.
-CACHED, AT_ONCE, BROADCAST = 250_000, 2_000_000, 200_000
+CACHED, AT_ONCE, BROADCAST = 150_000, 1_500_000, 200_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -99,39 +101,32 @@ class Encoders:
                 same &= np.array([b"".join(parts[x:y]) == r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)])
         return list(zip(*packed, same.tolist(), strict=True))
 
-    def by_units(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """The same for plain texts, of which each distinct unit is encoded once."""
-        cut = with_space(pa.array(texts, pa.string()))
-        found = cut.flatten().dictionary_encode()
-        units = found.dictionary.to_pylist()
+    def of_units(self, units: list[str]) -> list[tuple[bytes, bytes, bool]]:
+        """The same by way of the cache, for parts of texts."""
         new = [u for u in units if u not in self.known]
         if len(self.known) + len(new) > CACHED:
             self.known = {u: self.known[u] for u in units if u in self.known}
         self.known.update(zip(new, self.encode(new), strict=True))
-        each = [self.known[u] for u in units]
-        unit, at = found.indices.to_numpy(), cut.offsets.to_numpy()
-        at = at - at[0]
-        right = np.concatenate([[0], np.cumsum(~np.array([x[2] for x in each], bool)[unit])])[at]
-        sides = [_gathered([x[k] for x in each], unit, at) for k in (0, 1)]
-        return list(zip(*sides, (np.diff(right) == 0).tolist(), strict=True))
-
-    def tokens(self, texts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """A's and B's tokens of " " + each text; none for empty texts."""
-        plain = [self.cuttable and t != "" and is_plain(t) for t in texts]
-        some = [" " + t for t, p in zip(texts, plain, strict=True) if p]
-        by_units = iter(self.by_units(some) if some else ())
-        return [next(by_units) if p else self.encode([" " + t])[0] if t else (b"", b"", False) for t, p in zip(texts, plain, strict=True)]
-
+        return [self.known[u] for u in units]
 
-def _gathered(each: list[bytes], unit: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """The units' tokens put together for each text: text k has the units from at[k] to at[k + 1]."""
-    flat = np.frombuffer(b"".join(each), "<u8")
-    size = np.fromiter(map(len, each), np.int64, len(each)) // 8
-    count = size[unit]
-    end = np.cumsum(count)
-    tokens = flat[np.repeat((np.cumsum(size) - size)[unit] - (end - count), count) + np.arange(end[-1] if len(end) else 0)]
-    cuts = np.concatenate([[0], end])[at].tolist()
-    return [tokens[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    def cut(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes, bool]], np.ndarray, np.ndarray]:
+        """The different units of the texts, each with a space before it, with their tokens; and the texts' units as places among those: text
+        k has those from at[k] to at[k + 1]. A text that can't be cut is one unit, an empty one has none."""
+        plain = [self.cuttable and t != "" and is_plain(t) for t in texts]
+        parts = with_space(pa.array([" " + t if p else None for t, p in zip(texts, plain, strict=True)], pa.string()))
+        found = parts.flatten().dictionary_encode()
+        of_plain = self.of_units(found.dictionary.to_pylist())
+        whole = [k for k, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
+        units = of_plain + [self.encode([" " + texts[k]])[0] for k in whole]
+        size = np.diff(parts.offsets.to_numpy()).astype(np.int64)
+        size[whole] = 1
+        at = np.concatenate([[0], np.cumsum(size)])
+        places = np.zeros(at[-1], np.int64)
+        is_whole = np.zeros(at[-1], bool)
+        is_whole[at[whole]] = True
+        places[~is_whole] = found.indices.to_numpy()
+        places[is_whole] = len(of_plain) + np.arange(len(whole))
+        return units, places, at
 
 
 @cache
@@ -139,11 +134,17 @@ def encoders(a_file: str, b_file: str) -> Encoders:
     return Encoders(a_file, b_file)
 
 
+_INTS = T.ArrayType(T.IntegerType(), containsNull=False)
+_UNIT = T.StructType([T.StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
+
+
 def tokenised(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (a number of its own), id, and for both sides a_ids, a_ends, b_ids, b_ends: arrays of int."""
-    ints = T.ArrayType(T.IntegerType(), containsNull=False)
+    """A row for each slice of texts: slice (a number), units (the different parts of its texts, each with both sides' a_ids, a_ends, b_ids,
+    b_ends: arrays of int), times (how often each comes) and texts (id, and the places of its units in order)."""
+    kind = docs.schema[id_col].dataType
     schema = T.StructType([
-        T.StructField("row", T.LongType()), T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, ints, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends"))
+        T.StructField("slice", T.LongType()), T.StructField("units", T.ArrayType(_UNIT, False), False), T.StructField("times", T.ArrayType(T.LongType(), False), False),
+        T.StructField("texts", T.ArrayType(T.StructType([T.StructField("id", kind), T.StructField("places", _INTS, False)]), False), False),
     ])
 
     def lists(sides: list[bytes]) -> tuple[pa.ListArray, pa.ListArray]:
@@ -157,12 +158,25 @@ def tokenised(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
         return tuple(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((tokens & np.uint64(0xFFFFFFFF)), within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoders(a_file, b_file)
+        own, n = encoders(a_file, b_file), 0
         for part in slices(batches, "text", AT_ONCE):
-            found = [(a, b) if same else (b"", b"") for a, b, same in own.tokens([t or "" for t in part.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), *lists([a for a, _ in found]), *lists([b for _, b in found])], schema.names)
-
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+            texts = [t or "" for t in part.column("text").to_pylist()]
+            units, places, at = own.cut(texts)
+            # A text of which any unit has other bytes has no tokens.
+            right = np.concatenate([[0], np.cumsum(~np.array([u[2] for u in units], bool)[places])])[at]
+            fine = np.diff(right) == 0
+            kept = np.repeat(fine, np.diff(at))
+            places, at = places[kept], np.concatenate([[0], np.cumsum(np.diff(at) * fine)])
+            rows = pa.StructArray.from_arrays([*lists([u[0] for u in units]), *lists([u[1] for u in units])], ["a_ids", "a_ends", "b_ids", "b_ends"])
+            of_text = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places.astype(np.int32)))
+            named = pa.StructArray.from_arrays([part.column("id"), of_text], ["id", "places"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            times = pa.array(np.bincount(places, minlength=len(units)))
+            first = part.column("task")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([(first << 40) + n], pa.int64()), one(rows), one(times), one(named)], schema.names)
+            n += 1
+
+    texts = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, schema)
 
 
@@ -181,41 +195,47 @@ def _low(x: Column) -> Column:
 _B_SIDE = 1 << 31
 
 
-def with_ends(tokens: DataFrame) -> DataFrame:
-    """tokens with ends: both sides' ends in order, each one number that holds end, side and place; of equal ends A's comes first."""
+def unit_rows(slices_of: DataFrame) -> DataFrame:
+    """A row for each unit of each slice: slice, place, times, a_ids, a_ends, b_ids, b_ends, ends (both sides' ends in order, each one
+    number that holds end, side and place; of equal ends A's comes first)."""
+    each = slices_of.select("slice", F.posexplode_outer(F.arrays_zip("units", "times")).alias("place", "x")).where("place is not null")
+    each = each.select("slice", "place", "x.times", "x.units.*")
     keyed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(side)))
-    return tokens.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", _B_SIDE))))
+    return each.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", _B_SIDE))))
 
 
-def links(tokens: DataFrame) -> DataFrame:
-    """row and pair (A's id shifted by 32 bits, and B's id) of every link. An end that both sides share is taken once, as A's."""
+def links(units: DataFrame) -> DataFrame:
+    """slice, place, times and pair (A's id shifted by 32 bits, and B's id) of every link of the units. An end that both sides share is
+    taken once, as A's."""
     i = F.col("x").bitwiseAND(F.lit(_B_SIDE - 1)).cast("int")
     other, on_a = F.col("p") - i, F.col("x").bitwiseAND(F.lit(_B_SIDE)) == 0
     shared = F.shiftright(F.get("ends", F.col("p") - 1), 32) == F.shiftright("x", 32)
     pair = F.shiftleft(F.get("a_ids", F.when(on_a, i).otherwise(other)).cast("long"), 32) + F.get("b_ids", F.when(on_a, other).otherwise(i))
-    each = with_ends(tokens).select("row", "a_ids", "b_ids", "ends", F.posexplode("ends").alias("p", "x"))
-    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("row", pair.alias("pair"))
+    # Of an inner explode Spark infers filters on the array, which then is made three times.
+    each = units.select("slice", "place", "times", "a_ids", "b_ids", "ends", F.posexplode_outer("ends").alias("p", "x")).where("x is not null")
+    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("slice", "place", "times", pair.alias("pair"))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """tokens' row and id with n_a, n_b, n_groups, n_links and groups: array of strings like "a1,a2|b1", ids in order."""
+def aligned(units: DataFrame) -> DataFrame:
+    """slice and place with n_a, n_b, n_groups, n_links and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
     ends = F.col("ends")
     end, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(_B_SIDE - 1))
     # Where both sides end, B's entry follows A's: how many tokens of A and of B there are up to here.
     upto = lambda x, y: F.when(end(x) == end(y), F.shiftleft(place(x) + 1, 32) + place(y) + 1)
-    found = with_ends(tokens).withColumn("cuts", F.filter(F.zip_with(ends, F.slice(ends, 2, F.size(ends)), upto), lambda v: v.isNotNull())).drop("ends")
+    found = units.withColumn("cuts", F.filter(F.zip_with(ends, F.slice(ends, 2, F.size(ends)), upto), lambda v: v.isNotNull())).drop("ends")
 
     def group(upto: Column, since: Column) -> Column:
-        side = lambda ids, of: F.array_join(F.slice(ids, of(since) + 1, of(upto) - of(since)).cast("array<string>"), ",")
+        # Not slice, which goes over the whole array each time.
+        side = lambda ids, of: F.array_join(F.transform(F.sequence(of(since), of(upto) - 1), lambda i: F.get(ids, i).cast("string")), ",")
         one = F.concat(F.get("a_ids", _high(since)).cast("string"), F.lit("|"), F.get("b_ids", _low(since)).cast("string"))
         return F.when(upto - since == (1 << 32) + 1, one).otherwise(F.concat(side("a_ids", _high), F.lit("|"), side("b_ids", _low)))
 
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0))))
-    groups = F.when(F.size("cuts") > 0, F.zip_with("cuts", before, group)).otherwise(F.array().cast("array<string>"))
+    groups = F.array_join(F.zip_with("cuts", before, group), ";")
     n_groups = F.size(F.array_intersect("a_ends", "b_ends"))
     n_a, n_b = F.size("a_ids"), F.size("b_ids")
     counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
-    return found.select("row", "id", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
+    return found.select("slice", "place", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
 
 
 def _often(counts: DataFrame, most: int) -> int:
@@ -234,8 +254,9 @@ def alignment(
     docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST
 ) -> DataFrame:
     """One row for each document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    tokens = materialise(tokenised(docs, a_file, b_file, id_col, text_col), "aligned-tokens", **{"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"})
-    counts = materialise(links(tokens).groupBy("pair").agg(F.count("*").alias("n")), "pair-counts")
+    cut = materialise(tokenised(docs, a_file, b_file, id_col, text_col), "token-slices")
+    units = unit_rows(cut)
+    counts = materialise(links(units).groupBy("pair").agg(F.sum("times").alias("n")).where("n > 0"), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(_LOW))
     # A row for each id of B: its vocabulary bounds the broadcast.
     top = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("top"))
@@ -243,13 +264,29 @@ def alignment(
     often = _often(counts, broadcast)
     common, rare = valued.where(F.col("n") >= often), valued.where(F.col("n") < often)
 
-    met = links(tokens).join(F.broadcast(common), "pair", "left")
+    # Each link of each unit gets its pair's count; a unit's common pairs are summed up at once, its rare ones looked up one by one.
+    met = links(units).drop("times").join(F.broadcast(common), "pair", "left")
     left = F.when(F.col("n").isNull(), F.col("pair")).alias("rare")
-    by_row = materialise(met.groupBy("row", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("times")), "row-sums")
-    looked_up = by_row.where("rare is not null").select("row", "rare", "times").join(rare, F.col("rare") == F.col("pair"))
-    looked_up = looked_up.select("row", (F.col("n") * F.col("times")).alias("n"), (F.col("best") * F.col("times")).alias("best"))
-    sums = by_row.where("rare is null").select("row", "n", "best").unionByName(looked_up).groupBy("row").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    by_unit = materialise(met.groupBy("slice", "place", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("met")), "unit-sums")
+    looked_up = by_unit.where("rare is not null").select("slice", "place", "rare", "met").join(rare, F.col("rare") == F.col("pair"))
+    looked_up = looked_up.select("slice", "place", (F.col("n") * F.col("met")).alias("n"), (F.col("best") * F.col("met")).alias("best"))
+    sums = by_unit.where("rare is null").select("slice", "place", "n", "best").unionByName(looked_up)
+    sums = sums.groupBy("slice", "place").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+
+    # A slice's units, by place, and then its texts from them. A slice has a bounded number of bytes, so its units fit in a row.
+    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.array_join("groups", ";"), 256)).otherwise("")
-    whole = aligned(tokens).select("row", "id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"))
-    return whole.join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    whole = aligned(units).join(sums, ["slice", "place"], "left").select("slice", "place", "groups", *map(zero, numbers))
+    by_slice = whole.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
+    texts = cut.select("slice", "texts").join(by_slice, "slice", "left")
+    texts = texts.select("texts", *(F.col(f"known.{c}").alias(c) for c in ("groups", *numbers)))
+
+    def one(text: Column) -> Column:
+        places = text["places"]
+        total = lambda c: F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc + F.get(c, i)).alias(c)
+        joined = F.array_join(F.transform(places, lambda i: F.get("groups", i)), ";")
+        return F.struct(text["id"].alias("id"), *map(total, numbers), F.when(F.size(places) > 0, F.sha2(joined, 256)).otherwise("").alias("groups_sha256"))
+
+    found = texts.select(F.explode(F.transform("texts", one)).alias("x"))
+    return found.select(F.col("x.id").alias(id_col), *(f"x.{c}" for c in numbers), "x.groups_sha256")
+
