@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+from .series import part_window, running_sum, with_windows
+
 
 def gated_pairs(left: DataFrame, right: DataFrame, on: list[str], cost: Column, gate: Column) -> DataFrame:
     """Pairs of one frame (left has a, right has b) that pass the gate, with their cost."""
@@ -22,15 +25,15 @@ def mutual_nearest(pairs: DataFrame, on: list[str]) -> DataFrame:
 
 
 def first_claims(nearest: DataFrame, on: list[str], truth: str, rank: list[Column], hit: Column) -> DataFrame:
-    """nearest (each prediction with its one truth row) with tp: the first in rank order that hits its truth row."""
+    """nearest (each prediction with its one truth row, or none) with tp: the first in rank order that hits its truth row."""
     w = Window.partitionBy(*on, truth, "hit").orderBy(*rank)
-    marked = nearest.withColumn("hit", hit)
+    marked = nearest.withColumn("hit", F.coalesce(hit, F.lit(False)))
     return marked.withColumn("tp", (F.col("hit") & (F.row_number().over(w) == 1)).cast("int")).drop("hit")
 
 
 def nearest_truth(pred: DataFrame, truth: DataFrame, on: list[str], row: str, distance: Column, keep: list[str]) -> DataFrame:
-    """Each prediction with dist and t of the nearest truth of its group (of equals the smallest t)."""
-    pairs = pred.join(truth, on).withColumn("dist", distance)
+    """Each prediction with dist and t of the nearest truth of its group (of equals the smallest t); both null in a group without truth."""
+    pairs = pred.join(truth, on, "left").withColumn("dist", distance)
     return pairs.groupBy(*on, row, *keep).agg(F.min(F.struct("dist", "t")).alias("m")).select(*on, row, *keep, "m.*")
 
 
@@ -49,7 +52,7 @@ def wireframe(pred: DataFrame, truth: DataFrame, pred_edges: DataFrame, truth_ed
     other = truth.select("image", F.col("point").alias("t"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
     near = nearest_truth(pred, other, ["image"], "point", F.sqrt(sq("x", "y", *(["z"] if deep else []))), ["score", "z"])
     claimed = first_claims(near, ["image"], "t", [F.desc("score"), F.col("point")], F.col("dist") < limit)
-    choice = claimed.join(other.select("image", "t", "tz"), ["image", "t"]).withColumn("choice", F.when(F.col("tp") == 1, F.col("t")))
+    choice = claimed.join(other.select("image", "t", "tz"), ["image", "t"], "left").withColumn("choice", F.when(F.col("tp") == 1, F.col("t")))
     lost = depth_losses(F.when(F.col("tp") == 1, F.col("tz")), F.col("z"))
     points = choice.groupBy("image").agg(F.count("choice").alias("hits"), *(c.alias(n) for n, c in lost.items()))
 
@@ -65,9 +68,10 @@ def wireframe(pred: DataFrame, truth: DataFrame, pred_edges: DataFrame, truth_ed
     whole = edges.join(true_edges.groupBy("image").agg(F.sum("length").alias("total")), "image")
     up = Window.partitionBy("image").orderBy(F.desc("score"), "a")
     right, seen = F.sum(F.coalesce("hit", F.lit(0.0)) * F.col("length")).over(up), F.sum("length").over(up)
-    curve = whole.withColumns({"place": F.row_number().over(up), "recall": right / F.col("total"), "precision": right / seen})
+    gain = F.coalesce("hit", F.lit(0.0)) * F.col("length") / F.col("total")
+    curve = whole.withColumns({"place": F.row_number().over(up), "recall": right / F.col("total"), "precision": right / seen, "gain": gain})
     down = Window.partitionBy("image").orderBy("place").rowsBetween(0, Window.unboundedFollowing)
-    areas = average_precision(curve.withColumn("envelope", F.max("precision").over(down)), ["image"], "place")
+    areas = average_precision(curve.withColumn("envelope", F.max("precision").over(down)), ["image"])
     return points.join(areas.select("image", "ap"), "image", "left").withColumn("ap", F.coalesce("ap", F.lit(0.0)))
 
 
@@ -82,26 +86,35 @@ def line_set_losses(pred: DataFrame, truth: DataFrame, least_score: float) -> Da
     return miss.join(nearest_truth(pred, other, ["image"], "line", l1, []).agg(F.avg("dist").alias("line_l1")))
 
 
-def precision_recall(ranked: DataFrame, by: list[str], place: str, n_truth: Column) -> DataFrame:
-    """ranked (place from 1, tp) with precision, recall and envelope, the largest precision from here on.
+def precision_recall(rows: DataFrame, by: list[str], order: list[Column], truth: DataFrame) -> DataFrame:
+    """rows (tp) of each of by, ranked by order, with place, precision, recall, gain (in recall) and envelope, the largest precision from
+    here on. truth has a row for each thing to find.
 
-    Works on the ranking itself, which an evaluation set bounds.
+    The whole ranking is dealt by range, so each task holds a stretch of it. Counts are carried from stretch to stretch forwards, and
+    the largest precision backwards, over one row for each task.
     """
-    up = Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(place).rowsBetween(0, Window.unboundedFollowing)
-    hits = F.sum("tp").over(up)
-    return (
-        ranked.withColumns({"recall": hits / n_truth, "precision": hits / F.col(place)})
-        .withColumn("envelope", F.max("precision").over(down))
-    )
-
-
-def average_precision(curve: DataFrame, by: list[str], place: str) -> DataFrame:
+    dealt = rows.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    dealt = materialise(dealt.withColumns({"__task": F.spark_partition_id(), "__row": F.monotonically_increasing_id()}), "ranking")
+    stretch = Window.partitionBy(*by, "__task").orderBy("__row")
+    earlier = Window.partitionBy(*by).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    later = Window.partitionBy(*by).orderBy("__task").rowsBetween(1, Window.unboundedFollowing)
+    counts = dealt.groupBy(*by, "__task").agg(F.count("*").alias("n"), F.sum("tp").alias("hits"))
+    carried = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    counts = counts.select(*by, "__task", carried("n").alias("__n"), carried("hits").alias("__hits"))
+    up = stretch.rowsBetween(Window.unboundedPreceding, 0)
+    n_truth = truth.agg(F.count("*")).scalar()
+    found = dealt.join(counts, [*by, "__task"]).withColumns({"place": F.col("__n") + F.row_number().over(stretch), "__hits": F.col("__hits") + F.sum("tp").over(up)})
+    found = found.withColumns({"recall": F.col("__hits") / n_truth, "precision": F.col("__hits") / F.col("place"), "gain": F.col("tp") / n_truth})
+    found = materialise(found.drop("__n", "__hits"), "ranking-precision")
+    best = found.groupBy(*by, "__task").agg(F.max("precision").alias("best")).select(*by, "__task", F.max("best").over(later).alias("__best"))
+    down = stretch.rowsBetween(0, Window.unboundedFollowing)
+    return found.join(best, [*by, "__task"]).withColumn("envelope", F.greatest(F.max("precision").over(down), "__best")).drop("__task", "__row", "__best")
+
+
+def average_precision(curve: DataFrame, by: list[str]) -> DataFrame:
     """Area under the envelope, and the best F-score of any point."""
-    w = Window.partitionBy(*by).orderBy(place)
-    gain = F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))
     f = 2 * F.col("precision") * F.col("recall") / (F.col("precision") + F.col("recall") + 1e-9)
-    return curve.withColumns({"__a": gain * F.col("envelope"), "__f": f}).groupBy(*by).agg(F.sum("__a").alias("ap"), F.max("__f").alias("f_score"))
+    return curve.groupBy(*by).agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"), F.max(f).alias("f_score"))
 
 
 def top_k_accuracy(scores: DataFrame, row: str, k: int) -> DataFrame:
@@ -111,14 +124,14 @@ def top_k_accuracy(scores: DataFrame, row: str, k: int) -> DataFrame:
     return ranked.groupBy(row).agg(F.max((F.col("cls") == F.col("truth")).cast("int")).alias("hit")).agg(F.avg("hit").alias("accuracy"))
 
 
-def meters(df: DataFrame, by: list[str], order: list[str], value: str, window: int = 20) -> DataFrame:
-    """Running meter of each row: count, total and mean so far, and median, mean, largest of the last window values."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    recent = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(window - 1), 0)
-    return df.withColumns({
-        "n": F.count(value).over(so_far), "total": F.sum(value).over(so_far), "mean": F.avg(value).over(so_far),
-        "recent_median": F.percentile(value, 0.5).over(recent), "recent_mean": F.avg(value).over(recent), "recent_max": F.max(value).over(recent),
-    })
+def meters(df: DataFrame, value: str, window: int = 20) -> DataFrame:
+    """Running meter of each frame: count, total and mean so far, and median, mean, largest of the last window values."""
+    so_far = running_sum(running_sum(df, F.col(value).isNotNull().cast("long"), "n"), F.coalesce(value, F.lit(0)), "total")
+    so_far = so_far.withColumn("total", F.when(F.col("n") > 0, F.col("total"))).withColumn("mean", F.col("total") / F.nullif("n", F.lit(0)))
+    recent = part_window().rowsBetween(-(window - 1), 0)
+    return with_windows(
+        so_far, window - 1, 0, recent_median=F.percentile(value, 0.5).over(recent), recent_mean=F.avg(value).over(recent), recent_max=F.max(value).over(recent)
+    )
 
 
 def line_pair_distance(p: list[Column], q: list[Column]) -> Column:

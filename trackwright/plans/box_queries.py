@@ -166,9 +166,9 @@ def mutual_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _AP = SEGMENTS + """, truth as (select image, line as t, x1, y1, x2, y2 from s where line % 3 = 0), pred as (select * from s where line % 3 <> 0),
 d as (select p.image, p.line, p.score, t, least(pow(p.x1 - g.x1, 2) + pow(p.y1 - g.y1, 2) + pow(p.x2 - g.x2, 2) + pow(p.y2 - g.y2, 2),
-  pow(p.x1 - g.x2, 2) + pow(p.y1 - g.y2, 2) + pow(p.x2 - g.x1, 2) + pow(p.y2 - g.y1, 2)) as dist from pred p join truth g using (image)),
+  pow(p.x1 - g.x2, 2) + pow(p.y1 - g.y2, 2) + pow(p.x2 - g.x1, 2) + pow(p.y2 - g.y1, 2)) as dist from pred p left join truth g using (image)),
 n as (select *, row_number() over (partition by line order by dist, t) as k from d),
-h as (select image, line, score, t, dist, m.limit_ as limit_, dist < m.limit_ as hit from n, (select unnest([500, 1000, 1500])::double as limit_) m where k = 1),
+h as (select image, line, score, t, dist, m.limit_ as limit_, coalesce(dist < m.limit_, false) as hit from n, (select unnest([500, 1000, 1500])::double as limit_) m where k = 1),
 c as (select *, (hit and row_number() over (partition by limit_, image, t, hit order by score desc, line) = 1)::int as tp from h),
 o as (select *, row_number() over (partition by limit_ order by score desc, line) as place, (select count(*) from truth) as n_truth from c),
 q as (select *, sum(tp) over (partition by limit_ order by place)::double / n_truth as recall, sum(tp) over (partition by limit_ order by place)::double / place as precision from o),
@@ -182,13 +182,11 @@ def _line_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = segments(spark, sf_dir)
     names = ("x1", "y1", "x2", "y2")
     truth = s.where("line % 3 = 0").select("image", F.col("line").alias("t"), *(F.col(c).alias(f"t_{c}") for c in names))
-    pairs = s.where("line % 3 <> 0").join(truth, "image").withColumn("dist", mt.line_pair_distance([F.col(c) for c in names], [F.col(f"t_{c}") for c in names]))
-    nearest = pairs.groupBy("image", "line", "score").agg(F.min(F.struct("dist", "t")).alias("m")).select("image", "line", "score", "m.*")
+    distance = mt.line_pair_distance([F.col(c) for c in names], [F.col(f"t_{c}") for c in names])
+    nearest = mt.nearest_truth(s.where("line % 3 <> 0"), truth, ["image"], "line", distance, ["score"])
     limits = nearest.withColumn("limit_", F.explode(F.array(*(F.lit(float(x)) for x in (500, 1000, 1500)))))
     claimed = mt.first_claims(limits, ["limit_", "image"], "t", [F.desc("score"), F.col("line")], F.col("dist") < F.col("limit_"))
-    ranked = claimed.withColumn("place", F.row_number().over(Window.partitionBy("limit_").orderBy(F.desc("score"), "line")))
-    curve = mt.precision_recall(ranked, ["limit_"], "place", F.lit(truth.count()))
-    return mt.average_precision(curve, ["limit_"], "place")
+    return mt.average_precision(mt.precision_recall(claimed, ["limit_"], [F.desc("score"), F.col("line")], truth), ["limit_"])
 
 
 @query(_AP + "select limit_, round(ap, 6) as ap, round(f_score, 6) as f_score from ap")
@@ -212,7 +210,7 @@ def topk_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FRAMES + """select video_id, frame, count(speed) over a as n, round(sum(speed) over a, 4) as total, round(avg(speed / 7.3::double) over a, 6) as mean, round(quantile_cont(speed, 0.5) over w, 6) as recent_median, round(max(speed) over w, 6) as recent_max
 from f window a as (partition by video_id order by frame rows between unbounded preceding and current row), w as (partition by video_id order by frame rows between 19 preceding and current row)""")
 def meters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mt.meters(frames(spark, sf_dir), ["video_id"], ["frame"], "speed").withColumn("mean", F.col("mean") / 7.3)
+    rows = mt.meters(frames(spark, sf_dir), "speed").withColumn("mean", F.col("mean") / 7.3)
     return rows.select("video_id", "frame", "n", r("total", 4).alias("total"), r("mean").alias("mean"), r("recent_median").alias("recent_median"), r("recent_max").alias("recent_max"))
 
 

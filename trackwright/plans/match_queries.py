@@ -155,11 +155,11 @@ def largest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _JUNCTIONS = SEGMENTS + """, truth as (select image, line as t, x1 as x, y1 as y, -1 - abs(y2) / 100 as z from s where line % 3 = 0), pred as (select image, line, x1 as x, y1 as y, -1 - abs(x2) / 100 as z, score from s where line % 3 <> 0),
-d as (select p.image, p.line, p.score, p.z, t, g.z as gz, sqrt(pow(p.x - g.x, 2) + pow(p.y - g.y, 2)) as dist from pred p join truth g using (image)),
+d as (select p.image, p.line, p.score, p.z, t, g.z as gz, sqrt(pow(p.x - g.x, 2) + pow(p.y - g.y, 2)) as dist from pred p left join truth g using (image)),
 n as (select *, row_number() over (partition by line order by dist, t) as k from d)"""
 
 
-@query(_JUNCTIONS + """, h as (select image, line, score, t, m.limit_ as limit_, dist < m.limit_ as hit from n, (select unnest([15, 30])::double as limit_) m where k = 1),
+@query(_JUNCTIONS + """, h as (select image, line, score, t, m.limit_ as limit_, coalesce(dist < m.limit_, false) as hit from n, (select unnest([15, 30])::double as limit_) m where k = 1),
 c as (select *, (hit and row_number() over (partition by limit_, image, t, hit order by score desc, line) = 1)::int as tp from h),
 o as (select *, row_number() over (partition by limit_ order by score desc, line) as place, (select count(*) from truth) as n_truth from c),
 q as (select *, sum(tp) over (partition by limit_ order by place)::double / n_truth as recall, sum(tp) over (partition by limit_ order by place)::double / place as precision from o),
@@ -171,9 +171,8 @@ def junction_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     nearest = mt.nearest_truth(s.where("line % 3 <> 0"), truth, ["image"], "line", g.distance((F.col("x1"), F.col("y1")), (F.col("tx"), F.col("ty"))), ["score"])
     limits = nearest.withColumn("limit_", F.explode(F.array(F.lit(15.0), F.lit(30.0))))
     claimed = mt.first_claims(limits, ["limit_", "image"], "t", [F.desc("score"), F.col("line")], F.col("dist") < F.col("limit_"))
-    ranked = claimed.withColumn("place", F.row_number().over(Window.partitionBy("limit_").orderBy(F.desc("score"), "line")))
-    curve = mt.precision_recall(ranked, ["limit_"], "place", F.lit(truth.count()))
-    return mt.average_precision(curve, ["limit_"], "place").select("limit_", r("ap").alias("ap"))
+    curve = mt.precision_recall(claimed, ["limit_"], [F.desc("score"), F.col("line")], truth)
+    return mt.average_precision(curve, ["limit_"]).select("limit_", r("ap").alias("ap"))
 
 
 def _wireframe_sql(distance: str) -> str:
