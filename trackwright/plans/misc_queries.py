@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import flight
-from ..operators import grids
+from ..operators import grids, heatmaps
 from ..session import table
 from .catalog import FRAMES, SEGMENTS, frames, query, r, segments
 
@@ -61,3 +61,53 @@ def launch_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
     flights = events.select(F.col("user_id").alias("video_id"), "event_id", F.lit(1.5).alias("height"), (1 + F.col("value") / 1000).alias("seconds"), (20 + F.col("value") / 50).alias("metres"))
     return flight.launches(flights, "height", "seconds", "metres")
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as heatmaps of 8 x 8 cells."""
+    flat = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image"), F.posexplode("embedding").alias("i", "score"))
+    return flat.select("image", F.floor(F.col("i") / 8).cast("int").alias("row"), (F.col("i") % 8).alias("col"), F.col("score").cast("double").alias("score"))
+
+
+@query(_CELLS + """, lit as (select image, row, col from c where score > 0.05::double),
+edge as (select l.* from lit l where (select count(*) from lit o where o.image = l.image and abs(o.row - l.row) + abs(o.col - l.col) = 1) < 4),
+m as (select r, k from (select unnest(range(-3, 4)) as r), (select unnest(range(-3, 4)) as k) where floor(sqrt(r * r + k * k) + 0.5) between 2 and 3),
+v as (select image, row + r as row, col + k as col, count(*) as votes from edge, m group by all having count(*) >= 2),
+b as (select v.*, row_number() over (partition by image order by votes desc, row, col) as place from v where row between 0 and 7 and col between 0 and 7)
+select i.image, (b.col * 2)::double as x, (b.row * 2)::double as y from (select distinct image from c) i left join b on b.image = i.image and place = 1""")
+def heatmap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = heatmaps.heatmap_points(cells(spark, sf_dir), 0.05, 2, 3, 2)
+    return found.select("image", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+#: 64 embeddings one below the other are a heatmap of 64 x 64 cells, and each of its 8 x 8 blocks has a point in its middle.
+_WIDE = """with c as (select (vec_id // 64)::bigint as image, (vec_id % 64)::int as row, i::int as col, embedding[i + 1]::double as score from (select vec_id, embedding, unnest(range(0, 64)) as i from embeddings)),
+p as (select distinct image, 8 * (row // 8) + (col // 8) as point, 8 * (col // 8) + 4 as x, 8 * (row // 8) + 4 as y from c),
+w as (select p.image, point, c.col - greatest(x - 6, 0) as x, c.row - greatest(y - 6, 0) as y from p join c on c.image = p.image and score > 0.15::double and c.col >= x - 6 and c.col < x + 6 and c.row >= y - 6 and c.row < y + 6),
+a as (select w.*, angle::int as angle, angle * (pi() / 36) as t from w, (select unnest(range(0, 36)) as angle)),
+v as (select image, point, angle, floor(x * cos(t) + y * sin(t) + 0.5)::int as "offset", count(*) as votes, min(y * cos(t) - x * sin(t)) as low, max(y * cos(t) - x * sin(t)) as high from a group by all)"""
+
+
+def wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The cells and points of _WIDE."""
+    flat = table(spark, sf_dir, "embeddings").select((F.col("vec_id") % 64).cast("int").alias("row"), F.floor(F.col("vec_id") / 64).alias("image"), F.posexplode("embedding").alias("col", "score"))
+    placed = flat.select("image", "row", "col", F.col("score").cast("double").alias("score"))
+    br, bc = F.floor(F.col("row") / 8), F.floor(F.col("col") / 8)
+    return placed, placed.select("image", (8 * br + bc).alias("point"), (8 * bc + 4).alias("x"), (8 * br + 4).alias("y")).distinct()
+
+
+@query(_WIDE + """, s as (select * from v where votes >= 4),
+o as (select s.image, s.point, s.votes, s.angle as a0, s."offset" as o0, (s.angle + da + 36) % 36 as angle, case when s.angle + da < 0 or s.angle + da >= 36 then -s."offset" else s."offset" end + d as "offset"
+  from s, (select unnest(range(-2, 3)) as da), (select unnest(range(-2, 3)) as d) where da <> 0 or d <> 0)
+select image, point, angle, "offset", votes, round(low, 6) as low, round(high, 6) as high from s where not exists (select 1 from o where o.image = s.image and o.point = s.point and o.angle = s.angle and o."offset" = s."offset"
+  and (o.votes > s.votes or (o.votes = s.votes and (o.a0 < s.angle or (o.a0 = s.angle and o.o0 < s."offset")))))""")
+def line_vote_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, points = wide(spark, sf_dir)
+    votes = heatmaps.line_votes(heatmaps.around_points(placed, points, 0.15, 6), 36)
+    return heatmaps.line_peaks(votes, 4, angles=36).select("image", "point", "angle", "offset", "votes", r("low").alias("low"), r("high").alias("high"))
+
+
+@query()
+def keypoint_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed, points = wide(spark, sf_dir)
+    return heatmaps.refined_points(placed, points, 0.15, 6, 5, 4, 36)
