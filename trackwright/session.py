@@ -26,6 +26,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, **conf: st
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     } | conf
     spark = SparkSession.builder.master(f"local[{cpus}]").config(map=settings).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

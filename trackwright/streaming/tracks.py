@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.tracking.runner import Tracker, track_stream
+from ..operators.tracking.runner import Tracker, late_rows, track_in_order, track_stream
 from ..sources.detections import send_all
 
 
@@ -17,6 +17,11 @@ def stream_tracks(detections: DataFrame, make: Callable[[], Tracker], schema: st
     return track_stream(detections, make, schema, idle=idle)
 
 
+def stream_tracks_in_order(detections: DataFrame, make: Callable[[], Tracker], schema: str, event_time: str, late: str = "2 seconds", idle: str | None = None) -> DataFrame:
+    """The same where micro-batches may bring frames in any order and in parts; see track_in_order. late_rows counts what came too late."""
+    return track_in_order(detections, make, schema, event_time, late, idle=idle)
+
+
 def send_stream(
     rows: DataFrame, post: Callable[[str, str], int], path: str, columns: list[str], order: list[str], checkpoint: str, every: str | None = None
 ) -> StreamingQuery:
