@@ -101,3 +101,19 @@ def test_hungarian_is_optimal(spark):
     got = ln.hungarian(spark.createDataFrame(rows, "image int, a int, b int, cost double"), ["image"]).groupBy("image").agg(F.sum("cost").alias("c"), F.countDistinct("a").alias("n"), F.count("*").alias("k")).collect()
     assert {r.image: pytest.approx(r.c) for r in got} == best
     assert all(r.n == r.k for r in got)
+
+
+def test_detector_rows_become_boxes(spark):
+    from trackwright.operators import boxes
+
+    rows = [
+        (1, '{"bbox": [10, 20, 30, 40], "class": 0}', None), (2, None, [10.0, 20.0, 300.0, 40.0, 0.5, 1.0]), (3, None, [-9.0, 5.0, -1.0, 9.0, 0.9]),
+        (4, '{"bbox": [1, 2, 3]}', None), (5, "not json", None), (6, None, [5.0, 5.0, 5.0, 9.0, 0.9]), (7, None, None), (8, None, [1.0, 2.0, 3.0, 4.0, 0.25]),
+    ]
+    frame = spark.createDataFrame(rows, "det int, record string, values array<double>")
+    got = {r.det: tuple(r)[1:] for r in boxes.parsed(frame, (101, 51)).collect()}
+    assert got == {1: (10, 20, 30, 40, 1.0, 0), 2: (10, 20, 100, 40, 0.5, 1), 8: (1, 2, 3, 4, 0.25, None)}
+    assert [r.det for r in boxes.parsed(frame, (101, 51), only_class=1).collect()] == [2]
+    shares = spark.createDataFrame([(1, None, [0.5, 0.5, 0.2, 0.4, 0.7])], "det int, record string, values array<double>")
+    (box,) = boxes.parsed(shares, (100, 50), "xywh", normalized=True).collect()
+    assert (box.x1, box.y1, box.x2, box.y2) == (40, 15, 60, 35)

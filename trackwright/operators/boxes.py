@@ -135,3 +135,33 @@ def court_gates(points: DataFrame, polygon: list[g.Point], h: list, slow_outside
     counted = marked.withColumn("inside_count", F.count_if("inside").over(Window.partitionBy("frame")))
     still = F.when(F.col("inside"), (F.col("inside_count") > 1) & (F.col("speed") < slow_inside)).otherwise(F.col("speed") < slow_outside)
     return counted.withColumn("kept", F.col("projectable") & ~still)
+
+
+RECORD = "struct<bbox:array<double>,conf:double,class:int>"
+
+
+def parsed(records: DataFrame, size: tuple[float, float], layout: str = "xyxy", normalized: bool = False, only_class: int | None = None) -> DataFrame:
+    """records with x1, y1, x2, y2, conf, cls instead of record and values: a detector's rows made boxes in pixels inside the image.
+
+    record: JSON text with bbox, conf (1 if missing) and class; values: an array of four numbers, conf and, perhaps, class. Either may be
+    null, record goes first. layout is xyxy or xywh (centre and size); normalized numbers are shares of the image's size. Boxes of other
+    classes than only_class, boxes without four numbers, and those without area inside the image are dropped.
+    """
+    if layout not in ("xyxy", "xywh"):
+        raise ValueError(f"unknown layout {layout}")
+    width, height = size
+    named = F.from_json("record", RECORD)
+    at = lambda i: F.get(F.coalesce(named["bbox"], F.col("values")), F.lit(i)) * (size[i % 2] if normalized else 1.0)
+    a, b, c, d = map(at, range(4))
+    raw = (a, b, c, d) if layout == "xyxy" else (a - c / 2, b - d / 2, a + c / 2, b + d / 2)
+    x1, y1, x2, y2 = (F.least(F.greatest(v, F.lit(0.0)), F.lit(side - 1.0)) for v, side in zip(raw, (width, height, width, height), strict=True))
+    is_named = named["bbox"].isNotNull()
+    conf = F.when(is_named, F.coalesce(named["conf"], F.lit(1.0))).otherwise(F.get("values", F.lit(4)))
+    cls = F.when(is_named, named["class"]).otherwise(F.get("values", F.lit(5)).cast("int"))
+    # A null in any of the four makes least and greatest skip it, so it is asked for.
+    whole = a.isNotNull() & b.isNotNull() & c.isNotNull() & d.isNotNull()
+    rows = records.select("*", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), conf.alias("conf"), cls.alias("cls"), whole.alias("__whole"))
+    kept = rows.where(F.col("__whole") & (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
+    if only_class is not None:
+        kept = kept.where(F.col("cls") == only_class)
+    return kept.drop("__whole", "record", "values")

@@ -302,3 +302,20 @@ def losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select((1 / (1 + F.exp(-at(0)))).alias("p"), (F.col("label") % 2).alias("y"), (-1 - F.abs(at(1))).alias("t"), (-1 - F.abs(at(2))).alias("g"))
     parts = mt.class_losses(F.col("p"), F.col("y")) | mt.depth_losses(F.col("t"), F.col("g"))
     return rows.agg(*(r(c).alias(n) for n, c in parts.items()))
+
+
+@query("""with d as (select l_orderkey as frame, l_linenumber as det, l_quantity / 50 as cx, l_linenumber / 8.0::double as cy, l_discount * 4 as w, l_tax * 4 as h, (ascii(l_returnflag) % 3)::int as cls,
+  case when l_linenumber % 2 = 0 then 1.0::double else round(1 - l_discount, 2) end as conf from lineitem),
+b as (select frame, det, cls, conf, least(greatest((cx * 1280 - w * 1280 / 2), 0), 1279) as x1, least(greatest((cy * 720 - h * 720 / 2), 0), 719) as y1,
+  least(greatest((cx * 1280 + w * 1280 / 2), 0), 1279) as x2, least(greatest((cy * 720 + h * 720 / 2), 0), 719) as y2 from d where cls <> 1)
+select frame, det, cls, conf, round(x1, 4) as x1, round(y1, 4) as y1, round(x2, 4) as x2, round(y2, 4) as y2 from b where x2 > x1 and y2 > y1""")
+def parsed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of odd number as arrays, of even number as JSON without a confidence."""
+    rows = table(spark, sf_dir, "lineitem")
+    box = F.array(F.col("l_quantity") / 50, F.col("l_linenumber") / 8.0, F.col("l_discount") * 4, F.col("l_tax") * 4)
+    cls = (F.ascii("l_returnflag") % 3).cast("int")
+    as_text = F.when(F.col("l_linenumber") % 2 == 0, F.to_json(F.struct(box.alias("bbox"), cls.alias("class"))))
+    as_array = F.when(F.col("l_linenumber") % 2 == 1, F.concat(box, F.array(F.round(1 - F.col("l_discount"), 2), cls.cast("double"))))
+    records = rows.select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("det"), as_text.alias("record"), as_array.alias("values"))
+    found = bx.parsed(records, (1280, 720), "xywh", normalized=True)
+    return found.where("cls <> 1").select("frame", "det", "cls", "conf", *(r(c, 4).alias(c) for c in ("x1", "y1", "x2", "y2")))
