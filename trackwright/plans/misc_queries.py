@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import flight
+from ..functions import flight, sql
 from ..operators import grids, heatmaps
 from ..session import table
 from .catalog import FRAMES, SEGMENTS, frames, query, r, segments
@@ -111,3 +111,30 @@ def line_vote_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keypoint_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, points = wide(spark, sf_dir)
     return heatmaps.refined_points(placed, points, 0.15, 6, 5, 4, 36)
+
+
+@query("""with b as (select l_orderkey as frame, l_linenumber as det, l_quantity * 10 as x1, l_linenumber * 25.0::double as y1, l_quantity * 10 + 60 + l_discount * 400 as x2, l_linenumber * 25.0::double + 40 + l_tax * 500 as y2 from lineitem),
+p as (select a.frame, a.det as a, o.det as b, greatest(least(a.x2, o.x2) - greatest(a.x1, o.x1), 0) * greatest(least(a.y2, o.y2) - greatest(a.y1, o.y1), 0) as i,
+  (a.x2 - a.x1) * (a.y2 - a.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) as s, sqrt(pow((a.x1 + a.x2) / 2 - (o.x1 + o.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (o.y1 + o.y2) / 2, 2)) as d,
+  (a.x1 + a.x2) / 2 as cx, (a.y1 + a.y2) / 2 as cy from b a join b o on a.frame = o.frame and a.det < o.det)
+select frame, a, b, round(i / (s - i), 6) as iou, round(d, 4) as apart, round((0.02::double * cx + 0.5::double) / (0.0001::double * cy + 1), 6) as court_x from p where i / (s - i) > 0.1::double""")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping boxes of a frame, their distance and place on the court, in SQL text alone."""
+    sql.register(spark)
+    return spark.sql(
+        """
+        WITH b AS (
+          SELECT l_orderkey AS frame, l_linenumber AS det, double(l_quantity * 10) AS x1, double(l_linenumber * 25) AS y1,
+            double(l_quantity * 10 + 60 + l_discount * 400) AS x2, double(l_linenumber * 25 + 40 + l_tax * 500) AS y2
+          FROM {lineitem}
+        ),
+        p AS (
+          SELECT a.frame, a.det AS a, o.det AS b, tw_iou(a.x1, a.y1, a.x2, a.y2, o.x1, o.y1, o.x2, o.y2) AS iou,
+            tw_distance((a.x1 + a.x2) / 2, (a.y1 + a.y2) / 2, (o.x1 + o.x2) / 2, (o.y1 + o.y2) / 2) AS apart,
+            tw_project_x(array(0.02D, 0D, 0.5D, 0D, 0.035D, 0D, 0D, 0.0001D, 1D), (a.x1 + a.x2) / 2, (a.y1 + a.y2) / 2) AS court_x
+          FROM b a JOIN b o ON a.frame = o.frame AND a.det < o.det
+        )
+        SELECT frame, a, b, round(iou, 6) AS iou, round(apart, 4) AS apart, round(court_x, 6) AS court_x FROM p WHERE iou > 0.1D
+        """,
+        lineitem=table(spark, sf_dir, "lineitem"),
+    )
