@@ -137,6 +137,11 @@ def test_analysis_end_to_end(spark):
     videos = spark.createDataFrame([("v", 240)], "video_id string, total_frames bigint")
     out = analyze(found, videos, FLAT, COURT_M)
     assert out.facts.count() == 240
+    assert out.rows == {
+        "tracks": out.rows["tracks"], "frame-facts": 240, "sections": 1, "ball-speeds": out.ball_speeds.count(), "player-speeds": out.player_speeds.count()
+    }
+    assert out.rows["tracks"] >= 2 * 240
+    assert set(out.seconds) == {"tracking", "sections", "speeds"}
     sections = out.sections.collect()
     assert len(sections) == 1
     assert 0 <= sections[0].start_index < sections[0].end_index <= 240
@@ -200,3 +205,8 @@ def test_single_ball_gives_way_to_a_clearly_faster_one():
 
 def test_single_ball_hides_a_still_one():
     assert run_single([[(300.0, 300.0)]] * 20) == [[]] * 20
+
+
+def test_analysis_of_nothing(spark):
+    out = analyze(spark.createDataFrame([], src.DETECTIONS), spark.createDataFrame([], "video_id string, total_frames bigint"), FLAT, COURT_M)
+    assert set(out.rows.values()) == {0}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from time import perf_counter
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators import boxes, segments, series
@@ -67,11 +67,21 @@ class Analysis:
     ball_speeds: DataFrame
     player_speeds: DataFrame
     seconds: dict[str, float]
+    #: Rows that each written result has, counted by Spark as it was written.
+    rows: dict[str, int] = field(default_factory=dict)
 
 
 def analyze(detections: DataFrame, videos: DataFrame, homography: tuple[float, ...], court: tuple[tuple[float, float], ...], fps: float = 30.0, step: float = 0.5) -> Analysis:
     """detections: video_id, frame, kind (ball, player), det, x1..y2, conf; videos: video_id, total_frames."""
-    began, seconds = perf_counter(), {}
+    began, seconds, rows = perf_counter(), {}, {}
+
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        """df written, and its rows observed on the way."""
+        seen = Observation(name)
+        written = materialise(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        rows[name] = seen.get["rows"]
+        return written
+
     spine = videos.select("video_id", F.explode(F.expr("sequence(0L, total_frames - 1)")).alias("frame"))
     of = lambda kind: spine.join(detections.where(F.col("kind") == kind), ["video_id", "frame"], "left")
     balls = track(of("ball"), lambda: ball.BallTracker(ball.BallSettings(homography, court, fps)), ball.SCHEMA).where("is_active")
@@ -80,25 +90,25 @@ def analyze(detections: DataFrame, videos: DataFrame, homography: tuple[float, .
     tracked = balls.select(*common, F.lit("ball").alias("kind"), F.lit("ball").alias("label")).unionByName(
         persons.select(*common, F.lit("player").alias("kind"), "label")
     ).withColumn("det", F.col("track_id"))
-    tracked = materialise(tracked, "tracks")
+    tracked = counted(tracked, "tracks")
     moving = track(tracked, lambda: world.WorldSpeed(world.WorldSettings(homography, fps)), world.SCHEMA)
     both = tracked.join(moving.select("video_id", "frame", "kind", "track_id", "kmh"), ["video_id", "frame", "kind", "track_id"], "left")
     x, y = ((F.col("x1") + F.col("x2")) / 2), ((F.col("y1") + F.col("y2")) / 2)
     facts = spine.join(boxes.frame_facts(both.withColumns({"x": x, "y": y})), ["video_id", "frame"], "left")
-    facts = materialise(facts, "frame-facts")
+    facts = counted(facts, "frame-facts")
     seconds["tracking"] = perf_counter() - began
 
     began = perf_counter()
     sections = segments.rally_sections(facts, F.col("ball_x").isNotNull(), F.col("ball_kmh"), segments.Rally(fps=fps))
-    sections = materialise(sections, "sections")
+    sections = counted(sections, "sections")
     seconds["sections"] = perf_counter() - began
 
     began = perf_counter()
-    ball_speeds = materialise(series.smooth_speed(facts, "ball_kmh", fps, step), "ball-speeds")
+    ball_speeds = counted(series.smooth_speed(facts, "ball_kmh", fps, step), "ball-speeds")
     one = lambda p: series.smooth_speed(facts, f"{p}_kmh", fps, step, high=16).withColumn("player", F.lit(p))
-    player_speeds = materialise(one("p1").unionByName(one("p2")), "player-speeds")
+    player_speeds = counted(one("p1").unionByName(one("p2")), "player-speeds")
     seconds["speeds"] = perf_counter() - began
-    return Analysis(facts, sections, ball_speeds, player_speeds, seconds)
+    return Analysis(facts, sections, ball_speeds, player_speeds, seconds, rows)
 
 
 def answer(request: dict, load: Callable[[dict], dict], post: Callable[[str, str], int] | None = None) -> Analysis:
