@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialise
+from .text import let
 from .units import LETTERS, is_plain, slices, with_space
 
 #: Units whose tokens a worker keeps; bytes of text handled at once; pairs of ids in the broadcast table.
@@ -279,14 +280,16 @@ def alignment(
     whole = aligned(units).join(sums, ["slice", "place"], "left").select("slice", "place", "groups", *map(zero, numbers))
     by_slice = whole.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
     texts = cut.select("slice", "texts").join(by_slice, "slice", "left")
-    texts = texts.select("texts", *(F.col(f"known.{c}").alias(c) for c in ("groups", *numbers)))
 
-    def one(text: Column) -> Column:
+    def one(text: Column, known: Column) -> Column:
         places = text["places"]
-        total = lambda c: F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc + F.get(c, i)).alias(c)
-        joined = F.array_join(F.transform(places, lambda i: F.get("groups", i)), ";")
+        total = lambda c: F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc + F.get(known[c], i)).alias(c)
+        joined = F.array_join(F.transform(places, lambda i: F.get(known["groups"], i)), ";")
         return F.struct(text["id"].alias("id"), *map(total, numbers), F.when(F.size(places) > 0, F.sha2(joined, 256)).otherwise("").alias("groups_sha256"))
 
-    found = texts.select(F.explode(F.transform("texts", one)).alias("x"))
+    # The arrays are bound once for each slice; inside a lambda Spark would take them out of known for each element.
+    arrays = F.struct(*(F.col(f"known.{c}").alias(c) for c in ("groups", *numbers)))
+    each = let(arrays, lambda known: F.transform("texts", lambda text: one(text, known)))
+    found = texts.select(F.explode_outer(each).alias("x")).where("x is not null")
     return found.select(F.col("x.id").alias(id_col), *(f"x.{c}" for c in numbers), "x.groups_sha256")
 
