@@ -278,7 +278,7 @@ def alignment(
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     whole = aligned(units).join(sums, ["slice", "place"], "left").select("slice", "place", "groups", *map(zero, numbers))
-    by_slice = whole.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
+    by_slice = whole.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
     texts = cut.select("slice", "texts").join(by_slice, "slice", "left")
 
     def one(text: Column, known: Column) -> Column:
