@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -103,3 +103,60 @@ def refined_points(cells: DataFrame, points: DataFrame, threshold: float = 155,
     inside = (F.col("cx") > 0) & (F.col("cy") > 0) & (x0 + F.col("cx") < F.col("x") + reach) & (y0 + F.col("cy") < F.col("y") + reach)
     move = lambda c, low, by: F.when(inside, low + F.col(by)).otherwise(F.col(c)).cast("double").alias(c)
     return joined.select("image", "point", move("x", x0, "cx"), move("y", y0, "cy"), F.coalesce(inside, F.lit(False)).alias("moved"))
+
+
+def patches(cells: DataFrame, values: list[str]) -> DataFrame:
+    """image, row, col and, for each value v, v00, v01, v10, v11: the values of the cell, of that to its right, of those below both; null
+    where there is none."""
+    each = cells.select("image", "row", "col", *values, _steps([(0, 0), (0, 1), (1, 0), (1, 1)]).alias("m"))
+    corner = lambda v, r, c: F.max(F.when((F.col("m.dr") == r) & (F.col("m.dc") == c), F.col(v))).alias(f"{v}{r}{c}")
+    place = [(F.col(c) - F.col(f"m.d{c[0]}")).alias(c) for c in ("row", "col")]
+    return each.groupBy("image", *place).agg(*(corner(v, r, c) for v in values for r in (0, 1) for c in (0, 1)))
+
+
+def candidate_lines(points: DataFrame) -> DataFrame:
+    """image, a, b, x1, y1, x2, y2 of the lines between an image's points (image, point, x, y), a before b. Images have few points: see
+    junction_peaks's top."""
+    one = lambda name, i: points.select("image", F.col("point").alias(name), F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{i}"))
+    return one("a", 1).join(one("b", 2), "image").where("a < b")
+
+
+def pooled_lines(cells: DataFrame, lines: DataFrame, values: list[str], rows: int, cols: int, points: int = 32, pools: int = 8) -> DataFrame:
+    """lines (image, a, b, x1, y1, x2, y2) with pooled: of each value the largest in each of pools stretches of the line.
+
+    A value is taken at points places from the second end to the first, between the middles of the four cells around, of an image of rows x
+    cols cells (missing ones are 0). Before the first middle the two nearest are drawn out; behind the last the value is 0. A place meets
+    its four cells as one row (patches), so only places go through the join, and the pools are made before the shuffle by line.
+    """
+    t = F.col("k") / (points - 1)
+    at = lambda c: (F.col(f"{c}1") * t + F.col(f"{c}2") * (1 - t) - 0.5).alias(c)
+    each = lines.select("image", "a", "b", "x1", "y1", "x2", "y2", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")).select("image", "a", "b", "k", at("x"), at("y"))
+    held = lambda c, size: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(size - 1)).cast("int")
+    met = each.withColumns({"row": held("y", rows), "col": held("x", cols)}).join(patches(cells, values), ["image", "row", "col"], "left")
+    bottom, right = F.col("row") == rows - 1, F.col("col") == cols - 1
+    up, left = F.when(bottom, F.col("row")).otherwise(F.col("row") + 1) - F.col("y"), F.when(right, F.col("col")).otherwise(F.col("col") + 1) - F.col("x")
+    down, over = F.col("y") - F.col("row"), F.col("x") - F.col("col")
+
+    def value(v: str) -> Column:
+        cell = lambda r, c: F.coalesce(F.col(f"{v}{r}{c}"), F.lit(0.0))
+        beside, below = F.when(right, cell(0, 0)).otherwise(cell(0, 1)), F.when(bottom, cell(0, 0)).otherwise(cell(1, 0))
+        across = F.when(right, below).when(bottom, beside).otherwise(cell(1, 1))
+        return cell(0, 0) * up * left + below * down * left + beside * up * over + across * down * over
+
+    pool = F.floor(F.col("k") / (points // pools))
+    found = met.select("image", "a", "b", pool.alias("pool"), *(value(v).alias(v) for v in values)).groupBy("image", "a", "b")
+    return found.agg(F.array(*(F.max(F.when(F.col("pool") == i, F.col(v))) for v in values for i in range(pools))).alias("pooled"))
+
+
+def scored_lines(pooled: DataFrame, weights: list[float], bias: float, least: float = 0.5) -> DataFrame:
+    """pooled with score, the logistic of the weighted pools, where it is above least, and rank: each image's best first."""
+    total = sum((F.col("pooled")[i] * w for i, w in enumerate(weights)), F.lit(float(bias)))
+    kept = pooled.withColumn("score", 1 / (1 + F.exp(-total))).where(F.col("score") > least)
+    return kept.withColumn("rank", F.row_number().over(Window.partitionBy("image").orderBy(F.desc(F.round("score", 9)), "a", "b")))
+
+
+def padded_lines(ranked: DataFrame, n: int) -> DataFrame:
+    """The n rows (idx, from 0) of each image that its ranked lines give when they are taken over and over; trim_repeats takes them back."""
+    sized = ranked.withColumn("__n", F.count("*").over(Window.partitionBy("image"))).where(F.col("rank") <= n)
+    again = F.sequence(F.col("rank").cast("int") - 1, F.lit(n - 1), F.col("__n").cast("int"))
+    return sized.withColumn("idx", F.explode(again)).drop("__n")
