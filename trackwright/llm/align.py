@@ -1,17 +1,20 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Each text, with a space before it, is encoded by a byte-level BPE (A) and by a sentence-piece model (B, which adds the space itself).
-Tasks of Python only encode. No token of either side reaches over a place where white space or, after a letter, a non-letter begins, so texts are
-cut there and each slice of texts brings its different units once: ids and the byte offsets where tokens end, and for each text the places of its
-units. A text that can't be cut is one unit. Everything else is done by Spark's functions on these arrays, once for each unit of a slice:
+No token of either side reaches over a place where white space or, after a letter, a non-letter begins, so texts are cut there. A slice of
+texts brings its different units once, with the places of each text's units; then the units of all slices are made different, so
+that each unit of the corpus is encoded and aligned once. A text that can't be cut is one unit. Tasks of Python only cut and encode.
+
+Everything else is done by Spark's functions on the arrays of ids and byte offsets where tokens end, once for each unit:
 array_intersect of the two arrays of ends counts the groups that no token crosses. All ends in order, made by transform as numbers that hold end,
 side and place, pair the tokens off: the ends before an entry, less its own side's, are the other side's place. An entry is the stretch of bytes
 up to it, which lies in one A and one B token, so the entries, ends that both share once, are the links. Neighbours that share an end cut the
-groups. Texts are put together from their units by transform and aggregate.
+groups. Texts are put together from their slice's units by transform and aggregate.
 
 How often each pair of ids is linked is counted over the whole corpus, units times how often they come. The counts are looked up for every
-link of every slice's units: pairs that come often (at most BROADCAST of them) from a broadcast table, and rare ones, summed up by unit first, by a
-join. So no pair is a hot key of a shuffle, and the broadcast does not grow with the corpus. A slice has a bounded number of bytes, or one text.
+link of every unit: pairs that come often (at most BROADCAST of them) from a broadcast table, and rare ones, summed up by unit first, by a
+join. So no pair is a hot key of a shuffle, and the broadcast does not grow with the corpus. A slice has a bounded number of bytes, or one
+text, and names a unit once, so a frequent unit has one row for each slice.
 
 Defined cases: null and empty texts have no tokens, nor have texts whose tokens' bytes, joined, are not the space and the text
 on both sides (B takes U+2581 for a space, for example). Null and repeated ids are documents of their own. An empty table gives
@@ -36,8 +39,8 @@ from ..session import materialise
 from .text import let
 from .units import LETTERS, is_plain, slices, with_space
 
-#: Units whose tokens a worker keeps; bytes of text handled at once; pairs of ids in the broadcast table.
-CACHED, AT_ONCE, BROADCAST = 150_000, 1_500_000, 200_000
+#: Bytes of text handled at once; pairs of ids in the broadcast table; characters of a unit that stands for itself in joins.
+AT_ONCE, BROADCAST, SHORT = 1_500_000, 200_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,7 +51,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Encoders:
-    """Both tokenizers, a cache of units, and each token's bytes. A token is one number: id, and bytes in it from bit 32 on."""
+    """Both tokenizers and each token's bytes. A token is one number: id, and bytes in it from bit 32 on."""
 
     def __init__(self, a_file: str, b_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
@@ -71,7 +74,9 @@ class Encoders:
         # texts can have, reaches over such a place.
         crossing = re.compile(f"[^\u2581]\u2581|\n|[{LETTERS}][^{LETTERS}]")
         self.cuttable = not any(crossing.search(p) and is_plain(p.replace("\u2581", " ")) for i, p in enumerate(pieces) if not self._is_special(i))
-        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
+        # And if their bytes stay as they are, so that a text can't have other bytes for one of its units.
+        plain = [f" x{c}x" for c in map(chr, range(256)) if is_plain(c)]
+        self.cuttable = self.cuttable and all(same for *_, same in self.encode([*plain, "   ", "  a", "\n\n", "\n  a"]))
 
     def _is_special(self, i: int) -> bool:
         return self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i)
@@ -102,23 +107,15 @@ class Encoders:
                 same &= np.array([b"".join(parts[x:y]) == r for x, y, r in zip(at[:-1], at[1:], raw, strict=True)])
         return list(zip(*packed, same.tolist(), strict=True))
 
-    def of_units(self, units: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """The same by way of the cache, for parts of texts."""
-        new = [u for u in units if u not in self.known]
-        if len(self.known) + len(new) > CACHED:
-            self.known = {u: self.known[u] for u in units if u in self.known}
-        self.known.update(zip(new, self.encode(new), strict=True))
-        return [self.known[u] for u in units]
-
-    def cut(self, texts: list[str]) -> tuple[list[tuple[bytes, bytes, bool]], np.ndarray, np.ndarray]:
-        """The different units of the texts, each with a space before it, with their tokens; and the texts' units as places among those: text
-        k has those from at[k] to at[k + 1]. A text that can't be cut is one unit, an empty one has none."""
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The different units of the texts, each with a space before it; and the texts' units as places among those: text k has those from
+        at[k] to at[k + 1]. A text that can't be cut is one unit, an empty one has none."""
         plain = [self.cuttable and t != "" and is_plain(t) for t in texts]
         parts = with_space(pa.array([" " + t if p else None for t, p in zip(texts, plain, strict=True)], pa.string()))
         found = parts.flatten().dictionary_encode()
-        of_plain = self.of_units(found.dictionary.to_pylist())
+        units = found.dictionary.to_pylist()
         whole = [k for k, (t, p) in enumerate(zip(texts, plain, strict=True)) if t and not p]
-        units = of_plain + [self.encode([" " + texts[k]])[0] for k in whole]
+        others = pa.array([" " + texts[k] for k in whole], pa.string()).dictionary_encode()
         size = np.diff(parts.offsets.to_numpy()).astype(np.int64)
         size[whole] = 1
         at = np.concatenate([[0], np.cumsum(size)])
@@ -126,8 +123,8 @@ class Encoders:
         is_whole = np.zeros(at[-1], bool)
         is_whole[at[whole]] = True
         places[~is_whole] = found.indices.to_numpy()
-        places[is_whole] = len(of_plain) + np.arange(len(whole))
-        return units, places, at
+        places[is_whole] = len(units) + others.indices.to_numpy()
+        return units + others.dictionary.to_pylist(), places, at
 
 
 @cache
@@ -136,18 +133,49 @@ def encoders(a_file: str, b_file: str) -> Encoders:
 
 
 _INTS = T.ArrayType(T.IntegerType(), containsNull=False)
-_UNIT = T.StructType([T.StructField(c, _INTS, False) for c in ("a_ids", "a_ends", "b_ids", "b_ends")])
 
 
-def tokenised(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each slice of texts: slice (a number), units (the different parts of its texts, each with both sides' a_ids, a_ends, b_ids,
-    b_ends: arrays of int), times (how often each comes) and texts (id, and the places of its units in order)."""
+def cut_texts(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each slice of texts: slice (a number), units (the different parts of its texts), times (how often each comes) and texts
+    (id, and the places of its units in order)."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([
-        T.StructField("slice", T.LongType()), T.StructField("units", T.ArrayType(_UNIT, False), False), T.StructField("times", T.ArrayType(T.LongType(), False), False),
+        T.StructField("slice", T.LongType()), T.StructField("units", T.ArrayType(T.StringType(), False), False), T.StructField("times", T.ArrayType(T.LongType(), False), False),
         T.StructField("texts", T.ArrayType(T.StructType([T.StructField("id", kind), T.StructField("places", _INTS, False)]), False), False),
     ])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = encoders(a_file, b_file), 0
+        for part in slices(batches, "text", AT_ONCE):
+            units, places, at = own.cut([t or "" for t in part.column("text").to_pylist()])
+            of_text = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places.astype(np.int32)))
+            named = pa.StructArray.from_arrays([part.column("id"), of_text], ["id", "places"])
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            times = pa.array(np.bincount(places, minlength=len(units)))
+            first = part.column("task")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array([(first << 40) + n], pa.int64()), one(pa.array(units, pa.string())), one(times), one(named)], schema.names)
+            n += 1
+
+    texts = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return texts.mapInArrow(run, schema)
+
+
+def slice_units(slices_of: DataFrame) -> DataFrame:
+    """slice, place, unit and times of each slice's units."""
+    each = slices_of.select("slice", F.posexplode_outer(F.arrays_zip("units", "times")).alias("place", "x")).where("place is not null")
+    return each.select("slice", "place", F.col("x.units").alias("unit"), "x.times")
+
+
+def unit_key(unit: Column) -> Column:
+    """What stands for a unit in joins: a short one for itself, a long one by its digest, which is longer than any short one."""
+    return F.when(F.length(unit) <= SHORT, unit).otherwise(F.sha2(unit, 256))
+
+
+def encoded_units(distinct: DataFrame, a_file: str, b_file: str) -> DataFrame:
+    """distinct (unit, times) as uid (a number), key, times, a_ids, a_ends, b_ids, b_ends. Units with other bytes on a side are left out."""
+    columns = ["uid", "key", "times", "a_ids", "a_ends", "b_ids", "b_ends"]
+    schema = "uid long, key string, times long, " + ", ".join(f"{c} array<int>" for c in columns[3:])
+
     def lists(sides: list[bytes]) -> tuple[pa.ListArray, pa.ListArray]:
         """ids and ends."""
         tokens = np.frombuffer(b"".join(sides), "<u8")
@@ -160,25 +188,15 @@ def tokenised(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = encoders(a_file, b_file), 0
-        for part in slices(batches, "text", AT_ONCE):
-            texts = [t or "" for t in part.column("text").to_pylist()]
-            units, places, at = own.cut(texts)
-            # A text of which any unit has other bytes has no tokens.
-            right = np.concatenate([[0], np.cumsum(~np.array([u[2] for u in units], bool)[places])])[at]
-            fine = np.diff(right) == 0
-            kept = np.repeat(fine, np.diff(at))
-            places, at = places[kept], np.concatenate([[0], np.cumsum(np.diff(at) * fine)])
-            rows = pa.StructArray.from_arrays([*lists([u[0] for u in units]), *lists([u[1] for u in units])], ["a_ids", "a_ends", "b_ids", "b_ends"])
-            of_text = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places.astype(np.int32)))
-            named = pa.StructArray.from_arrays([part.column("id"), of_text], ["id", "places"])
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-            times = pa.array(np.bincount(places, minlength=len(units)))
-            first = part.column("task")[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array([(first << 40) + n], pa.int64()), one(rows), one(times), one(named)], schema.names)
-            n += 1
+        for part in slices(batches, "unit", AT_ONCE):
+            found = own.encode(part.column("unit").to_pylist())
+            part = part.filter(pa.array([same for *_, same in found], pa.bool_()))
+            found = [x for x in found if x[2]]
+            uids = pa.array((part.column("task").to_numpy() << 40) + n + np.arange(len(found)), pa.int64())
+            n += len(found)
+            yield pa.RecordBatch.from_arrays([uids, part.column("key"), part.column("times"), *lists([x[0] for x in found]), *lists([x[1] for x in found])], columns)
 
-    texts = docs.select(F.spark_partition_id().cast("long").alias("task"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, schema)
+    return distinct.select(F.spark_partition_id().cast("long").alias("task"), unit_key(F.col("unit")).alias("key"), "unit", "times").mapInArrow(run, schema)
 
 
 _LOW = (1 << 32) - 1
@@ -196,29 +214,26 @@ def _low(x: Column) -> Column:
 _B_SIDE = 1 << 31
 
 
-def unit_rows(slices_of: DataFrame) -> DataFrame:
-    """A row for each unit of each slice: slice, place, times, a_ids, a_ends, b_ids, b_ends, ends (both sides' ends in order, each one
-    number that holds end, side and place; of equal ends A's comes first)."""
-    each = slices_of.select("slice", F.posexplode_outer(F.arrays_zip("units", "times")).alias("place", "x")).where("place is not null")
-    each = each.select("slice", "place", "x.times", "x.units.*")
+def with_ends(units: DataFrame) -> DataFrame:
+    """units with ends: both sides' ends in order, each one number that holds end, side and place; of equal ends A's comes first."""
     keyed = lambda ends, side: F.transform(ends, lambda e, i: F.shiftleft(e.cast("long"), 32) + (i + F.lit(side)))
-    return each.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", _B_SIDE))))
+    return units.withColumn("ends", F.sort_array(F.concat(keyed("a_ends", 0), keyed("b_ends", _B_SIDE))))
 
 
 def links(units: DataFrame) -> DataFrame:
-    """slice, place, times and pair (A's id shifted by 32 bits, and B's id) of every link of the units. An end that both sides share is
+    """uid, times and pair (A's id shifted by 32 bits, and B's id) of every link of the units. An end that both sides share is
     taken once, as A's."""
     i = F.col("x").bitwiseAND(F.lit(_B_SIDE - 1)).cast("int")
     other, on_a = F.col("p") - i, F.col("x").bitwiseAND(F.lit(_B_SIDE)) == 0
     shared = F.shiftright(F.get("ends", F.col("p") - 1), 32) == F.shiftright("x", 32)
     pair = F.shiftleft(F.get("a_ids", F.when(on_a, i).otherwise(other)).cast("long"), 32) + F.get("b_ids", F.when(on_a, other).otherwise(i))
     # Of an inner explode Spark infers filters on the array, which then is made three times.
-    each = units.select("slice", "place", "times", "a_ids", "b_ids", "ends", F.posexplode_outer("ends").alias("p", "x")).where("x is not null")
-    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("slice", "place", "times", pair.alias("pair"))
+    each = units.select("uid", "times", "a_ids", "b_ids", "ends", F.posexplode_outer("ends").alias("p", "x")).where("x is not null")
+    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("uid", "times", pair.alias("pair"))
 
 
 def aligned(units: DataFrame) -> DataFrame:
-    """slice and place with n_a, n_b, n_groups, n_links and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
+    """uid and key with n_a, n_b, n_groups and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
     ends = F.col("ends")
     end, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(_B_SIDE - 1))
     # Where both sides end, B's entry follows A's: how many tokens of A and of B there are up to here.
@@ -234,9 +249,8 @@ def aligned(units: DataFrame) -> DataFrame:
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0))))
     groups = F.array_join(F.zip_with("cuts", before, group), ";")
     n_groups = F.size(F.array_intersect("a_ends", "b_ends"))
-    n_a, n_b = F.size("a_ids"), F.size("b_ids")
-    counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_a + n_b - n_groups}
-    return found.select("slice", "place", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
+    counts = {"n_a": F.size("a_ids"), "n_b": F.size("b_ids"), "n_groups": n_groups}
+    return found.select("uid", "key", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
 
 
 def _often(counts: DataFrame, most: int) -> int:
@@ -255,9 +269,10 @@ def alignment(
     docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST
 ) -> DataFrame:
     """One row for each document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    cut = materialise(tokenised(docs, a_file, b_file, id_col, text_col), "token-slices")
-    units = unit_rows(cut)
-    counts = materialise(links(units).groupBy("pair").agg(F.sum("times").alias("n")).where("n > 0"), "pair-counts")
+    cut = materialise(cut_texts(docs, a_file, b_file, id_col, text_col), "text-slices")
+    named = slice_units(cut)
+    units = with_ends(materialise(encoded_units(named.groupBy("unit").agg(F.sum("times").alias("times")), a_file, b_file), "units"))
+    counts = materialise(links(units).groupBy("pair").agg(F.sum("times").alias("n")), "pair-counts")
     b_id = F.col("pair").bitwiseAND(F.lit(_LOW))
     # A row for each id of B: its vocabulary bounds the broadcast.
     top = counts.groupBy(b_id.alias("b")).agg(F.max("n").alias("top"))
@@ -268,28 +283,31 @@ def alignment(
     # Each link of each unit gets its pair's count; a unit's common pairs are summed up at once, its rare ones looked up one by one.
     met = links(units).drop("times").join(F.broadcast(common), "pair", "left")
     left = F.when(F.col("n").isNull(), F.col("pair")).alias("rare")
-    by_unit = materialise(met.groupBy("slice", "place", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("met")), "unit-sums")
-    looked_up = by_unit.where("rare is not null").select("slice", "place", "rare", "met").join(rare, F.col("rare") == F.col("pair"))
-    looked_up = looked_up.select("slice", "place", (F.col("n") * F.col("met")).alias("n"), (F.col("best") * F.col("met")).alias("best"))
-    sums = by_unit.where("rare is null").select("slice", "place", "n", "best").unionByName(looked_up)
-    sums = sums.groupBy("slice", "place").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    by_unit = materialise(met.groupBy("uid", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("met")), "unit-sums")
+    looked_up = by_unit.where("rare is not null").select("uid", "rare", "met").join(rare, F.col("rare") == F.col("pair"))
+    looked_up = looked_up.select("uid", (F.col("n") * F.col("met")).alias("n"), (F.col("best") * F.col("met")).alias("best"))
+    sums = by_unit.where("rare is null").select("uid", "n", "best").unionByName(looked_up)
+    sums = sums.groupBy("uid").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    whole = aligned(units).join(sums, "uid").drop("uid")
 
     # A slice's units, by place, and then its texts from them. A slice has a bounded number of bytes, so its units fit in a row.
-    numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    whole = aligned(units).join(sums, ["slice", "place"], "left").select("slice", "place", "groups", *map(zero, numbers))
-    by_slice = whole.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
+    numbers = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+    placed = named.select("slice", "place", unit_key(F.col("unit")).alias("key")).join(whole, "key", "left")
+    by_slice = placed.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
     texts = cut.select("slice", "texts").join(by_slice, "slice", "left")
 
     def one(text: Column, known: Column) -> Column:
         places = text["places"]
+        # Null as soon as one unit is not known, since its bytes are others.
         total = lambda c: F.aggregate(places, F.lit(0).cast("long"), lambda acc, i: acc + F.get(known[c], i)).alias(c)
         joined = F.array_join(F.transform(places, lambda i: F.get(known["groups"], i)), ";")
-        return F.struct(text["id"].alias("id"), *map(total, numbers), F.when(F.size(places) > 0, F.sha2(joined, 256)).otherwise("").alias("groups_sha256"))
+        return F.struct(text["id"].alias("id"), *map(total, numbers), F.sha2(joined, 256).alias("digest"))
 
     # The arrays are bound once for each slice; inside a lambda Spark would take them out of known for each element.
     arrays = F.struct(*(F.col(f"known.{c}").alias(c) for c in ("groups", *numbers)))
     each = let(arrays, lambda known: F.transform("texts", lambda text: one(text, known)))
-    found = texts.select(F.explode_outer(each).alias("x")).where("x is not null")
-    return found.select(F.col("x.id").alias(id_col), *(f"x.{c}" for c in numbers), "x.groups_sha256")
-
+    found = texts.select(F.explode_outer(each).alias("x")).where("x is not null").select("x.*")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    n_links = zero("n_a") + zero("n_b") - zero("n_groups")
+    digest = F.when(F.col("n_a") > 0, F.col("digest")).otherwise("").alias("groups_sha256")
+    return found.select(F.col("id").alias(id_col), *map(zero, ("n_a", "n_b", "n_groups")), n_links.alias("n_links"), *map(zero, ("n_best", "count_sum")), digest)
