@@ -39,8 +39,9 @@ from ..session import materialise
 from .text import let
 from .units import LETTERS, is_plain, slices, with_space
 
-#: Bytes of text handled at once; pairs of ids in the broadcast table; characters of a unit that stands for itself in joins.
-AT_ONCE, BROADCAST, SHORT = 1_500_000, 200_000, 40
+#: Bytes of text in a slice, and of units encoded at once; pairs of ids in the broadcast table; characters of a unit that stands for itself in
+#: joins. The larger a slice, the fewer units come again in others.
+SLICE, AT_ONCE, BROADCAST, SHORT = 8_000_000, 1_500_000, 200_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -146,7 +147,7 @@ def cut_texts(docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n = encoders(a_file, b_file), 0
-        for part in slices(batches, "text", AT_ONCE):
+        for part in slices(batches, "text", SLICE):
             units, places, at = own.cut([t or "" for t in part.column("text").to_pylist()])
             of_text = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(places.astype(np.int32)))
             named = pa.StructArray.from_arrays([part.column("id"), of_text], ["id", "places"])
