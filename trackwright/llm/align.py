@@ -41,7 +41,7 @@ from .units import LETTERS, is_plain, slices, with_space
 
 #: Bytes of text in a slice, and of units encoded at once; pairs of ids in the broadcast table; characters of a unit that stands for itself in
 #: joins. The larger a slice, the fewer units come again in others.
-SLICE, AT_ONCE, BROADCAST, SHORT = 8_000_000, 1_500_000, 200_000, 40
+SLICE, AT_ONCE, BROADCAST, SHORT = 8_000_000, 1_500_000, 1_000_000, 40
 
 
 def byte_letters() -> dict[str, int]:
@@ -173,9 +173,9 @@ def unit_key(unit: Column) -> Column:
 
 
 def encoded_units(distinct: DataFrame, a_file: str, b_file: str) -> DataFrame:
-    """distinct (unit, times) as uid (a number), key, times, a_ids, a_ends, b_ids, b_ends. Units with other bytes on a side are left out."""
-    columns = ["uid", "key", "times", "a_ids", "a_ends", "b_ids", "b_ends"]
-    schema = "uid long, key string, times long, " + ", ".join(f"{c} array<int>" for c in columns[3:])
+    """distinct (unit, times) as key, times, a_ids, a_ends, b_ids, b_ends. Units with other bytes on a side are left out."""
+    columns = ["key", "times", "a_ids", "a_ends", "b_ids", "b_ends"]
+    schema = "key string, times long, " + ", ".join(f"{c} array<int>" for c in columns[2:])
 
     def lists(sides: list[bytes]) -> tuple[pa.ListArray, pa.ListArray]:
         """ids and ends."""
@@ -188,16 +188,14 @@ def encoded_units(distinct: DataFrame, a_file: str, b_file: str) -> DataFrame:
         return tuple(pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in ((tokens & np.uint64(0xFFFFFFFF)), within))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = encoders(a_file, b_file), 0
+        own = encoders(a_file, b_file)
         for part in slices(batches, "unit", AT_ONCE):
             found = own.encode(part.column("unit").to_pylist())
             part = part.filter(pa.array([same for *_, same in found], pa.bool_()))
             found = [x for x in found if x[2]]
-            uids = pa.array((part.column("task").to_numpy() << 40) + n + np.arange(len(found)), pa.int64())
-            n += len(found)
-            yield pa.RecordBatch.from_arrays([uids, part.column("key"), part.column("times"), *lists([x[0] for x in found]), *lists([x[1] for x in found])], columns)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("times"), *lists([x[0] for x in found]), *lists([x[1] for x in found])], columns)
 
-    return distinct.select(F.spark_partition_id().cast("long").alias("task"), unit_key(F.col("unit")).alias("key"), "unit", "times").mapInArrow(run, schema)
+    return distinct.select(unit_key(F.col("unit")).alias("key"), "unit", "times").mapInArrow(run, schema)
 
 
 _LOW = (1 << 32) - 1
@@ -222,19 +220,19 @@ def with_ends(units: DataFrame) -> DataFrame:
 
 
 def links(units: DataFrame) -> DataFrame:
-    """uid, times and pair (A's id shifted by 32 bits, and B's id) of every link of the units. An end that both sides share is
+    """key, times and pair (A's id shifted by 32 bits, and B's id) of every link of the units. An end that both sides share is
     taken once, as A's."""
     i = F.col("x").bitwiseAND(F.lit(_B_SIDE - 1)).cast("int")
     other, on_a = F.col("p") - i, F.col("x").bitwiseAND(F.lit(_B_SIDE)) == 0
     shared = F.shiftright(F.get("ends", F.col("p") - 1), 32) == F.shiftright("x", 32)
     pair = F.shiftleft(F.get("a_ids", F.when(on_a, i).otherwise(other)).cast("long"), 32) + F.get("b_ids", F.when(on_a, other).otherwise(i))
     # Of an inner explode Spark infers filters on the array, which then is made three times.
-    each = units.select("uid", "times", "a_ids", "b_ids", "ends", F.posexplode_outer("ends").alias("p", "x")).where("x is not null")
-    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("uid", "times", pair.alias("pair"))
+    each = units.select("key", "times", "a_ids", "b_ids", "ends", F.posexplode_outer("ends").alias("p", "x")).where("x is not null")
+    return each.where(on_a | ~F.coalesce(shared, F.lit(False))).select("key", "times", pair.alias("pair"))
 
 
 def aligned(units: DataFrame) -> DataFrame:
-    """uid and key with n_a, n_b, n_groups and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
+    """key with n_a, n_b, n_groups and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
     ends = F.col("ends")
     end, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(_B_SIDE - 1))
     # Where both sides end, B's entry follows A's: how many tokens of A and of B there are up to here.
@@ -251,7 +249,7 @@ def aligned(units: DataFrame) -> DataFrame:
     groups = F.array_join(F.zip_with("cuts", before, group), ";")
     n_groups = F.size(F.array_intersect("a_ends", "b_ends"))
     counts = {"n_a": F.size("a_ids"), "n_b": F.size("b_ids"), "n_groups": n_groups}
-    return found.select("uid", "key", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
+    return found.select("key", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
 
 
 def _often(counts: DataFrame, most: int) -> int:
@@ -284,12 +282,12 @@ def alignment(
     # Each link of each unit gets its pair's count; a unit's common pairs are summed up at once, its rare ones looked up one by one.
     met = links(units).drop("times").join(F.broadcast(common), "pair", "left")
     left = F.when(F.col("n").isNull(), F.col("pair")).alias("rare")
-    by_unit = materialise(met.groupBy("uid", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("met")), "unit-sums")
-    looked_up = by_unit.where("rare is not null").select("uid", "rare", "met").join(rare, F.col("rare") == F.col("pair"))
-    looked_up = looked_up.select("uid", (F.col("n") * F.col("met")).alias("n"), (F.col("best") * F.col("met")).alias("best"))
-    sums = by_unit.where("rare is null").select("uid", "n", "best").unionByName(looked_up)
-    sums = sums.groupBy("uid").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
-    whole = aligned(units).join(sums, "uid").drop("uid")
+    by_unit = materialise(met.groupBy("key", left).agg(F.sum("n").alias("n"), F.sum("best").alias("best"), F.count("*").alias("met")), "unit-sums")
+    looked_up = by_unit.where("rare is not null").select("key", "rare", "met").join(rare, F.col("rare") == F.col("pair"))
+    looked_up = looked_up.select("key", (F.col("n") * F.col("met")).alias("n"), (F.col("best") * F.col("met")).alias("best"))
+    sums = by_unit.where("rare is null").select("key", "n", "best").unionByName(looked_up)
+    sums = sums.groupBy("key").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
+    whole = aligned(units).join(sums, "key")
 
     # A slice's units, by place, and then its texts from them. A slice has a bounded number of bytes, so its units fit in a row.
     numbers = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
