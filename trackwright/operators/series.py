@@ -172,12 +172,13 @@ def weighted_slope(df: DataFrame, t: str, x: str, samples: int = 7, gamma: float
     return sums.withColumn("slope", slope).drop("__r", "__w", "__t", "__x", "__tt", "__tx")
 
 
-def curvature(df: DataFrame, value: str) -> DataFrame:
-    """Second derivative of the quadratic through the last 7 values (fixed least-squares weights); null before the 7th."""
+def curvature(df: DataFrame, value: str, unit: float = 1.0) -> DataFrame:
+    """Second derivative of the quadratic through the last 7 values (fixed least-squares weights); null before the 7th. unit is what
+    of value makes one; it divides the sum, so values that are exact in their own unit are rounded once."""
     weights = [5, 0, -3, -4, -3, 0, 5]
     w = part_window()
     terms = [c * F.lag(value, 6 - i).over(w) for i, c in enumerate(weights) if c]
-    return with_windows(df, 6, 0, curvature=sum(terms[1:], terms[0]) / 42.0)
+    return with_windows(df, 6, 0, curvature=sum(terms[1:], terms[0]) / F.lit(float(unit)) / 42.0)
 
 
 def hampel(df: DataFrame, value: str, window: int = 24, least: int = 7, k: float = 3.0) -> DataFrame:
@@ -273,11 +274,13 @@ def require_any(df: DataFrame, value: str) -> DataFrame:
     return df.join(have.select(good.alias(KEY)), KEY)
 
 
-def airborne_flags(df: DataFrame, x: str, y: str, fps: float, least_bend: float = 0.45, rolling: float = 120.0) -> DataFrame:
-    """airborne: the height bends; floor_like: slow, and known not to bend. Speeds are pixels a second from the frame before."""
-    last = lambda c: F.lag(c).over(part_window())
-    moving = with_windows(df, 1, 0, speed=F.hypot(F.col(x) - last(x), F.col(y) - last(y)) * fps)
-    bent = curvature(moving, y)
+def airborne_flags(df: DataFrame, x: str, y: str, fps: float, least_bend: float = 0.45, rolling: float = 120.0, units: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """airborne: the height bends; floor_like: slow, and known not to bend. Speeds are pixels a second from the frame before.
+
+    units: what of x and of y makes a pixel. Differences are taken before they are scaled, so a bend of just least_bend is seen as one."""
+    step = lambda c, unit: (F.col(c) - F.lag(c).over(part_window())) / F.lit(float(unit))
+    moving = with_windows(df, 1, 0, speed=F.hypot(step(x, units[0]), step(y, units[1])) * fps)
+    bent = curvature(moving, y, units[1])
     bends = F.abs(F.col("curvature")) >= least_bend
     return bent.withColumns({"airborne": F.coalesce(bends, F.lit(False)), "floor_like": F.coalesce((F.col("speed") < rolling) & ~bends, F.lit(False))})
 
