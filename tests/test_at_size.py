@@ -1,9 +1,12 @@
 """What showed on larger tables only, on small ones made for it."""
 
+from collections import Counter
+
 import duckdb
 import pandas as pd
 from oracle import rows
 
+from trackwright.operators.folds import each_block, gap_sections, kept_chain
 from trackwright.plans import ORACLES, QUERIES
 
 
@@ -32,3 +35,30 @@ def test_a_bend_of_just_the_limit_is_one(spark, tmp_path):
     ends = [(191.7, 84.22, 16.57, 339.27, 327.65), (341.15, 64.66, 174.65, 329.39, 287.0), (44.52, 34.7, 80.81, 139.77, 376.81)]
     got = compare(spark, tmp_path, "airborne_flags", events=events([[a, 9.0, b, c, d, 7.0, e] for a, b, c, d, e in ends]))
     assert sum(row[0] for row in got) == len(ends)
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def runs_of(spark, videos):
+    rows = [(v, i % 2 == 1, 3 * i, 3) for v in range(videos) for i in range(6)]
+    return spark.createDataFrame(rows, "video_id bigint, value boolean, first bigint, n bigint")
+
+
+def test_short_videos_are_folded_without_a_call_for_each(spark):
+    lengths = runs_of(spark, 500)
+    cuts = lengths.where("value").selectExpr("video_id", "first", "first + n - 1 as until")
+    sections, kept = gap_sections(lengths, 4), kept_chain(cuts, "first", "until", 5)
+    for found in (sections, kept):
+        assert "FlatMapGroupsInPandas" not in plan(found)
+    assert Counter((r.start, r.end) for r in sections.collect()) == {(0, 10): 500, (12, None): 500}
+    assert Counter(r["first"] for r in kept.collect()) == {9: 500}
+
+
+def test_blocks_go_on_across_batches():
+    rows = pd.DataFrame({"video_id": ["a"] * 3 + ["b"] * 4, "part": [0, 0, 1, 0, 0, 0, 2], "x": range(7)})
+    want = [("a", 0, [0, 1]), ("a", 1, [2]), ("b", 0, [3, 4, 5]), ("b", 2, [6])]
+    for size in (1, 2, 3, 7):
+        assert list(each_block(rows.iloc[i : i + size] for i in range(0, 7, size))) == want
+    assert list(each_block(iter([rows.iloc[:0]]))) == []

@@ -4,11 +4,15 @@ A fold's rows are dealt by video and block of frames. Each block is summed up as
 behind it, as a small table: only states that can differ there have a row. The functions are put together in order over one row for each
 block, which gives every block the state before it, and then each block runs its own rows once. So a video of any length is as many
 tasks as it has blocks, and what meets in one place is a row for each block of 4,096 frames.
+
+Most videos are short, so a task holds many blocks: it reads them sorted, one after the other, from Arrow batches. A block costs what its rows
+cost, and no call of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,43 +32,69 @@ def entered(blocks: DataFrame, start: int, behind: Callable[[Column, Column], Co
     return in_order.select(KEY, F.explode(F.arrays_zip(F.col("blocks.part").alias("part"), states.alias("state"))).alias("x")).select(KEY, "x.*")
 
 
+def each_block(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """KEY, part and the other columns as lists, in order, of each block of sorted batches. A block may go on in the next batch."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        keys, parts = batch[KEY].to_numpy(), batch["part"].to_numpy()
+        starts = np.append(0, np.flatnonzero((keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])) + 1)
+        columns = [batch[c].tolist() for c in batch.columns if c not in (KEY, "part")]
+        for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield keys[i], int(parts[i]), *(c[i:j] for c in columns)
+        held = batch.iloc[int(starts[-1]) :]
+    if held is not None:
+        yield held[KEY].iloc[0], int(held["part"].iloc[0]), *(held[c].tolist() for c in held.columns if c not in (KEY, "part"))
+
+
+def by_block(rows: DataFrame, order: str, run: Callable[..., list[tuple]], schema: str, many: int = 10_000) -> DataFrame:
+    """What run gives for each block of rows (KEY, part and more columns, which run takes as lists in order of order)."""
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for block in each_block(batches):
+            out += run(*block)
+            if len(out) >= many:
+                yield pd.DataFrame(out, columns=names, dtype=object)
+                out = []
+        yield pd.DataFrame(out, columns=names, dtype=object)
+
+    columns = [KEY, "part", *(c for c in rows.columns if c not in (KEY, "part"))]
+    return rows.where(F.col(KEY).isNotNull()).select(*columns).repartition(KEY, "part").sortWithinPartitions(KEY, "part", order).mapInPandas(task, schema)
+
+
 def kept_chain(rows: DataFrame, at: str, until: str, gap: int, chunk: int = CHUNK) -> DataFrame:
     """Rows kept one after the other: the next one whose at is more than gap past the last kept one's until, 0 before the first.
 
     Rows of a video must not overlap: at <= until < the next row's at. Then a row that can be the first kept one of a block lies within gap of
     the block's first row, or is the first beyond, and the block's table has no more rows than that.
     """
-    parts = rows.withColumn("part", chunk_of(F.col(at), chunk))
     kind = rows.schema[KEY].dataType.simpleString()
 
-    def chain(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """at and until in order, and each row's next one in the block (their number if there is none)."""
-        ordered = group.sort_values(at)
-        a, u = ordered[at].to_numpy(np.int64), ordered[until].to_numpy(np.int64)
-        return a, u, np.searchsorted(a, u + gap, side="right")
-
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        a, u, following = chain(group)
-        exits = np.append(u, 0)
+    def summary(key: object, part: int, a: list[int], u: list[int]) -> list[tuple]:
+        following = [bisect_right(a, x + gap) for x in u]
+        exits = list(u)
         for i in range(len(a) - 1, -1, -1):
             if following[i] < len(a):
                 exits[i] = exits[following[i]]
-        n = int(np.searchsorted(a, a[0] + gap, side="right")) + 1
-        table = [{"at": int(x), "behind": int(y)} for x, y in zip(a[:n], exits[:n], strict=False)]
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]], "part": [group["part"].iloc[0]], "firsts": [table]})
+        n = bisect_right(a, a[0] + gap) + 1
+        return [(key, part, [{"at": x, "behind": y} for x, y in zip(a[:n], exits[:n], strict=True)])]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, _, following = chain(group)
-        i, kept = int(np.searchsorted(a, group["state"].iloc[0] + gap, side="right")), []
+    def run(key: object, part: int, a: list[int], u: list[int], state: list[int]) -> list[tuple]:
+        kept, i = [], bisect_right(a, state[0] + gap)
         while i < len(a):
-            kept.append(a[i])
-            i = int(following[i])
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]] * len(kept), at: kept})
+            kept.append((key, a[i]))
+            i = bisect_right(a, u[i] + gap)
+        return kept
 
-    slim = parts.select(KEY, "part", F.col(at).cast("long").alias(at), *([F.col(until).cast("long").alias(until)] if until != at else []))
-    blocks = slim.groupBy(KEY, "part").applyInPandas(summary, f"{KEY} {kind}, part bigint, firsts array<struct<at:bigint,behind:bigint>>")
+    slim = rows.select(KEY, chunk_of(F.col(at), chunk).alias("part"), F.col(at).cast("long").alias("__at"), F.col(until).cast("long").alias("__until"))
+    blocks = by_block(slim, "__at", summary, f"{KEY} {kind}, part bigint, firsts array<struct<at:bigint,behind:bigint>>")
     states = entered(blocks, 0, lambda s, b: F.coalesce(F.get(F.filter(b["firsts"], lambda f: f["at"] > s + gap), F.lit(0))["behind"], s))
-    kept = slim.join(states, [KEY, "part"]).groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, {at} bigint")
+    kept = by_block(slim.join(states, [KEY, "part"]), "__at", run, f"{KEY} {kind}, {at} bigint")
     return rows.join(kept, [KEY, at], "left_semi")
 
 
@@ -75,47 +105,48 @@ def gap_sections(lengths: DataFrame, allowed: int, chunk: int = CHUNK) -> DataFr
     The state is the number of empty frames of an open section, or -1.
     """
     kind = lengths.schema[KEY].dataType.simpleString()
-    parts = lengths.select(KEY, "value", F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"), chunk_of(F.col("first"), chunk).alias("part"))
+    parts = lengths.select(KEY, chunk_of(F.col("first"), chunk).alias("part"), "value", F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"))
 
     def after(state: int, empty: bool, n: int) -> int:
         if not empty:
             return max(state, 0)
         return -1 if state < 0 or state + n > allowed else state + n
 
-    def summary(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first")
+    def summary(key: object, part: int, value: list[bool], first: list[int], n: list[int]) -> list[tuple]:
         # States that have become one stay one.
         now = {s: s for s in range(-1, allowed + 1)}
         alive = set(now.values())
-        for empty, n in zip(group["value"].tolist(), group["n"].tolist(), strict=True):
-            then = {s: after(s, empty, n) for s in alive}
+        for i, (empty, k) in enumerate(zip(value, n, strict=True)):
+            if len(alive) == 1:
+                state = alive.pop()
+                for empty, k in zip(value[i:], n[i:], strict=True):
+                    state = after(state, empty, k)
+                now = dict.fromkeys(now, state)
+                break
+            then = {s: after(s, empty, k) for s in alive}
             if any(s != t for s, t in then.items()):
-                now = {s: then[t] for s, t in now.items()} if len(alive) > 1 else dict.fromkeys(now, then[next(iter(alive))])
+                now = {s: then[t] for s, t in now.items()}
             alive = set(then.values())
-        return pd.DataFrame({KEY: [group[KEY].iloc[0]], "part": [group["part"].iloc[0]], "behind": [[now[s] for s in range(-1, allowed + 1)]]})
+        return [(key, part, [now[s] for s in range(-1, allowed + 1)])]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("first")
-        state, out = int(group["state"].iloc[0]), []
-        for empty, first, n in zip(group["value"].tolist(), group["first"].tolist(), group["n"].tolist(), strict=True):
-            then = after(state, empty, n)
+    def run(key: object, part: int, value: list[bool], first: list[int], n: list[int], before: list[int]) -> list[tuple]:
+        """Sections from start to end; one that is open where the block begins has no start, one that is open where it ends no end."""
+        state, start, out = before[0], None, []
+        for empty, at, k in zip(value, first, n, strict=True):
+            then = after(state, empty, k)
             if state < 0 <= then:
-                out.append((first, None))
+                start = at
             elif then < 0 <= state:
-                out.append((None, first + allowed - state))
+                out.append((key, part, start, at + allowed - state))
+                start = None
             state = then
-        return pd.DataFrame([(group[KEY].iloc[0], s, e) for s, e in out], columns=[KEY, "start", "end"]).astype({"start": "Int64", "end": "Int64"})
+        return out if start is None else [*out, (key, part, start, None)]
 
-    blocks = parts.groupBy(KEY, "part").applyInPandas(summary, f"{KEY} {kind}, part bigint, behind array<bigint>")
+    blocks = by_block(parts, "first", summary, f"{KEY} {kind}, part bigint, behind array<bigint>")
     states = entered(blocks, -1, lambda s, b: F.get(b["behind"], (s + 1).cast("int")))
-    turns = parts.join(states, [KEY, "part"]).groupBy(KEY, "part").applyInPandas(run, f"{KEY} {kind}, start bigint, end bigint")
-    # Starts and ends take turns. In a block each start's end is the next row; across blocks, the last start and the first end.
-    marked = turns.withColumn("part", chunk_of(F.coalesce("start", "end"), chunk))
-    inside = Window.partitionBy(KEY, "part").orderBy(F.coalesce("start", "end"))
-    following = marked.withColumn("next_end", F.lead("end").over(inside))
-    first_ends = marked.where("end is not null").groupBy(KEY, "part").agg(F.min("end").alias("first_end"))
-    across = Window.partitionBy(KEY).orderBy("part").rowsBetween(1, Window.unboundedFollowing)
-    edges = marked.groupBy(KEY, "part").agg(F.min(F.coalesce("start", "end")).alias("low")).join(first_ends, [KEY, "part"], "left")
-    later = edges.select(KEY, "part", F.first("first_end", ignorenulls=True).over(across).alias("later_end"))
-    found = following.where("start is not null").join(later, [KEY, "part"])
-    return found.select(KEY, "start", F.coalesce("next_end", "later_end").alias("end"))
+    turns = by_block(parts.join(states, [KEY, "part"]), "first", run, f"{KEY} {kind}, part bigint, start bigint, end bigint")
+    # Sections over the ends of blocks are in two rows, one after the other among the video's loose ones, of which a block has two at most.
+    loose = F.col("start").isNull() | F.col("end").isNull()
+    following = Window.partitionBy(KEY, F.when(~loose, F.col("part"))).orderBy(F.coalesce("start", "end"))
+    whole = turns.withColumn("end", F.coalesce("end", F.when(loose, F.lead("end").over(following))))
+    return whole.where("start is not null").select(KEY, "start", "end")

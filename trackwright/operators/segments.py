@@ -7,8 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .folds import gap_sections, kept_chain
-from .series import KEY, ORDER, chunk_of, filled, last_known, lerp_gaps, part_window, running_sum, with_windows
+from .series import KEY, ORDER, chunk_of, last_known, lerp_gaps, part_window, running_sum, with_windows
 
 
 def runs(df: DataFrame, flag: Column, name: str = "run") -> DataFrame:
@@ -77,7 +78,7 @@ def rally_sections(frames: DataFrame, present: Column, speed: Column, p: Rally =
     Frames are first summed up into runs, and the runs are folded by blocks, so no task sees a whole video.
     """
     slow = (F.col(ORDER) > 0) & F.coalesce(speed < p.min_kmh, F.lit(False))
-    lengths = run_lengths(frames, ~present | slow)
+    lengths = materialise(run_lengths(frames, ~present | slow), "runs")
     allowed, least, int_fps = int(p.max_gap * p.fps // 1), p.min_seconds * p.fps, int(p.fps)
     totals = lengths.groupBy(KEY).agg((F.max("last") + 1).alias("total"))
     length = F.col("end") - F.col("start")
@@ -87,7 +88,7 @@ def rally_sections(frames: DataFrame, present: Column, speed: Column, p: Rally =
     end = F.least(F.col("end") + p.after * p.fps, F.col("total")).cast("long")
     # Sections in order are numbered; one that begins soon after the one before it ended continues that one.
     wide = raw.select(KEY, F.col("start").alias(ORDER), F.greatest(F.col("start") - p.before * p.fps, F.lit(0)).cast("long").alias("low"), end.alias("high"))
-    before = around_others(wide, F.col("high"), "__prior")
+    before = around_others(materialise(wide, "raw-sections"), F.col("high"), "__prior")
     new = F.coalesce(F.col(ORDER) - F.col("__prior.value") >= p.min_between * p.fps, F.lit(True))
     numbered = running_sum(before.withColumn("__new", new), F.col("__new").cast("long"), "section")
     out = numbered.groupBy(KEY, (F.col("section") - 1).alias("section_idx")).agg(F.min("low").alias("start_index"), F.max("high").alias("end_index"))
@@ -96,8 +97,7 @@ def rally_sections(frames: DataFrame, present: Column, speed: Column, p: Rally =
 
 def around_others(df: DataFrame, value: Column, name: str) -> DataFrame:
     """name: struct(frame, value) of the row before each row."""
-    seen = filled(df, value, "__seen", forward=True)
-    parts = seen.withColumn("part", chunk_of(F.col(ORDER)))
+    parts = df.withColumn("__seen", F.struct(F.col(ORDER).alias("frame"), value.alias("value"))).withColumn("part", chunk_of(F.col(ORDER)))
     inside = F.lag("__seen").over(part_window())
     ends = parts.groupBy(KEY, "part").agg(F.max("__seen").alias("__end"))
     carry = ends.select(KEY, "part", F.lag("__end").over(Window.partitionBy(KEY).orderBy("part")).alias("__carry"))
@@ -151,16 +151,17 @@ def split_tracks(df: DataFrame, present: Column, x: Column, y: Column, max_gap:
         F.min(ORDER).alias("first"), F.count("*").alias("n"), F.min_by("__x", ORDER).alias("x0"), F.min_by("__y", ORDER).alias("y0"),
         F.max_by("__x", ORDER).alias("x1"), F.max_by("__y", ORDER).alias("y1"),
     )
+    lengths = materialise(lengths, "runs")
     # A gap and its neighbours meet by the number of the run.
     side = lambda by, c: lengths.where("value").select(KEY, (F.col("run") + by).alias("run"), F.col(f"x{c}").alias(f"sx{c}"), F.col(f"y{c}").alias(f"sy{c}"))
     gaps = lengths.where(~F.col("value")).select(KEY, "run", "first", "n").join(side(1, 1), [KEY, "run"]).join(side(-1, 0), [KEY, "run"])
     jump = F.hypot(F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")) / F.col("n")
     cuts = gaps.where((F.col("n") >= max_gap) | (jump > max_jump)).select(KEY, "first", (F.col("first") + F.col("n") - 1).alias("until"))
-    kept = kept_chain(cuts, "first", "until", min_track)
+    kept = kept_chain(materialise(cuts, "cuts"), "first", "until", min_track)
     totals = lengths.groupBy(KEY).agg((F.max(F.col("first") + F.col("n"))).alias("total"))
     # A track runs from the cut before it to its own; the last one to the video's end.
     ends = kept.select(KEY, F.col("first").alias(ORDER), "until").unionByName(totals.select(KEY, F.col("total").alias(ORDER), F.col("total").alias("until")))
-    begun = around_others(ends, F.col("until"), "__prior").withColumn("start", F.coalesce("__prior.value", F.lit(0)))
+    begun = around_others(materialise(ends, "cuts-kept"), F.col("until"), "__prior").withColumn("start", F.coalesce("__prior.value", F.lit(0)))
     tracks = begun.where(F.col(ORDER) - F.col("start") > min_track)
     numbered = running_sum(tracks, F.lit(1).cast("long"), "number")
     return numbered.select(KEY, (F.col("number") - 1).alias("track_idx"), "start", F.col(ORDER).alias("end"))
@@ -176,12 +177,12 @@ def streaks(df: DataFrame, flag: Column) -> DataFrame:
 
 def interpolate_tracks(df: DataFrame, x: str, y: str, **settings: float) -> DataFrame:
     """x and y with gaps filled inside each track of split_tracks: linear between points, level at a track's ends."""
-    tracks = split_tracks(df, F.col(x).isNotNull(), F.col(x), F.col(y), **settings)
+    tracks = materialise(split_tracks(df, F.col(x).isNotNull(), F.col(x), F.col(y), **settings), "tracks")
     numbers = tracks.select(KEY, "track_idx", F.col("start").alias("start_index"), F.col("end").alias("end_index"))
     # A frame in which one track ends and the next begins belongs to one of them only, as the ends are exclusive.
     inside = section_frames(numbers, df.select(KEY, ORDER, x, y))
     each = inside.select(F.struct(KEY, "track_idx").alias(KEY), ORDER, x, y)
-    filled_in = lerp_gaps(lerp_gaps(each, x), y)
+    filled_in = lerp_gaps(materialise(each, "tracks-frames"), x, y)
     found = filled_in.select(F.col(f"{KEY}.{KEY}").alias(KEY), ORDER, F.col(x).alias("__x"), F.col(y).alias("__y"), F.lit(True).alias("__in"))
     joined = df.join(found, [KEY, ORDER], "left")
     return joined.withColumns({x: F.when(F.col("__in"), F.col("__x")).otherwise(F.col(x)), y: F.when(F.col("__in"), F.col("__y")).otherwise(F.col(y))}).drop("__x", "__y", "__in")

@@ -47,21 +47,25 @@ def running_sum(df: DataFrame, value: Column, name: str, chunk: int = CHUNK) ->
 
 def around(df: DataFrame, value: Column, last: str, following: str, chunk: int = CHUNK) -> DataFrame:
     """last and following: struct(frame, value) of the nearest row with a value at or before each row, and at or after it."""
-    at = F.when(value.isNotNull(), F.struct(F.col(ORDER).alias("frame"), value.alias("value")))
-    parts = df.withColumn("__at", at).withColumn("part", chunk_of(F.col(ORDER), chunk))
-    ends = parts.groupBy(KEY, "part").agg(F.max("__at").alias("hi"), F.min("__at").alias("lo"))
+    return around_each(df, [(value, last, following)], chunk)
+
+
+def around_each(df: DataFrame, values: list[tuple[Column, str, str]], chunk: int = CHUNK) -> DataFrame:
+    """around for several values (value, last, following) in one pass."""
+    at = {f"__at{i}": F.when(v.isNotNull(), F.struct(F.col(ORDER).alias("frame"), v.alias("value"))) for i, (v, _, _) in enumerate(values)}
+    parts = df.withColumns(at).withColumn("part", chunk_of(F.col(ORDER), chunk))
+    ends = parts.groupBy(KEY, "part").agg(*(f(c).alias(f"{n}{c}") for c in at for n, f in (("hi", F.max), ("lo", F.min))))
     by_part = Window.partitionBy(KEY).orderBy("part")
+    before, after = by_part.rowsBetween(Window.unboundedPreceding, -1), by_part.rowsBetween(1, Window.unboundedFollowing)
     carry = ends.select(
-        KEY, "part",
-        F.last("hi", ignorenulls=True).over(by_part.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"),
-        F.first("lo", ignorenulls=True).over(by_part.rowsBetween(1, Window.unboundedFollowing)).alias("__after"),
+        KEY, "part", *(F.last(f"hi{c}", ignorenulls=True).over(before).alias(f"__before{c}") for c in at), *(F.first(f"lo{c}", ignorenulls=True).over(after).alias(f"__after{c}") for c in at)
     )
-    inside = part_window()
-    here = parts.join(carry, [KEY, "part"]).withColumns({
-        last: F.coalesce(F.last("__at", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.col("__before")),
-        following: F.coalesce(F.first("__at", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), F.col("__after")),
-    })
-    return here.drop("part", "__at", "__before", "__after")
+    up, down = part_window().rowsBetween(Window.unboundedPreceding, 0), part_window().rowsBetween(0, Window.unboundedFollowing)
+    found = {}
+    for c, (_, last, following) in zip(at, values, strict=True):
+        found[last] = F.coalesce(F.last(c, ignorenulls=True).over(up), F.col(f"__before{c}"))
+        found[following] = F.coalesce(F.first(c, ignorenulls=True).over(down), F.col(f"__after{c}"))
+    return parts.join(carry, [KEY, "part"]).withColumns(found).drop("part", *at, *(f"__before{c}" for c in at), *(f"__after{c}" for c in at))
 
 
 def filled(df: DataFrame, value: Column, name: str, forward: bool, chunk: int = CHUNK) -> DataFrame:
@@ -149,13 +153,16 @@ def nearest_fill(df: DataFrame, value: str) -> DataFrame:
     return both.withColumn(value, F.when(use_last, F.col("__last.value")).otherwise(F.col("__next.value"))).drop("__next", "__last")
 
 
-def lerp_gaps(df: DataFrame, value: str) -> DataFrame:
-    """Nulls between two values are interpolated; before the first and after the last the nearest value holds."""
-    both = around(df, F.col(value), "__last", "__next")
-    span = F.col("__next.frame") - F.col("__last.frame")
-    between = F.col("__last.value") + (F.col("__next.value") - F.col("__last.value")) * (F.col(ORDER) - F.col("__last.frame")) / span
-    whole = F.coalesce(F.when(span > 0, between), F.col("__last.value"), F.col("__next.value"))
-    return both.withColumn(value, whole).drop("__next", "__last")
+def lerp_gaps(df: DataFrame, *values: str) -> DataFrame:
+    """Nulls of each of values between two of its values are interpolated; before the first and after the last the nearest value holds."""
+    both = around_each(df, [(F.col(v), f"__last_{v}", f"__next_{v}") for v in values])
+    whole = {}
+    for v in values:
+        last, following = F.col(f"__last_{v}"), F.col(f"__next_{v}")
+        span = following["frame"] - last["frame"]
+        between = last["value"] + (following["value"] - last["value"]) * (F.col(ORDER) - last["frame"]) / span
+        whole[v] = F.coalesce(F.when(span > 0, between), last["value"], following["value"])
+    return both.withColumns(whole).drop(*(f"__{side}_{v}" for v in values for side in ("next", "last")))
 
 
 def weighted_slope(df: DataFrame, t: str, x: str, samples: int = 7, gamma: float = 0.7, least: int = 2) -> DataFrame:
