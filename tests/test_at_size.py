@@ -3,9 +3,11 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pandas as pd
 from oracle import rows
 
+from trackwright.functions.homography import TEMPLATE, court_homographies
 from trackwright.operators.folds import each_block, gap_sections, kept_chain
 from trackwright.plans import ORACLES, QUERIES
 
@@ -62,3 +64,17 @@ def test_blocks_go_on_across_batches():
     for size in (1, 2, 3, 7):
         assert list(each_block(rows.iloc[i : i + size] for i in range(0, 7, size))) == want
     assert list(each_block(iter([rows.iloc[:0]]))) == []
+
+
+def test_steps_are_fitted_many_at_once(spark):
+    seen = [(v, k, i, float(x) + v, float(y) + 2 * k) for v in range(3) for k in range(4) for i, (x, y) in enumerate(TEMPLATE) if not (v == 2 and i > 3)]
+    found = court_homographies(spark.createDataFrame([*seen, (9, 0, 1, 1.0, None)], "video_id bigint, step_idx int, point int, x double, y double"))
+    assert "FlatMapGroupsInPandas" not in plan(found)
+    got = {(r.video_id, r.step_idx): r for r in found.collect()}
+    assert len(got) == 12
+    for (v, k), r in got.items():
+        if v == 2:
+            assert r.h is None and r.error is None
+        else:
+            assert r.error < 1e-6
+            assert np.allclose(r.h, [1, 0, v, 0, 1, 2 * k, 0, 0, 1], atol=1e-6)
