@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from oracle import rows
 
+from trackwright.functions import flight
 from trackwright.functions.homography import TEMPLATE, court_homographies
 from trackwright.operators.folds import each_block, gap_sections, kept_chain
 from trackwright.plans import ORACLES, QUERIES
@@ -78,3 +79,14 @@ def test_steps_are_fitted_many_at_once(spark):
         else:
             assert r.error < 1e-6
             assert np.allclose(r.h, [1, 0, v, 0, 1, 2 * k, 0, 0, 1], atol=1e-6)
+
+
+def test_each_different_flight_is_solved_once(spark):
+    rows = [(i, 1.5, 1.0 + (i % 3) / 10, 20.0 + i % 3) for i in range(300)] + [(300, None, 1.0, 20.0), (301, 1.5, float("nan"), 20.0)]
+    found = flight.launches(spark.createDataFrame(rows, "id int, h double, s double, d double"), "h", "s", "d")
+    assert found.columns == ["id", "h", "s", "d", "speed_mps", "angle_deg"]
+    assert "HashAggregate" in plan(found)
+    got = {r.id: (r.speed_mps, r.angle_deg) for r in found.collect()}
+    speed, angle = flight.launch(np.full(3, 1.5), np.array([1.0, 1.1, 1.2]), np.array([20.0, 21.0, 22.0]))
+    assert len(got) == 302 and all(got[i] == (speed[i % 3], angle[i % 3]) for i in range(300))
+    assert got[300] == got[301] == (None, None)

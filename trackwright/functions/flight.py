@@ -36,7 +36,8 @@ def landing(speed: np.ndarray, angle: np.ndarray, height: np.ndarray, step: floa
     """Time and distance of landing for many throws at once, with quadratic drag (fourth-order Runge-Kutta)."""
     state = np.stack([np.zeros_like(speed), height, speed * np.cos(angle), speed * np.sin(angle)])
     time, far = np.full(len(speed), most), np.zeros(len(speed))
-    flying = np.ones(len(speed), bool)
+    # Those that have landed are left behind from time to time; at holds the numbers of the rest.
+    at, flying = np.arange(len(speed)), np.ones(len(speed), bool)
 
     def slope(s: np.ndarray) -> np.ndarray:
         pull = _PULL * np.hypot(s[2], s[3])
@@ -49,11 +50,14 @@ def landing(speed: np.ndarray, angle: np.ndarray, height: np.ndarray, step: floa
         after = state + step / 6 * (k1 + 2 * k2 + 2 * k3 + slope(state + step * k3))
         down = flying & (after[1] <= 0)
         part = np.where(down, state[1] / np.where(down, state[1] - after[1], 1.0), 1.0)
-        time[down], far[down] = (i + part[down]) * step, (state[0] + part * (after[0] - state[0]))[down]
+        time[at[down]], far[at[down]] = (i + part[down]) * step, (state[0] + part * (after[0] - state[0]))[down]
         state, flying = after, flying & ~down
-        if not flying.any():
+        left = np.count_nonzero(flying)
+        if not left:
             break
-    far[flying] = state[0][flying]
+        if left < 0.9 * len(at):
+            state, at, flying = np.ascontiguousarray(state[:, flying]), at[flying], np.ones(left, bool)
+    far[at[flying]] = state[0][flying]
     return time, far
 
 
@@ -86,15 +90,20 @@ def launch(height: np.ndarray, seconds: np.ndarray, distance: np.ndarray, rounds
 
 
 def launches(flights: DataFrame, height: str, seconds: str, distance: str) -> DataFrame:
-    """flights with speed_mps and angle_deg, null where no launch was found."""
+    """flights with speed_mps and angle_deg, null where no launch was found.
+
+    The solve is long and the rows are short, so each different flight is solved once, and they are dealt over all cores."""
+    keys = ["__height", "__seconds", "__distance"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            speed, angle = launch(*(batch[c].to_numpy(float) for c in (height, seconds, distance)))
+            speed, angle = launch(*(batch[c].to_numpy(float) for c in keys))
             yield batch.assign(speed_mps=speed, angle_deg=angle)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in flights.schema)
-    return flights.mapInPandas(run, f"{fields}, speed_mps double, angle_deg double")
+    keyed = flights.withColumns({k: F.col(c).cast("double") for k, c in zip(keys, (height, seconds, distance), strict=True)})
+    each = keyed.select(*keys).na.drop().distinct().repartition(4 * flights.sparkSession.sparkContext.defaultParallelism, *keys)
+    solved = each.mapInPandas(run, ", ".join(f"{c} double" for c in keys) + ", speed_mps double, angle_deg double")
+    return keyed.join(solved, keys, "left").drop(*keys)
 
 
 #: Order of a line detector's 14 points (outer corners, inner corners, service corners, service middles), seen from

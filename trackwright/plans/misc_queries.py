@@ -57,9 +57,7 @@ def ball_in_space(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def launch_speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The solve is long and the rows are short: they are dealt over all cores.
-    events = table(spark, sf_dir, "events").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
-    flights = events.select(F.col("user_id").alias("video_id"), "event_id", F.lit(1.5).alias("height"), (1 + F.col("value") / 1000).alias("seconds"), (20 + F.col("value") / 50).alias("metres"))
+    flights = table(spark, sf_dir, "events").select(F.col("user_id").alias("video_id"), "event_id", F.lit(1.5).alias("height"), (1 + F.col("value") / 1000).alias("seconds"), (20 + F.col("value") / 50).alias("metres"))
     return flight.launches(flights, "height", "seconds", "metres")
 
 
