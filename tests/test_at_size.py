@@ -11,6 +11,7 @@ from trackwright.functions import flight
 from trackwright.functions.homography import TEMPLATE, court_homographies
 from trackwright.operators import court_search
 from trackwright.operators.folds import each_block, gap_sections, kept_chain
+from trackwright.operators.series import lerp_gaps
 from trackwright.plans import ORACLES, QUERIES
 
 
@@ -107,3 +108,9 @@ def test_few_hypotheses_are_scored_and_the_best_is_the_same(monkeypatch):
     assert (got[0], got[1]) == (every.max(), every.argmax())
     assert (every <= court_search.bounds(h, lines) + 1e-6).all()
     assert sum(scored) < len(number) / 10
+
+
+def test_two_values_are_filled_in_one_pass(spark):
+    rows = [("v", 0, None, 1.0), ("v", 1, 2.0, None), ("v", 2, None, None), ("v", 3, 6.0, 7.0), ("v", 4, None, None)]
+    df = spark.createDataFrame(rows, "video_id string, frame bigint, x double, y double")
+    assert [(r.x, r.y) for r in lerp_gaps(df, "x", "y").orderBy("frame").collect()] == [(2, 1), (2, 3), (4, 5), (6, 7), (6, 7)]
