@@ -53,6 +53,19 @@ def test_ranking_over_many_stretches(spark):
             assert got[k, i] == pytest.approx((place, precision, recall, best))
 
 
+def plan_of(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_no_envelope_looks_at_all_later_rows_for_each_row(spark):
+    """A frame that ends with its partition takes time with the square of a stretch."""
+    frame = spark.createDataFrame([(0, 0.5, 1, 1)], "k long, score double, i long, tp int")
+    assert "unboundedfollowing" not in plan_of(mt.precision_recall(frame, ["k"], [F.desc("score"), F.col("i")], spark.range(1)))
+    points, edges = "image long, point long, x double, y double, z double, score double", "image long, a long, b long, score double"
+    pred, chain = spark.createDataFrame([(1, 1, 0.0, 0.0, -1.0, 0.9)], points), spark.createDataFrame([(1, 1, 2, 0.9)], edges)
+    assert "unboundedfollowing" not in plan_of(mt.wireframe(pred, pred, chain, chain, 5.0))
+
+
 def test_wireframe_keeps_images_without_truth(spark):
     cols = "image long, point long, x double, y double, z double, score double"
     pred = spark.createDataFrame([(1, 1, 0.0, 0.0, -1.0, 0.9), (1, 2, 10.0, 0.0, -1.0, 0.8), (2, 3, 0.0, 0.0, -1.0, 0.7)], cols)
