@@ -24,10 +24,15 @@ class Tracker(Protocol):
     def step(self, frame: int, rows: list[Any]) -> list[tuple]: ...
 
 
+def _step(tracker: Tracker, rows: list[Any]) -> list[tuple]:
+    """What the tracker gives for the rows of one frame."""
+    frame = int(rows[0].frame)
+    return [(frame, *out) for out in tracker.step(frame, rows)]
+
+
 def _steps(tracker: Tracker, rows: Iterable[Any]) -> Iterator[tuple]:
-    for frame, group in groupby(rows, key=lambda r: r.frame):
-        for out in tracker.step(int(frame), list(group)):
-            yield (int(frame), *out)
+    for _, group in groupby(rows, key=lambda r: r.frame):
+        yield from _step(tracker, list(group))
 
 
 def _names(schema: str) -> list[str]:
@@ -44,17 +49,16 @@ def track(df: DataFrame, make: Callable[[], Tracker], schema: str, key: str = "v
         video, tracker, held = None, None, []
         for batch in batches:
             out = []
-            for row in batch.itertuples(index=False):
-                value = getattr(row, key)
+            for value, row in zip(batch[key].tolist(), batch.itertuples(index=False), strict=True):
                 if held and (value != video or row.frame != held[0].frame):
-                    out += [(video, *x) for x in _steps(tracker, held)]
+                    out += [(video, *x) for x in _step(tracker, held)]
                     held = []
                 if value != video or tracker is None:
                     video, tracker = value, make()
                 held.append(row)
             yield pd.DataFrame(out, columns=names)
         if held:
-            yield pd.DataFrame([(video, *x) for x in _steps(tracker, held)], columns=names)
+            yield pd.DataFrame([(video, *x) for x in _step(tracker, held)], columns=names)
 
     ordered = df.repartition(key).sortWithinPartitions(key, "frame", "det")
     return ordered.mapInPandas(run, f"{key} {kind}, frame bigint, {schema}")
