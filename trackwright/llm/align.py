@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialise
+from ..session import bucketed, materialise
 from .text import let
 from .units import LETTERS, is_plain, slices, with_space
 
@@ -232,7 +232,7 @@ def links(units: DataFrame) -> DataFrame:
 
 
 def aligned(units: DataFrame) -> DataFrame:
-    """key with n_a, n_b, n_groups and groups: a string like "a1,a2|b1;a3|b2", ids in order."""
+    """key with known: n_a, n_b, n_groups and groups, a string like "a1,a2|b1;a3|b2", ids in order, with ":" between, packed."""
     ends = F.col("ends")
     end, place = lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit(_B_SIDE - 1))
     # Where both sides end, B's entry follows A's: how many tokens of A and of B there are up to here.
@@ -248,8 +248,18 @@ def aligned(units: DataFrame) -> DataFrame:
     before = F.concat(F.array(F.lit(0).cast("long")), F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0))))
     groups = F.array_join(F.zip_with("cuts", before, group), ";")
     n_groups = F.size(F.array_intersect("a_ends", "b_ends"))
-    counts = {"n_a": F.size("a_ids"), "n_b": F.size("b_ids"), "n_groups": n_groups}
-    return found.select("key", *(c.cast("long").alias(n) for n, c in counts.items()), groups.alias("groups"))
+    counts = (F.size("a_ids"), F.size("b_ids"), n_groups)
+    return found.select("key", packed(F.concat_ws(":", *(c.cast("string") for c in counts), groups)).alias("known"))
+
+
+def packed(text: Column) -> Column:
+    """A string of digits and ":,|;" in half as many bytes; such values may be joined."""
+    even = F.when(F.length(text) % 2 == 0, text).otherwise(F.concat(text, F.lit("F")))
+    return F.unhex(F.translate(even, ":,|;", "ABCD"))
+
+
+def unpacked(value: Column) -> Column:
+    return F.translate(F.hex(value), "ABCDF", ":,|;")
 
 
 def _often(counts: DataFrame, most: int) -> int:
@@ -268,7 +278,7 @@ def alignment(
     docs: DataFrame, a_file: str, b_file: str, id_col: str = "doc_id", text_col: str = "text", broadcast: int = BROADCAST
 ) -> DataFrame:
     """One row for each document: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
-    cut = materialise(cut_texts(docs, a_file, b_file, id_col, text_col), "text-slices")
+    cut = bucketed(cut_texts(docs, a_file, b_file, id_col, text_col), "text-slices", "slice")
     named = slice_units(cut)
     units = with_ends(materialise(encoded_units(named.groupBy("unit").agg(F.sum("times").alias("times")), a_file, b_file), "units"))
     counts = materialise(links(units).groupBy("pair").agg(F.sum("times").alias("n")), "pair-counts")
@@ -289,10 +299,14 @@ def alignment(
     sums = sums.groupBy("key").agg(F.sum("n").alias("count_sum"), F.sum("best").alias("n_best"))
     whole = aligned(units).join(sums, "key")
 
-    # A slice's units, by place, and then its texts from them. A slice has a bounded number of bytes, so its units fit in a row.
-    numbers = ["n_a", "n_b", "n_groups", "n_best", "count_sum"]
+    # A slice's units, by place, and then its texts from them. A slice has a bounded number of bytes, so its units fit in a row. What is known
+    # of a unit goes there as one packed value, its place first. The texts lie in buckets by slice and stay there.
+    numbers = ["n_best", "count_sum", "n_a", "n_b", "n_groups"]
     placed = named.select("slice", "place", unit_key(F.col("unit")).alias("key")).join(whole, "key", "left")
-    by_slice = placed.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("place", "groups", *numbers))).alias("known"))
+    at = packed(F.lpad(F.col("place").cast("string"), 10, "0"))
+    sums_of = packed(F.concat(F.lit(":"), F.col("n_best").cast("string"), F.lit(":"), F.col("count_sum").cast("string"), F.lit(":")))
+    value = F.coalesce(F.concat(at, sums_of, "known"), at)
+    by_slice = placed.groupBy("slice").agg(F.sort_array(F.collect_list(value)).alias("known"))
     texts = cut.select("slice", "texts").join(by_slice, "slice", "left")
 
     def one(text: Column, known: Column) -> Column:
@@ -303,8 +317,10 @@ def alignment(
         return F.struct(text["id"].alias("id"), *map(total, numbers), F.sha2(joined, 256).alias("digest"))
 
     # The arrays are bound once for each slice; inside a lambda Spark would take them out of known for each element.
-    arrays = F.struct(*(F.col(f"known.{c}").alias(c) for c in ("groups", *numbers)))
-    each = let(arrays, lambda known: F.transform("texts", lambda text: one(text, known)))
+    fields = F.transform("known", lambda v: F.split(unpacked(v), ":"))
+    field = lambda own, i, kind: F.transform(own, lambda v: F.get(v, F.lit(i)).cast(kind))
+    arrays = lambda own: F.struct(field(own, 6, "string").alias("groups"), *(field(own, i, "long").alias(c) for i, c in enumerate(numbers, 1)))
+    each = let(fields, lambda own: let(arrays(own), lambda known: F.transform("texts", lambda text: one(text, known))))
     found = texts.select(F.explode_outer(each).alias("x")).where("x is not null").select("x.*")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     n_links = zero("n_a") + zero("n_b") - zero("n_groups")
