@@ -4,9 +4,10 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
-from helpers import EDGES, documents
+from helpers import EDGES, PROSE, documents
 from oracle import SF
 from pyspark.sql import functions as F
 
@@ -155,6 +156,12 @@ def test_token_store_round_trip(spark, tmp_path, encoding):
     assert column.has_offset_index
 
 
+def test_token_store_looks_a_unit_up_once_for_megabytes_of_text():
+    """The smaller a slice, the more often its units come again in others."""
+    batch = pa.RecordBatch.from_pydict({"text": [PROSE * (1_000_000 // len(PROSE))] * 3})
+    assert [part.num_rows for part in token_store.slices(iter([batch]), "text", token_store.AT_ONCE)] == [3]
+
+
 def test_token_store_null_and_repeated_ids(spark, tmp_path):
     texts = ["b c", "a", None, "<|endoftext|>", "a"]
     token_store.write_tokens(documents(spark, texts, ids=[7, None, 7, 3, 7]), f"{tmp_path}/s", WORDS, end_id=1)

@@ -27,8 +27,9 @@ from .units import Cache, encode_texts, is_plain, slices, without_space
 
 #: Bytes of a row group and of a page, rows of a page: small enough that a selective read skips most of a file.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2000
-#: Entries of the cache in a Python worker; the library takes long for a new unit.
-CACHED = 400_000
+#: Entries of the cache in a Python worker; the library takes long for a new unit. And bytes of text encoded at once: a slice's different
+#: units are looked up once, so of more text more come again.
+CACHED, AT_ONCE = 400_000, 4_000_000
 
 
 class WordEncoder:
@@ -73,7 +74,7 @@ def write_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, row, start = encoder(tokenizer_file), 0, 0
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", AT_ONCE):
             ids = [x + end for x in own.encode([t or "" for t in part.column("text").to_pylist()])]
             count = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
             ends = np.cumsum(count)
